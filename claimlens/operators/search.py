@@ -222,7 +222,7 @@ def _reachable(shared_pivots, shared_radius, keep: int):
             found.append(np.flatnonzero(possible.any(0)).astype("int32"))
         return pd.Series(found, dtype=object)
 
-    return reach
+    return reach.asNondeterministic()
 
 
 def _pruned_topk(q, v, q_count, v_count, k, keep, exclude_self, cell_rows, cores):
@@ -285,7 +285,7 @@ def _signatures(dimensions: int, bands: int, bits: int, seed: int):
         buckets = above.reshape(len(vectors), bands, bits) @ weights + np.arange(bands) * (1 << bits)
         return pd.Series(list(buckets.astype("int32")), index=vectors.index, dtype=object)
 
-    return sign
+    return sign.asNondeterministic()  # keeps the planner from running it twice
 
 
 def topk_lsh(

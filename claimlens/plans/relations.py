@@ -274,16 +274,16 @@ def win_top_n_per_group(spark, sf):
     return windows.top_n_per_group(rows, ["o_orderpriority"], [F.desc("o_totalprice"), "o_orderkey"], 5).drop("o_totalprice")
 
 
-@query("win_first_per_query", f"WITH {HITS} SELECT query_id, claim_id, round(score, 6) AS score FROM hits WHERE rank = 1")
+@query("win_first_per_query", f"WITH {HITS} SELECT query_id, claim_id, score FROM hits WHERE rank = 1")
 def win_first_per_query(spark, sf):
     best = windows.first_per_query(vector_hits(spark, sf), "query_id", ["rank"])
-    return best.select("query_id", "claim_id", F.round("score", 6).alias("score"))
+    return best.select("query_id", "claim_id", "score")
 
 
-@query("sort_by_score", f"WITH {HITS} SELECT query_id, claim_id, round(score, 6) AS score FROM hits ORDER BY hits.score DESC, query_id, claim_id")
+@query("sort_by_score", f"WITH {HITS} SELECT query_id, claim_id, score FROM hits ORDER BY hits.score DESC, query_id, claim_id")
 def sort_by_score(spark, sf):
     ordered = vector_hits(spark, sf).orderBy(F.desc("score"), "query_id", "claim_id")
-    return ordered.select("query_id", "claim_id", F.round("score", 6).alias("score"))
+    return ordered.select("query_id", "claim_id", "score")
 
 
 @query("limit_rows", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")

@@ -24,8 +24,8 @@ WEIGHTS = EMBEDDED + " SELECT doc_id, dim, round(w, 6) AS weight FROM emb"
 
 
 def long_weights(df):
-    """(doc_id, dim, weight) without the zero entries."""
-    cells = df.select("doc_id", F.posexplode("embedding").alias("dim", "w")).filter(F.col("w") != 0)
+    """(doc_id, dim, weight) without the zero entries. No vector is empty or NULL here."""
+    cells = df.select("doc_id", F.posexplode_outer("embedding").alias("dim", "w")).filter(F.col("w") != 0)
     return cells.select("doc_id", F.col("dim").cast("long").alias("dim"), F.round("w", 6).alias("weight"))
 
 
@@ -68,17 +68,17 @@ def udf_pandas_scalar(spark, sf):
 
 
 def shown(hits):
-    return hits.select("query_id", "claim_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return hits.select("query_id", "claim_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query("vector_topk", f"WITH {HITS} SELECT query_id, claim_id, round(score, 6) AS score, rank FROM hits")
+@query("vector_topk", f"WITH {HITS} SELECT query_id, claim_id, score, rank FROM hits")
 def vector_topk(spark, sf):
     return shown(vector_hits(spark, sf))
 
 
 @query(
     "vector_topk_filtered",
-    f"WITH {hits_sql(k=3, where='v.label < 5')} SELECT query_id, claim_id, round(score, 6) AS score, rank FROM hits",
+    f"WITH {hits_sql(k=3, where='v.label < 5')} SELECT query_id, claim_id, score, rank FROM hits",
 )
 def vector_topk_filtered(spark, sf):
     return shown(search.topk_filtered(vector_queries(spark, sf), vectors(spark, sf), F.col("label") < 5, 3))
@@ -216,13 +216,13 @@ def neighbour_predictions(spark, sf, pick="top"):
 
 @query(
     "predict_by_neighbours",
-    f"""WITH {PREDICTED} SELECT e.vec_id AS claim_id, e.label AS actual_label, p.predicted_label, round(p.score, 6) AS score
+    f"""WITH {PREDICTED} SELECT e.vec_id AS claim_id, e.label AS actual_label, p.predicted_label, p.score
         FROM embeddings e JOIN predicted p ON e.vec_id = p.query_id""",
 )
 def predict_by_neighbours(spark, sf):
     actual = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("actual_label"))
     return neighbour_predictions(spark, sf).join(actual, "query_id").select(
-        F.col("query_id").alias("claim_id"), "actual_label", "predicted_label", F.round("score", 6).alias("score")
+        F.col("query_id").alias("claim_id"), "actual_label", "predicted_label", "score"
     )
 
 
@@ -323,7 +323,7 @@ def ml_text_classifier(spark, sf):
                            <= ceil(0.2::DOUBLE * count(*) OVER (PARTITION BY label)) AS is_test FROM embeddings),
             x AS (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS d FROM r WHERE NOT is_test),
             c AS (SELECT label, list(m ORDER BY d) AS e FROM (SELECT label, d, avg(x) AS m FROM x GROUP BY ALL) GROUP BY label)
-       SELECT r.vec_id, r.label AS actual_label, c.label AS predicted_label, round(list_inner_product(r.e, c.e), 6) AS score
+       SELECT r.vec_id, r.label AS actual_label, c.label AS predicted_label, round(list_inner_product(r.e, c.e), 9) AS score
        FROM r, c WHERE r.is_test
        QUALIFY row_number() OVER (PARTITION BY r.vec_id ORDER BY round(list_inner_product(r.e, c.e), 9) DESC, c.label) = 1""",
 )
@@ -331,7 +331,7 @@ def ml_centroid_classifier(spark, sf):
     train, test = split_vectors(spark, sf)
     found = classify.predict_by_centroid(test, classify.centroids(train, "label", "embedding"), "label", "vec_id", "embedding")
     return found.join(test.select("vec_id", F.col("label").alias("actual_label")), "vec_id").select(
-        "vec_id", "actual_label", "predicted_label", F.round("score", 6).alias("score")
+        "vec_id", "actual_label", "predicted_label", "score"
     )
 
 
@@ -419,10 +419,10 @@ def eval_exact_match(spark, sf):
     f"""WITH {CLAIMS},
         v AS (SELECT 'engine' AS feature, engine AS value, label IS NOT NULL AS is_real FROM claims
               UNION ALL SELECT 'failcode', failcode, label IS NOT NULL FROM claims),
-        p AS (SELECT feature, value, count(*) / sum(count(*)) OVER (PARTITION BY feature) AS p FROM v WHERE is_real GROUP BY ALL),
-        q AS (SELECT feature, value, count(*) / sum(count(*)) OVER (PARTITION BY feature) AS q FROM v WHERE NOT is_real GROUP BY ALL)
-        SELECT coalesce(p.feature, q.feature) AS feature, round(sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2, 6) AS distance
-        FROM p FULL JOIN q ON p.feature = q.feature AND p.value = q.value GROUP BY 1""",
+        n AS (SELECT feature, value, count_if(is_real) AS a, count_if(NOT is_real) AS b FROM v GROUP BY feature, value),
+        t AS (SELECT feature, sum(a) AS a, sum(b) AS b FROM n GROUP BY feature)
+        SELECT n.feature, round(sum(abs(n.a / t.a - n.b / t.b)) / 2, 6) AS distance
+        FROM n JOIN t ON n.feature = t.feature GROUP BY n.feature""",
 )
 def eval_real_vs_synthetic(spark, sf):
     """Labelled claims stand for the real set, unlabelled ones for the synthetic set."""
