@@ -71,7 +71,7 @@ def drop_labels(df: DataFrame, label: str, labels: Sequence[str]) -> DataFrame:
     from claimlens.session import small_side
 
     listed = df.sparkSession.createDataFrame([(v,) for v in labels], f"`{label}` string")
-    return df.filter(F.col(label).isNotNull()).join(small_side(listed), label, "left_anti")
+    return df.filter(F.col(label).isNotNull()).join(small_side(listed, computed=True), label, "left_anti")
 
 
 def rows_of_key(df: DataFrame, key: str, value) -> DataFrame:

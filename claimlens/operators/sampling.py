@@ -7,11 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimlens.operators.joins import with_group_counts
-from claimlens.operators.windows import ranked_rows, top_n_per_group
+from claimlens.operators.windows import top_n_per_group
 from claimlens.session import small_side
 
 HASH_BUCKETS = 10_000
 COPIES_PER_TASK_ROW = 10_000
+HISTOGRAM_DIGITS = 3
 
 
 def union_all(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -64,13 +65,40 @@ def hash_order(key: str) -> Column:
     return F.md5(F.col(key).cast("string"))
 
 
+def hash_cuts(df: DataFrame, label: str, key: str, fraction: float) -> DataFrame:
+    """(label, cut_hash, cut_key): the last row of each class within ``fraction`` in hash order.
+
+    A histogram over the first hash digits finds the bucket a class is cut in; only the rows of
+    that bucket, about one in 4096, are put in order."""
+    hashed = df.select(label, F.col(key).alias("_key"), hash_order(key).alias("_h"))
+    digits = F.substring("_h", 1, HISTOGRAM_DIGITS)
+    counts = hashed.groupBy(label, digits.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    one_class = W.partitionBy(label)
+    summed = counts.withColumns(
+        {
+            "_upto": F.sum("_n").over(one_class.orderBy("_b")),
+            "_need": F.ceil(F.lit(fraction) * F.sum("_n").over(one_class)),
+        }
+    )
+    crossed = (F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_n") < F.col("_need"))
+    edges = summed.filter(crossed).select(
+        F.col(label).alias("_label"), F.col("_b"), (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_left")
+    )
+    same = (digits == F.col("_b")) & F.col(label).eqNullSafe(F.col("_label"))
+    edge_rows = hashed.join(small_side(edges), same, "inner")
+    place = F.row_number().over(W.partitionBy("_label").orderBy("_h", "_key"))
+    last = edge_rows.withColumn("_place", place).filter(F.col("_place") == F.col("_left"))
+    return last.select("_label", F.col("_h").alias("_cut_hash"), F.col("_key").alias("_cut_key"))
+
+
 def split_stratified(df: DataFrame, label: str, key: str, test_fraction: float, out: str = "is_test") -> DataFrame:
-    """Mark ceil(fraction x class size) rows of each class as test, drawn in hash order of ``key``."""
-    ranked = ranked_rows(df.withColumn("_h", hash_order(key)), [label], ["_h", key], "_rn")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size")).withColumnRenamed(label, "_label")
-    joined = ranked.join(small_side(sizes), F.col(label).eqNullSafe(F.col("_label")), "inner")
-    chosen = F.col("_rn") <= F.ceil(F.lit(test_fraction) * F.col("_size"))
-    return joined.withColumn(out, chosen.cast("int")).drop("_h", "_rn", "_size", "_label")
+    """Mark ceil(fraction x class size) rows of each class as test, drawn in hash order of the
+    unique ``key``. The rows themselves are compared with their class's cut where they lie."""
+    cuts = hash_cuts(df, label, key, test_fraction)
+    joined = df.join(small_side(cuts), F.col(label).eqNullSafe(F.col("_label")), "left")
+    within = F.struct(hash_order(key), F.col(key)) <= F.struct("_cut_hash", "_cut_key")
+    chosen = F.col("_cut_hash").isNotNull() & within
+    return joined.withColumn(out, F.coalesce(chosen, F.lit(False)).cast("int")).select(*df.columns, out)
 
 
 def hash_bucket(key: str, buckets: int = HASH_BUCKETS) -> Column:

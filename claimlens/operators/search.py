@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from claimlens.session import small_side
+from claimlens.session import small_side, written
 
 # Scores that agree to this many places are ties, whatever the order of summation was.
 SCORE_PLACES = 9
@@ -87,11 +87,11 @@ def block_size(rows: int, cores: int) -> int:
 def salted(df: DataFrame, cell_counts: DataFrame | int, key: str, rows: int, out: str) -> DataFrame:
     """Add ``out`` so that each (cell, out) group holds about ``rows`` rows.
 
-    ``cell_counts`` has one row (cell, n) per cell; a plain number means a single cell."""
+    ``cell_counts`` is a stored table (cell, n); a plain number means a single cell."""
     hashed = F.xxhash64(key)
     if isinstance(cell_counts, int):
         return df.withColumn(out, F.pmod(hashed, F.lit(max(1, ceil(cell_counts / rows)))).cast("int"))
-    counted = df.join(small_side(cell_counts), "cell", "inner")
+    counted = df.join(small_side(cell_counts, computed=True), "cell", "inner")
     return counted.withColumn(out, F.pmod(hashed, F.ceil(F.col("n") / rows)).cast("int")).drop("n")
 
 
@@ -240,7 +240,7 @@ def _pruned_topk(q, v, q_count, v_count, k, keep, exclude_self, cell_rows, cores
         radius[row["cell"]] = row["radius"]
     session = q.sparkSession
     v_counts = session.createDataFrame([(r["cell"], r["n"]) for r in stats], "cell int, n long")
-    q_counts = q.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    q_counts = written(q.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "q_counts")
 
     v_blocks = packed(salted(v, v_counts, "claim_id", BLOCK_ROWS, "v_salt"), ["cell", "v_salt"], "claim_id", "v_vec", "v")
     q_rows = block_size(q_count, cores)
@@ -311,12 +311,12 @@ def topk_lsh(
     sign = _signatures(vector_length(v, "v_vec"), bands, bits, seed)
     v = without_spare_copies(v, "claim_id", "v_vec", keep).withColumn("cell", F.explode(sign("v_vec")))
     q = q.withColumn("cell", F.explode(sign("q_vec")))
-    v_counts = v.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    q_counts = q.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    v_counts = written(v.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "v_counts")
+    q_counts = written(q.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "q_counts")
     v_blocks = packed(salted(v, v_counts, "claim_id", BLOCK_ROWS, "v_salt"), ["cell", "v_salt"], "claim_id", "v_vec", "v")
     q_blocks = packed(salted(q, q_counts, "query_id", BLOCK_ROWS, "q_salt"), ["cell", "q_salt"], "query_id", "q_vec", "q")
     salts = v_counts.select("cell", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("salts"))
-    targets = q_blocks.join(small_side(salts), "cell").withColumn(
+    targets = q_blocks.join(small_side(salts, computed=True), "cell").withColumn(
         "v_salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
     )
     pairs = targets.join(v_blocks, ["cell", "v_salt"])
@@ -335,8 +335,13 @@ def surrogate_id(*keys: str) -> Column:
 
 
 def new_rows(index: DataFrame, source: DataFrame, key: str) -> DataFrame:
-    """Source rows whose id the index lacks; an id repeated in the source enters once."""
-    return source.filter(F.col(key).isNotNull()).dropDuplicates([key]).join(index.select(key), key, "left_anti")
+    """Source rows whose id the index lacks; an id repeated in the source enters once.
+
+    Only keys are compared. The source's texts and vectors move only for new ids, and while
+    those are few they are picked out of the source without a shuffle."""
+    keys = source.filter(F.col(key).isNotNull()).select(key).distinct()
+    missing = keys.join(index.select(key), key, "left_anti")
+    return source.join(small_side(missing), key, "left_semi").dropDuplicates([key])
 
 
 def refresh_index(

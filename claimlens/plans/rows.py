@@ -143,7 +143,7 @@ def fill_missing(spark, sf):
         SELECT doc_id, md5(t) AS text_md5, length(t) AS text_length FROM c""",
 )
 def clean_text(spark, sf):
-    cleaned = table(spark, sf, "documents").select("doc_id", text.clean_text("text").alias("t"))
+    cleaned = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", text.clean_text("text").alias("t"))
     return cleaned.select("doc_id", F.md5("t").alias("text_md5"), F.length("t").cast("long").alias("text_length"))
 
 

@@ -9,7 +9,7 @@ from claimlens.operators import classify, embedding, evaluate, predict, sampling
 from claimlens.operators.joins import lookup_labels
 from claimlens.plans.registry import query
 from claimlens.plans.views import (
-    CLAIMS, HITS, claims, embedding_sql, hits_sql, table, tokens_sql, vector_hits, vector_queries, vectors,
+    CLAIMS, HITS, claims, embedding_sql, hits_sql, spread_claims, table, tokens_sql, vector_hits, vector_queries, vectors,
 )
 from claimlens.session import scratch_path, spread, written
 from claimlens.sources.readers import scan_table
@@ -246,7 +246,7 @@ def predict_by_neighbours(spark, sf):
 def predict_unlabelled_table(spark, sf):
     """Embed every claim into an index table, search the labelled ones for each unlabelled one,
     re-rank by shared words, transfer the label, write the predictions."""
-    rows = spread(claims(spark, sf))
+    rows = spread_claims(spark, sf)
     made = rows.select(
         "claim_id",
         "label",
@@ -310,7 +310,7 @@ def ml_embedding_classifier(spark, sf):
 
 @query("ml_text_classifier")
 def ml_text_classifier(spark, sf):
-    rows = spread(claims(spark, sf).select("claim_id", "narrative", "label"))
+    rows = spread_claims(spark, sf).select("claim_id", "narrative", "label")
     model = classify.fit_text_classifier(rows, "narrative", "label")
     found = classify.predict_texts(model, rows.filter(F.col("label").isNull()), "claim_id")
     return found.select("claim_id", "predicted_label", F.round("probability", 6).alias("probability"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.operators.search import topk
+from claimlens.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,11 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def spread_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims for work that is heavy per text."""
+    return claims_of(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
 CLAIMS = """claims AS (
   SELECT d.doc_id AS claim_id, d.source AS engine, d.lang AS failcode, d.n_chars AS miles, d.text AS narrative,
          CASE WHEN l.doc_id IS NULL THEN NULL ELSE concat('Q', l.quality, '_T', l.toxic) END AS label

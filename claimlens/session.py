@@ -22,6 +22,8 @@ def local_session(cores: str = "8", memory: str = "8g", shuffle_partitions: str
         .appName("claimlens")
         .config("spark.sql.shuffle.partitions", shuffle_partitions)
         .config("spark.sql.adaptive.enabled", "true")
+        # Small local inputs: keep a few hundred kilobytes of rows on all cores.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
@@ -58,24 +60,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Even out a CPU-heavy narrow stage whose input has fewer splits than there are cores.
+    """Even out a CPU-heavy narrow stage over a scan with fewer splits than there are cores.
 
-    A large table has more splits than cores and passes through without a shuffle."""
+    A large table has more splits than cores and passes through without a shuffle. Give it
+    scans only: asking a frame that holds a shuffle for its partitions would run that shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if a count proves it small, else ``df`` as it is.
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES, computed: bool = False) -> DataFrame:
+    """A join side with a broadcast hint if a count proves it small, without one if not.
 
-    Without the hint the join shuffles, and adaptive execution splits its skewed keys.
-    At most ``rows + 1`` rows are looked at."""
+    The side is first written to the shared folder, so a costly aggregate runs once and not
+    again for the join; ``computed`` says that it is stored or literal already. Without the
+    hint the join shuffles, and adaptive execution splits its skewed keys."""
+    side = df if computed else written(df, "side")
     seen = (
-        df.limit(rows + 1)
+        side.limit(rows + 1)
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0)).alias("b"),
+            F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*side.columns)))), F.lit(0)).alias("b"),
         )
         .first()
     )
-    return F.broadcast(df) if seen["n"] <= rows and seen["b"] <= size else df
+    return F.broadcast(side) if seen["n"] <= rows and seen["b"] <= size else side
