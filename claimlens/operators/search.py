@@ -1,31 +1,40 @@
-"""Top-k vector search as block joins, index upkeep, re-ranking.
+"""Top-k vector search, index upkeep, re-ranking.
 
-No vector is paired with another as a row. Both sides are packed into blocks of bounded size,
-blocks that can matter to each other meet in an equi-join, and one matrix product per block
-pair emits only its k best. Every block key is salted from counted sizes, so a crowded region
-becomes many blocks, not one big one.
+No vector is paired with another as a row. While the queries fit a checked bound they go to
+the tasks, and the index is scanned once where it lies. Beyond that both sides are packed into
+blocks of bounded size, blocks that can matter to each other meet in an equi-join, and one
+matrix product per block pair emits only its k best. Every block key is salted from counted
+sizes, so a crowded region becomes many blocks, not one big one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from math import ceil
+from collections.abc import Callable, Iterator, Sequence
+from math import ceil, isqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from claimlens.session import small_side, written
+from claimlens.session import BROADCAST_ROWS, small_side
 
 # Scores that agree to this many places are ties, whatever the order of summation was.
 SCORE_PLACES = 9
 SLACK = 1e-6
 BLOCK_ROWS = 1024
-CELL_ROWS = 65_536
-MAX_CELLS = 1024
+UNPRUNED_ROWS = 65_536
+MAX_CELLS = 4096
+# Cells are worth visiting apart while a typical query reaches at most this share of the rows.
+WORTHWHILE_SHARE = 0.25
+# Queries that may be sent to every task: by number, and by size of their matrix.
+SCAN_QUERIES = 16_384
+SCAN_BYTES = 64 * 1024 * 1024
+SCORES_AT_ONCE = 4_000_000
 
 
 # --- inside tasks -----------------------------------------------------------------------
@@ -71,6 +80,47 @@ def block_scorer(k: int):
     return score.asNondeterministic()  # keeps the planner from running it once per field
 
 
+def lowest_first(rows: np.ndarray, ids: np.ndarray, values: np.ndarray, k: int):
+    """The ``k`` best (score, then lower id) candidates of each query row."""
+    order = np.lexsort((np.unique(ids, return_inverse=True)[1], -values, rows))
+    rows, ids, values = rows[order], ids[order], values[order]
+    chosen = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+    return rows[chosen], ids[chosen], values[chosen]
+
+
+def scan_scorer(shared, k: int):
+    """Task function over vector batches: keeps a running k best per query, emits it at the end.
+
+    ``shared`` is the broadcast (query ids as an Arrow array, query matrix)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, queries = shared.value
+        if queries is None:
+            return
+        step = max(1, SCORES_AT_ONCE // max(1, len(queries)))
+        kept = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            all_ids = batch.column(0).to_numpy(zero_copy_only=False)
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            by_id = np.argsort(all_ids, kind="stable")
+            vectors = as_matrix(flat, batch.num_rows)
+            for start in range(0, len(by_id), step):
+                part = by_id[start : start + step]
+                rows, columns, values = best_pairs(queries, vectors[part], k)
+                ids = all_ids[part][columns]
+                if kept is not None:
+                    rows, ids, values = (np.concatenate(pair) for pair in zip(kept, (rows, ids, values)))
+                kept = lowest_first(rows, ids, values, k)
+        if kept is not None:
+            rows, ids, values = kept
+            found = [query_ids.take(pa.array(rows)), pa.array(ids, batch.schema.field(0).type), pa.array(values)]
+            yield pa.RecordBatch.from_arrays(found, names=["query_id", "claim_id", "score"])
+
+    return scan
+
+
 # --- blocks -----------------------------------------------------------------------------
 
 
@@ -84,14 +134,22 @@ def block_size(rows: int, cores: int) -> int:
     return max(64, min(BLOCK_ROWS, ceil(rows / cores)))
 
 
+def cell_counts_of(df: DataFrame, most: int) -> DataFrame:
+    """(cell, n) as a literal table. There are at most ``most`` cells by construction, so the
+    counts may pass through the driver and may be broadcast."""
+    rows = df.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(rows) <= most <= BROADCAST_ROWS
+    return F.broadcast(df.sparkSession.createDataFrame([(r["cell"], r["n"]) for r in rows], "cell int, n long"))
+
+
 def salted(df: DataFrame, cell_counts: DataFrame | int, key: str, rows: int, out: str) -> DataFrame:
     """Add ``out`` so that each (cell, out) group holds about ``rows`` rows.
 
-    ``cell_counts`` is a stored table (cell, n); a plain number means a single cell."""
+    ``cell_counts`` comes from ``cell_counts_of``; a plain number means a single cell."""
     hashed = F.xxhash64(key)
     if isinstance(cell_counts, int):
         return df.withColumn(out, F.pmod(hashed, F.lit(max(1, ceil(cell_counts / rows)))).cast("int"))
-    counted = df.join(small_side(cell_counts, computed=True), "cell", "inner")
+    counted = df.join(cell_counts, "cell", "inner")
     return counted.withColumn(out, F.pmod(hashed, F.ceil(F.col("n") / rows)).cast("int")).drop("n")
 
 
@@ -132,12 +190,19 @@ def best_hits(pairs: DataFrame, k: int, keep: int, exclude_self: bool, fold: boo
         ),
     )
     rows = scored.select(F.explode(named).alias("h")).select("h.*")
+    return ranked_hits(rows, k, exclude_self, fold)
+
+
+def ranked_hits(rows: DataFrame, k: int, exclude_self: bool, fold: bool = False) -> DataFrame:
+    """The k best of scored (query_id, claim_id, score) rows; tasks trim to k before the shuffle."""
     if exclude_self:
         rows = rows.filter(F.col("query_id") != F.col("claim_id"))
-    if fold:
-        rows = rows.dropDuplicates(["query_id", "claim_id"])
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "claim_id")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    if not fold:
+        return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    # A pair met in several bands has one dense rank; its repeats lie in the same partition.
+    ranked = rows.withColumn("rank", F.dense_rank().over(order)).filter(F.col("rank") <= k)
+    return ranked.dropDuplicates(["query_id", "claim_id"])
 
 
 def _sides(queries, vectors, query_id, query_vector, vector_id, vector):
@@ -159,27 +224,53 @@ def topk(
     vector_id: str = "claim_id",
     vector: str = "embedding",
     exclude_self: bool = True,
-    cell_rows: int = CELL_ROWS,
+    scan_queries: int = SCAN_QUERIES,
+    unpruned_rows: int = UNPRUNED_ROWS,
 ) -> DataFrame:
     """Exact k best vectors per query by dot product: (query_id, claim_id, score, rank).
 
-    Ids must be unique on each side. Score descending, ties by id. Up to ``cell_rows`` vectors
-    every block pair is scored. Beyond that the vectors fall into cells around pivots, each
-    query takes a first bound from one block of its own cell, and only cells whose best
-    possible score reaches that bound are visited, so the result stays exact."""
+    Ids must be unique on each side. Score descending, ties by id. The sizes choose the plan:
+
+    * up to ``scan_queries`` queries: each task scans its vectors against all queries, so the
+      index is read once and never shuffled;
+    * else up to ``unpruned_rows`` vectors: every block pair is scored;
+    * else the vectors fall into cells around pivots, each query takes a first bound from one
+      block of its own cell, and only cells whose best possible score reaches that bound are
+      visited. Where cells overlap too much to gain by that, every block pair is scored."""
     q, v = _sides(queries, vectors, query_id, query_vector, vector_id, vector)
     cores = q.sparkSession.sparkContext.defaultParallelism
-    v_count, q_count = vectors.count(), queries.count()
     keep = k + 1 if exclude_self else k
+    q_count = queries.count()
+    if q_count <= scan_queries and q_count * vector_length(q, "q_vec") * 8 <= SCAN_BYTES:
+        return ranked_hits(_scanned(q, v, keep), k, exclude_self)
+    v_count = vectors.count()
     v = without_spare_copies(v, "claim_id", "v_vec", keep)
-    if v_count <= cell_rows:
-        v_rows, q_rows = block_size(v_count, cores), block_size(q_count, cores)
-        v_blocks = packed(salted(v, v_count, "claim_id", v_rows, "v_salt"), ["v_salt"], "claim_id", "v_vec", "v")
-        q_blocks = packed(salted(q, q_count, "query_id", q_rows, "q_salt"), ["q_salt"], "query_id", "q_vec", "q")
-        salts = F.sequence(F.lit(0), F.lit(max(1, ceil(v_count / v_rows)) - 1))
-        pairs = q_blocks.withColumn("v_salt", F.explode(salts)).join(v_blocks, "v_salt")
-        return best_hits(pairs, k, keep, exclude_self)
-    return _pruned_topk(q, v, q_count, v_count, k, keep, exclude_self, cell_rows, cores)
+    if v_count > unpruned_rows:
+        pairs = _reachable_pairs(q, v, q_count, v_count, keep, cores)
+        if pairs is not None:
+            return best_hits(pairs, k, keep, exclude_self)
+    v_rows, q_rows = block_size(v_count, cores), block_size(q_count, cores)
+    v_blocks = packed(salted(v, v_count, "claim_id", v_rows, "v_salt"), ["v_salt"], "claim_id", "v_vec", "v")
+    q_blocks = packed(salted(q, q_count, "query_id", q_rows, "q_salt"), ["q_salt"], "query_id", "q_vec", "q")
+    salts = F.sequence(F.lit(0), F.lit(max(1, ceil(v_count / v_rows)) - 1))
+    pairs = q_blocks.withColumn("v_salt", F.explode(salts)).join(v_blocks, "v_salt")
+    return best_hits(pairs, k, keep, exclude_self)
+
+
+def _scanned(q: DataFrame, v: DataFrame, keep: int) -> DataFrame:
+    """(query_id, claim_id, score): each task's ``keep`` best per query. ``q`` is of checked size."""
+    found = q.toArrow().combine_chunks()
+    flat = found.column("q_vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    matrix = flat.astype("float64").reshape(found.num_rows, -1) if found.num_rows else None
+    shared = q.sparkSession.sparkContext.broadcast((found.column("query_id").combine_chunks(), matrix))
+    schema = T.StructType(
+        [
+            T.StructField("query_id", q.schema["query_id"].dataType),
+            T.StructField("claim_id", v.schema["claim_id"].dataType),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+    return v.mapInArrow(scan_scorer(shared, keep), schema)
 
 
 def _pivots(v: DataFrame, count: int) -> np.ndarray:
@@ -225,9 +316,23 @@ def _reachable(shared_pivots, shared_radius, keep: int):
     return reach.asNondeterministic()
 
 
-def _pruned_topk(q, v, q_count, v_count, k, keep, exclude_self, cell_rows, cores):
+def visited_share(pivots: np.ndarray, radius: np.ndarray, counts: np.ndarray) -> float:
+    """Share of all rows in the cells a typical query reaches, judged with pivots as queries.
+
+    A pivot's best other pivot stands for the bound a query starts from."""
+    asked = pivots[:256]
+    scores = asked @ pivots.T
+    own = np.arange(len(asked))
+    others = scores.copy()
+    others[own, own] = -np.inf
+    reach = scores + np.sqrt((asked**2).sum(1))[:, None] * radius[None, :] >= others.max(1)[:, None]
+    return float((reach * counts).sum(1).mean() / max(1, counts.sum()))
+
+
+def _reachable_pairs(q, v, q_count, v_count, keep, cores):
+    """Block pairs that can hold a hit, or None where nearly all of them can."""
     context = q.sparkSession.sparkContext
-    pivots = _pivots(v, min(MAX_CELLS, ceil(v_count / cell_rows)))
+    pivots = _pivots(v, min(MAX_CELLS, isqrt(v_count)))
     shared = context.broadcast(pivots)
     nearest = _nearest(shared)
     v = v.withColumn("_near", nearest("v_vec")).select("claim_id", "v_vec", "_near.cell", "_near.away")
@@ -235,12 +340,13 @@ def _pruned_topk(q, v, q_count, v_count, k, keep, exclude_self, cell_rows, cores
 
     # One row per cell, at most MAX_CELLS of them.
     stats = v.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect()
-    radius = np.full(len(pivots), -1.0)
+    radius, sizes = np.full(len(pivots), -1.0), np.zeros(len(pivots))
     for row in stats:
-        radius[row["cell"]] = row["radius"]
-    session = q.sparkSession
-    v_counts = session.createDataFrame([(r["cell"], r["n"]) for r in stats], "cell int, n long")
-    q_counts = written(q.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "q_counts")
+        radius[row["cell"]], sizes[row["cell"]] = row["radius"], row["n"]
+    if visited_share(pivots, radius, sizes) > WORTHWHILE_SHARE:
+        return None
+    v_counts = F.broadcast(q.sparkSession.createDataFrame([(r["cell"], r["n"]) for r in stats], "cell int, n long"))
+    q_counts = cell_counts_of(q, MAX_CELLS)
 
     v_blocks = packed(salted(v, v_counts, "claim_id", BLOCK_ROWS, "v_salt"), ["cell", "v_salt"], "claim_id", "v_vec", "v")
     q_rows = block_size(q_count, cores)
@@ -260,8 +366,7 @@ def _pruned_topk(q, v, q_count, v_count, k, keep, exclude_self, cell_rows, cores
     targets = visits.join(F.broadcast(salts), "cell").withColumn(
         "v_salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
     )
-    pairs = targets.join(v_blocks, ["cell", "v_salt"])
-    return best_hits(pairs, k, keep, exclude_self)
+    return targets.join(v_blocks, ["cell", "v_salt"])
 
 
 def topk_filtered(queries: DataFrame, vectors: DataFrame, condition: Column, k: int = 10, **names) -> DataFrame:
@@ -307,16 +412,18 @@ def topk_lsh(
     Within a bucket the search is exact. More bits make buckets smaller, more bands raise
     recall. There are bands x 2^bits buckets; crowded ones become many blocks."""
     q, v = _sides(queries, vectors, query_id, query_vector, vector_id, vector)
+    if bands << bits > BROADCAST_ROWS:
+        raise ValueError("too many buckets: lower bits or bands")
     keep = k + 1 if exclude_self else k
     sign = _signatures(vector_length(v, "v_vec"), bands, bits, seed)
     v = without_spare_copies(v, "claim_id", "v_vec", keep).withColumn("cell", F.explode(sign("v_vec")))
     q = q.withColumn("cell", F.explode(sign("q_vec")))
-    v_counts = written(v.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "v_counts")
-    q_counts = written(q.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "q_counts")
+    buckets = bands << bits
+    v_counts, q_counts = cell_counts_of(v, buckets), cell_counts_of(q, buckets)
     v_blocks = packed(salted(v, v_counts, "claim_id", BLOCK_ROWS, "v_salt"), ["cell", "v_salt"], "claim_id", "v_vec", "v")
     q_blocks = packed(salted(q, q_counts, "query_id", BLOCK_ROWS, "q_salt"), ["cell", "q_salt"], "query_id", "q_vec", "q")
     salts = v_counts.select("cell", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("salts"))
-    targets = q_blocks.join(small_side(salts, computed=True), "cell").withColumn(
+    targets = q_blocks.join(F.broadcast(salts), "cell").withColumn(
         "v_salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
     )
     pairs = targets.join(v_blocks, ["cell", "v_salt"])

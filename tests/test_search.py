@@ -34,28 +34,36 @@ def clustered(rng, centres, per, width=8, noise=0.05):
     return points / np.linalg.norm(points, axis=1, keepdims=True)
 
 
-@pytest.mark.parametrize("cell_rows", [65_536, 40])
-def test_topk_equals_brute_force(spark, cell_rows):
+PLANS = [(10_000, 65_536), (0, 65_536), (0, 20)]  # scan, all block pairs, reachable block pairs
+
+
+@pytest.fixture(autouse=True)
+def always_prune(monkeypatch):
+    monkeypatch.setattr(search, "WORTHWHILE_SHARE", 1.0)
+
+
+@pytest.mark.parametrize("scan_queries,unpruned_rows", PLANS)
+def test_topk_equals_brute_force(spark, scan_queries, unpruned_rows):
     data = clustered(np.random.default_rng(1), 12, 25)
     df = vectors_of(spark, data)
-    hits = search.topk(as_queries(df), df, 5, cell_rows=cell_rows)
+    hits = search.topk(as_queries(df), df, 5, scan_queries=scan_queries, unpruned_rows=unpruned_rows)
     assert triples(hits) == brute(data, data, 5, True)
 
 
-@pytest.mark.parametrize("cell_rows", [65_536, 30])
-def test_topk_not_unit_length_and_queries_apart(spark, cell_rows):
+@pytest.mark.parametrize("scan_queries,unpruned_rows", PLANS)
+def test_topk_not_unit_length_and_queries_apart(spark, scan_queries, unpruned_rows):
     rng = np.random.default_rng(2)
     data, asked = rng.standard_normal((200, 6)) * rng.uniform(0.1, 5, (200, 1)), rng.standard_normal((17, 6)) * 3
-    hits = search.topk(as_queries(vectors_of(spark, asked)), vectors_of(spark, data), 4, exclude_self=False, cell_rows=cell_rows)
+    hits = search.topk(as_queries(vectors_of(spark, asked)), vectors_of(spark, data), 4, exclude_self=False, scan_queries=scan_queries, unpruned_rows=unpruned_rows)
     assert triples(hits) == brute(asked, data, 4, False)
 
 
-@pytest.mark.parametrize("cell_rows", [65_536, 25])
-def test_topk_with_a_third_of_all_rows_equal(spark, cell_rows):
+@pytest.mark.parametrize("scan_queries,unpruned_rows", PLANS)
+def test_topk_with_a_third_of_all_rows_equal(spark, scan_queries, unpruned_rows):
     data = clustered(np.random.default_rng(3), 10, 15)
     data[::3] = data[0]
     df = vectors_of(spark, data)
-    hits = search.topk(as_queries(df), df, 6, cell_rows=cell_rows)
+    hits = search.topk(as_queries(df), df, 6, scan_queries=scan_queries, unpruned_rows=unpruned_rows)
     assert triples(hits) == brute(data, data, 6, True)
 
 
@@ -63,7 +71,7 @@ def test_topk_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK_ROWS", 7)
     data = clustered(np.random.default_rng(4), 6, 20)
     df = vectors_of(spark, data)
-    assert triples(search.topk(as_queries(df), df, 3, cell_rows=30)) == brute(data, data, 3, True)
+    assert triples(search.topk(as_queries(df), df, 3, scan_queries=0, unpruned_rows=30)) == brute(data, data, 3, True)
 
 
 def test_topk_fewer_vectors_than_k(spark):
@@ -72,6 +80,12 @@ def test_topk_fewer_vectors_than_k(spark):
     assert triples(search.topk(as_queries(df), df, 10)) == brute(data, data, 10, True)
 
 
+def test_no_queries_and_no_vectors(spark):
+    df = vectors_of(spark, np.eye(3))
+    assert search.topk(as_queries(df.filter("claim_id < 0")), df, 2).count() == 0
+    assert search.topk(as_queries(df), df.filter("claim_id < 0"), 2).count() == 0
+
+
 def test_ties_take_the_lower_id(spark):
     df = vectors_of(spark, [[1, 0]] * 5)
     hits = search.topk(as_queries(df), df, 2)
@@ -92,6 +106,22 @@ def test_pruning_skips_cells(spark):
     assert list(cells[0]) == [0]
 
 
+def test_overlapping_cells_are_not_worth_pruning():
+    rng = np.random.default_rng(8)
+    apart, mixed = np.eye(8) * 10, rng.standard_normal((40, 8))
+    assert search.visited_share(np.vstack([apart, apart + 0.01]), np.full(16, 0.1), np.full(16, 5.0)) < 0.2
+    assert search.visited_share(mixed, np.full(40, 3.0), np.full(40, 5.0)) > 0.5
+
+
+def test_text_ids_and_small_scan_steps(spark, monkeypatch):
+    monkeypatch.setattr(search, "SCORES_AT_ONCE", 50)
+    data = clustered(np.random.default_rng(9), 4, 10)
+    df = vectors_of(spark, data).withColumn("claim_id", F.format_string("c%03d", "claim_id"))
+    hits = search.topk(as_queries(df), df, 4)
+    got = {(int(q[1:]), int(c[1:]), r) for q, c, r in triples(hits)}
+    assert got == brute(data, data, 4, True)
+
+
 def test_filter_comes_before_search(spark):
     data = clustered(np.random.default_rng(6), 4, 10)
     df = vectors_of(spark, data)
