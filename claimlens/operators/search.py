@@ -35,6 +35,9 @@ WORTHWHILE_SHARE = 0.25
 SCAN_QUERIES = 16_384
 SCAN_BYTES = 64 * 1024 * 1024
 SCORES_AT_ONCE = 4_000_000
+# An index above this size is first tried on a few of its vectors, to give each query a floor.
+SEED_FROM = 1_000_000
+SEED_ROWS = 16_384
 
 
 # --- inside tasks -----------------------------------------------------------------------
@@ -44,15 +47,25 @@ def as_matrix(flat: np.ndarray, rows: int) -> np.ndarray:
     return np.asarray(flat, dtype="float64").reshape(rows, -1)
 
 
-def best_pairs(queries: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vector row, score) of the ``k`` best per query; ties keep the lower vector row."""
+def best_pairs(queries: np.ndarray, vectors: np.ndarray, k: int, floor: np.ndarray | None = None):
+    """(query row, vector row, score) of the ``k`` best per query; ties keep the lower vector row.
+
+    With a ``floor`` per query, scores below it are out and nothing need be partitioned."""
     scores = queries @ vectors.T
-    if scores.shape[1] > k:
+    if floor is not None:
+        rows, columns = np.nonzero(scores >= (floor - 10.0**-SCORE_PLACES * 2)[:, None])
+    elif scores.shape[1] > k:
         kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
         keep = scores >= (kth - 10.0**-SCORE_PLACES * 2)[:, None]
         rows, columns = np.nonzero(keep)
     else:
         rows, columns = (a.ravel() for a in np.indices(scores.shape))
+    if len(rows) > 4 * k * len(queries) and scores.shape[1] > k:
+        # Copies: of the scores equal to the k-th best, the first k columns are enough.
+        scores = np.round(scores, SCORE_PLACES)
+        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        equal = scores == kth
+        rows, columns = np.nonzero((scores > kth) | (equal & (np.cumsum(equal, axis=1) <= k)))
     values = np.round(scores[rows, columns], SCORE_PLACES)
     order = np.lexsort((columns, -values, rows))
     rows, columns, values = rows[order], columns[order], values[order]
@@ -80,6 +93,11 @@ def block_scorer(k: int):
     return score.asNondeterministic()  # keeps the planner from running it once per field
 
 
+def arrow_matrix(rows: pa.Table, column: str) -> np.ndarray | None:
+    """A list column as a matrix; None without rows."""
+    return as_matrix(rows.column(column).combine_chunks().flatten().to_numpy(), rows.num_rows) if rows.num_rows else None
+
+
 def lowest_first(rows: np.ndarray, ids: np.ndarray, values: np.ndarray, k: int):
     """The ``k`` best (score, then lower id) candidates of each query row."""
     order = np.lexsort((np.unique(ids, return_inverse=True)[1], -values, rows))
@@ -91,14 +109,15 @@ def lowest_first(rows: np.ndarray, ids: np.ndarray, values: np.ndarray, k: int):
 def scan_scorer(shared, k: int):
     """Task function over vector batches: keeps a running k best per query, emits it at the end.
 
-    ``shared`` is the broadcast (query ids as an Arrow array, query matrix)."""
+    ``shared`` is the broadcast (query ids as an Arrow array, query matrix, floor per query or
+    None): what cannot reach its query's floor is not emitted."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries = shared.value
+        query_ids, queries, seed = shared.value
         if queries is None:
             return
         step = max(1, SCORES_AT_ONCE // max(1, len(queries)))
-        kept = None
+        kept, floor = None, seed
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -108,11 +127,15 @@ def scan_scorer(shared, k: int):
             vectors = as_matrix(flat, batch.num_rows)
             for start in range(0, len(by_id), step):
                 part = by_id[start : start + step]
-                rows, columns, values = best_pairs(queries, vectors[part], k)
+                rows, columns, values = best_pairs(queries, vectors[part], k, floor)
                 ids = all_ids[part][columns]
                 if kept is not None:
                     rows, ids, values = (np.concatenate(pair) for pair in zip(kept, (rows, ids, values)))
                 kept = lowest_first(rows, ids, values, k)
+                # A query that has k hits takes the last one's score as its floor.
+                floor = np.full(len(queries), -np.inf) if seed is None else seed.copy()
+                full = np.bincount(kept[0], minlength=len(queries)) == k
+                floor[full] = kept[2][np.searchsorted(kept[0], np.flatnonzero(full)) + k - 1]
         if kept is not None:
             rows, ids, values = kept
             found = [query_ids.take(pa.array(rows)), pa.array(ids, batch.schema.field(0).type), pa.array(values)]
@@ -240,10 +263,9 @@ def topk(
     q, v = _sides(queries, vectors, query_id, query_vector, vector_id, vector)
     cores = q.sparkSession.sparkContext.defaultParallelism
     keep = k + 1 if exclude_self else k
-    q_count = queries.count()
+    q_count, v_count = queries.count(), vectors.count()
     if q_count <= scan_queries and q_count * vector_length(q, "q_vec") * 8 <= SCAN_BYTES:
-        return ranked_hits(_scanned(q, v, keep), k, exclude_self)
-    v_count = vectors.count()
+        return ranked_hits(_scanned(q, v, v_count, keep), k, exclude_self)
     v = without_spare_copies(v, "claim_id", "v_vec", keep)
     if v_count > unpruned_rows:
         pairs = _reachable_pairs(q, v, q_count, v_count, keep, cores)
@@ -257,12 +279,19 @@ def topk(
     return best_hits(pairs, k, keep, exclude_self)
 
 
-def _scanned(q: DataFrame, v: DataFrame, keep: int) -> DataFrame:
-    """(query_id, claim_id, score): each task's ``keep`` best per query. ``q`` is of checked size."""
-    found = q.toArrow().combine_chunks()
-    flat = found.column("q_vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    matrix = flat.astype("float64").reshape(found.num_rows, -1) if found.num_rows else None
-    shared = q.sparkSession.sparkContext.broadcast((found.column("query_id").combine_chunks(), matrix))
+def _scanned(q: DataFrame, v: DataFrame, v_count: int, keep: int) -> DataFrame:
+    """(query_id, claim_id, score): each task's ``keep`` best per query. ``q`` is of checked size.
+
+    Any ``keep`` vectors bound the result from below, so for a big index the best of a few of
+    its vectors spare the tasks from emitting what is worse."""
+    asked = q.toArrow().combine_chunks()
+    queries, floor = arrow_matrix(asked, "q_vec"), None
+    if v_count > SEED_FROM and queries is not None:
+        few = arrow_matrix(v.limit(SEED_ROWS).toArrow().combine_chunks(), "v_vec")
+        if few is not None and len(few) >= keep:
+            floor = best_pairs(queries, few, keep)[2].reshape(len(queries), keep)[:, -1]
+    ids = asked.column("query_id").combine_chunks()
+    shared = q.sparkSession.sparkContext.broadcast((ids, queries, floor))
     schema = T.StructType(
         [
             T.StructField("query_id", q.schema["query_id"].dataType),

@@ -80,6 +80,27 @@ def test_topk_fewer_vectors_than_k(spark):
     assert triples(search.topk(as_queries(df), df, 10)) == brute(data, data, 10, True)
 
 
+@pytest.mark.parametrize("seed_rows", [2, 40])
+def test_scan_with_a_floor_from_a_few_vectors(spark, monkeypatch, seed_rows):
+    monkeypatch.setattr(search, "SEED_FROM", 10)
+    monkeypatch.setattr(search, "SEED_ROWS", seed_rows)
+    monkeypatch.setattr(search, "SCORES_AT_ONCE", 2_000)
+    data = clustered(np.random.default_rng(10), 10, 15)
+    data[::3] = data[0]
+    df = vectors_of(spark, data)
+    assert triples(search.topk(as_queries(df), df, 5)) == brute(data, data, 5, True)
+
+
+@pytest.mark.parametrize("floored", [False, True])
+def test_many_equal_vectors_in_one_block(floored):
+    vectors = np.vstack([np.ones((1000, 2)), [[3, 3]], np.ones((500, 2))])
+    queries = np.array([[1.0, 1.0], [2.0, 0.0]])
+    floor = np.full(2, 0.5) if floored else None
+    rows, columns, values = search.best_pairs(queries, vectors, 3, floor)
+    assert columns.tolist() == [1000, 0, 1] * 2
+    assert rows.tolist() == [0, 0, 0, 1, 1, 1] and values.tolist() == [6.0, 2.0, 2.0, 6.0, 2.0, 2.0]
+
+
 def test_no_queries_and_no_vectors(spark):
     df = vectors_of(spark, np.eye(3))
     assert search.topk(as_queries(df.filter("claim_id < 0")), df, 2).count() == 0
