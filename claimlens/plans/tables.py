@@ -158,7 +158,7 @@ def stream_checkpoint_resume(spark, sf):
     source, target, checkpoint = (scratch_path(spark, n) for n in ("source", "target", "checkpoint"))
     rows = table(spark, sf, "documents").select("doc_id", hash_bucket("doc_id").alias("b"))
     for part in (F.col("b") < 6000, F.col("b") >= 6000):
-        rows.filter(part).coalesce(1).write.mode("append").parquet(source)
+        rows.filter(part).write.mode("append").parquet(source)
         drain(stream_table(spark, source, rows.schema), target, checkpoint)
     drain(stream_table(spark, source, rows.schema), target, checkpoint)  # nothing new: adds no batch
     return spark.read.parquet(target).groupBy("batch_id").agg(F.count(F.lit(1)).alias("cnt"))
