@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 
 from claimlens.llm.mixture import mix
 from claimlens.llm.ngram_join import ngram_components
+from claimlens.llm.repetition import DUPLICATE_GRAMS, DUPLICATE_LINES, repetition_rules
+from claimlens.llm.token_count import read_vocabulary, token_counts
+from claimlens.llm.url_filter import canonical, host, judge_urls, path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+VOCABULARY = os.environ.get("CLAIMLENS_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
+
 WORDS_SQL = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
 
 MIX_SQL = f"""
@@ -61,12 +67,99 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 FROM placed"""
 
 
+@query("op2_token_counts")
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every whole text under the unigram segmentation of a public vocabulary."""
+    return token_counts(table(spark, sf_dir, "documents"), read_vocabulary(VOCABULARY))
+
+
+# Fixed values of the contract.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+# Pages of these hosts give the listed URLs.
+SPAM_HOST = r"(^|\.)spam[^.]*\."
+
+URLS_SQL = rf"""
+WITH judged AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages),
+plain AS (
+  SELECT *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') AS canonical,
+         CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+              WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+              WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+              WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+              WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM judged),
+listed AS (SELECT DISTINCT canonical FROM plain WHERE regexp_matches(host, '{SPAM_HOST}'))
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END AS verdict
+FROM plain"""
+
+
+@query("op4_url_filter", URLS_SQL)
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL against five rules and the list of canonical URLs of spam hosts."""
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    spam = pages.where(host("url").rlike(SPAM_HOST))
+    return judge_urls(pages, rules, spam.select(canonical(host("url"), path("url")).alias("url")))
+
+
 @query("op5_mix_sources", MIX_SQL)
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents by source weight: 150 % of all words, no source beyond twice its size."""
     return mix(table(spark, sf_dir, "documents"))
 
 
+def _repeats_sql(n: int) -> str:
+    return f"""
+win{n} AS (
+  SELECT rid, p, hash(string_agg(word, ' ') OVER g) AS gram, count(*) OVER g AS wide
+  FROM tok WINDOW g AS (PARTITION BY rid ORDER BY p ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)),
+twice{n} AS (SELECT rid, p FROM (SELECT *, count(*) OVER (PARTITION BY rid, gram) AS found FROM win{n} WHERE wide = {n}) WHERE found > 1),
+cov{n} AS (
+  SELECT rid, count(*) AS words_in, sum(size) AS chars_in
+  FROM (SELECT DISTINCT rid, p + o AS p FROM twice{n}, (SELECT unnest(range(0, {n})) AS o)) JOIN tok USING (rid, p)
+  GROUP BY rid)"""
+
+
+REPETITION_SQL = rf"""
+WITH w AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {WORDS_SQL.format(text='text')} AS words FROM documents),
+tok AS (SELECT rid, word, p, len(word) AS size FROM (SELECT rid, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w)),
+lines AS (
+  SELECT rid, line, row_number() OVER (PARTITION BY rid, line ORDER BY i) AS seen
+  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM w)),
+again AS (
+  SELECT rid, count(*) AS n, sum(len(array_to_string({WORDS_SQL.format(text='line')}, ''))) AS chars
+  FROM lines WHERE seen > 1 AND len({WORDS_SQL.format(text='line')}) > 0 GROUP BY rid),{','.join(_repeats_sql(n) for n in DUPLICATE_GRAMS)},
+m AS (
+  SELECT w.doc_id, len(words)::BIGINT AS n_words, len(array_to_string(words, ''))::BIGINT AS word_chars,
+         len(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         coalesce(again.n, 0)::BIGINT AS n_dup_lines, coalesce(cov5.words_in, 0)::BIGINT AS n_repeat_words,
+         coalesce(again.chars::DOUBLE / len(array_to_string(words, '')), 0) AS line_share,
+         {', '.join(f"coalesce(cov{n}.chars_in::DOUBLE / len(array_to_string(words, '')), 0) AS share_{n}" for n in DUPLICATE_GRAMS)}
+  FROM w LEFT JOIN again USING (rid) {' '.join(f'LEFT JOIN cov{n} USING (rid)' for n in DUPLICATE_GRAMS)})
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND line_share <= {DUPLICATE_LINES}
+       AND {' AND '.join(f'share_{n} <= {most}' for n, most in DUPLICATE_GRAMS.items())} AS kept
+FROM m"""
+
+
+@query("op9_repetition_rules", REPETITION_SQL)
+def op9_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition measures of every document, and whether it is kept."""
+    return repetition_rules(table(spark, sf_dir, "documents"))
+
+
 @query("op10_ngram_jaccard_join")
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by 4-word shingle sets of Jaccard similarity 0.85 or more."""
