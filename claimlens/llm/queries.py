@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from claimlens.llm.mixture import mix
 from claimlens.llm.ngram_join import ngram_components
+from claimlens.llm.pii import digest, find
+from claimlens.llm.quality import quality_scores, train as train_quality
 from claimlens.llm.repetition import DUPLICATE_GRAMS, DUPLICATE_LINES, repetition_rules
 from claimlens.llm.token_count import read_vocabulary, token_counts
+from claimlens.llm.toxicity import toxicity_scores, train as train_toxicity
 from claimlens.llm.url_filter import canonical, host, judge_urls, path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +167,23 @@ def op9_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by 4-word shingle sets of Jaccard similarity 0.85 or more."""
     return ngram_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+@query("op8_quality_rules")
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by a rule ensemble trained on the labels outside the held-out part."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op3_toxicity_decoded")
+def op3_toxicity_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity after undoing disguised spelling."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_scores(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op6_contextual_pii")
+def op6_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base entities and identifiers found through their contexts."""
+    return digest(find(table(spark, sf_dir, "documents")))
