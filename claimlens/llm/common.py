@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,3 +72,65 @@ def connected(links: DataFrame) -> DataFrame:
         state = tuple(seen)
     ends = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return ends.union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The runs of rows with equal ``keys`` of a sorted partition, each whole whatever the batches' ends."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        values = batch[keys].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (values[1:] != values[:-1]).any(axis=1)])
+        ends = np.r_[starts[1:], len(batch)]
+        for start, end in zip(starts, ends):
+            part = batch.iloc[start:end]
+            if held and (held[0][keys].iloc[0].to_numpy() != part[keys].iloc[0].to_numpy()).any():
+                yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+                held = []
+            held.append(part)
+    if held:
+        yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Words:
+    """Hashes of a text's words, without making a string of each.
+
+    A word's hash is the sum of a random number per byte, times the power of its place; equal words
+    have equal hashes in every process. ASCII white space parts words, as in ``WORD``."""
+
+    def __init__(self):
+        self.space = np.zeros(256, bool)
+        self.space[[32, *range(9, 14)]] = True
+        self.number = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.powers = np.ones(1, np.uint64)
+
+    def places(self, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First byte of each word and the byte after its last."""
+        inside = np.zeros(len(letters) + 2, np.int8)
+        inside[1:-1] = ~self.space[letters]
+        edges = np.flatnonzero(np.diff(inside))
+        return edges[::2], edges[1::2]
+
+    def hashes(self, letters: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if not len(starts):
+            return np.empty(0, np.uint64)
+        sizes = ends - starts
+        if (longest := int(sizes.max())) > len(self.powers):
+            self.powers = np.cumprod(np.r_[np.uint64(1), np.full(2 * longest, 0xD1342543DE82EF95, np.uint64)])
+        first = np.cumsum(sizes) - sizes
+        place = np.arange(first[-1] + sizes[-1]) - np.repeat(first, sizes)
+        inner = letters[place + np.repeat(starts, sizes)]
+        return mixed(np.add.reduceat(self.number[inner] * self.powers[place], first) + sizes.astype(np.uint64))
+
+    def lowered(self, text: str | None) -> np.ndarray:
+        """Hashes of the words, A-Z lower-cased."""
+        letters = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
+        return self.hashes(letters, *self.places(letters))

@@ -12,7 +12,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.llm.common import UPPER, WORD, connected
+from claimlens.llm.common import Words, connected, mixed, runs
 from claimlens.session import spread, written
 
 # An n-gram in this many documents of one chunk may be a heavy one.
@@ -35,45 +34,24 @@ PIVOTS = 16
 # Heavy n-grams come last in the global order.
 LAST = np.int64(1) << np.int64(62)
 
-_LOWER = str.maketrans(UPPER, UPPER.lower())
-_A = np.uint64(0x9E3779B97F4A7C15)
-_B = np.uint64(0xBF58476D1CE4E5B9)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Spread the bits of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * _B
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Grams:
-    """Texts to sorted arrays of distinct 64-bit n-gram hashes; hashes of words are remembered up to a bound."""
-
-    def __init__(self, n: int, words_kept: int = 500_000):
-        import xxhash
+    """Texts to sorted arrays of distinct 64-bit n-gram hashes."""
 
-        self.n, self.kept, self.known = n, words_kept, {}
-        self.find, self.hash = re.compile(WORD).findall, xxhash.xxh64_intdigest
-
-    def word(self, word: str) -> int:
-        h = self.known.get(word)
-        if h is None:
-            if len(self.known) >= self.kept:
-                self.known.clear()
-            h = self.known[word] = self.hash(word.encode("utf-8", "surrogatepass"))
-        return h
+    def __init__(self, n: int):
+        self.n, self.words = n, Words()
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = self.find(text.translate(_LOWER)) if text else []
-        if not words:
-            return np.empty(0, np.uint64)
-        h = np.fromiter(map(self.word, words), np.uint64, len(words))
+        h = self.words.lowered(text)
+        if not len(h):
+            return h
         wide = min(self.n, len(h))
         # A short text is one n-gram of its own length, kept apart from n-grams of full length.
         grams = np.full(len(h) - wide + 1, wide, np.uint64)
         for k in range(wide):
-            grams = mixed(grams * _A + h[k : len(h) - wide + 1 + k])
+            grams = mixed(grams * _STEP + h[k : len(h) - wide + 1 + k])
         return np.unique(grams)
 
 
@@ -90,7 +68,7 @@ def _chunks(grams: Grams, batches: Iterator[pd.DataFrame]):
             found = grams(text)
             ids.append(int(doc))
             sets.append(found)
-            fingerprints.append(int(mixed(np.bitwise_xor.reduce(mixed(found + _A), keepdims=True) + np.uint64(len(found)))[0]) if len(found) else 0)
+            fingerprints.append(int(mixed(np.bitwise_xor.reduce(mixed(found + _STEP), keepdims=True) + np.uint64(len(found)))[0]) if len(found) else 0)
             held += len(found) + 1
             if held >= CHUNK_GRAMS:
                 yield ids, sets, fingerprints
@@ -228,18 +206,20 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else n
 
 
-def _walk(percent: int):
+def _walk(percent: int, keys: list[str]):
     """Links between the documents of one dealt piece, as edges of a forest: copies of a group's links are
     left out once two documents are connected, as they cannot change the groups."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def walked(group: pd.DataFrame) -> pd.DataFrame:
         often = [np.frombuffer(x, np.int64) for x in group["often"]]
         gram = [np.frombuffer(x, np.int64) for x in group["grams"]]
         lengths = [len(x) for x in gram]
-        keys = np.rec.fromarrays([np.concatenate(often), np.concatenate(gram)])
-        place = np.unique(keys, return_inverse=True)[1].reshape(-1)
+        often, gram = np.concatenate(often), np.concatenate(gram)
+        order = np.lexsort((gram, often))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(np.r_[False, gram[order][1:] != gram[order][:-1]])
         sets = np.split(place, np.cumsum(lengths)[:-1])
-        order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
+        order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
         sets = [sets[i] for i in order]
         docs, sizes, sides = (group[c].to_numpy()[order] for c in ("doc_id", "n", "side"))
         tree = Tree(sets, sizes)
@@ -265,6 +245,11 @@ def _walk(percent: int):
             mark[sets[q]] = 0
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in runs(batches, keys):
+            if len(group) > 1:
+                yield walked(group)
+
     return run
 
 
@@ -281,7 +266,8 @@ def _ordered(percent: int):
                 o = np.fromiter((p["often"] for p in pairs), np.int64, len(pairs))
                 g = np.fromiter((p["gram"] for p in pairs), np.int64, len(pairs))
                 order = np.lexsort((g, o))
-                first = n - -(-percent * n // 100) + 1 - (n - len(g))
+                order = order[np.r_[True, g[order][1:] != g[order][:-1]]]  # rows that repeat an id
+                first = n - -(-percent * n // 100) + 1 - (n - len(order))
                 often.append(o[order].tobytes())
                 grams.append(g[order].tobytes())
                 tried.append(g[order][: max(0, first)].tolist())
@@ -332,7 +318,7 @@ def links(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id"
     )
     alone = members.where("doc_id = representative and n_shingles > 0").select("doc_id", F.col("n_shingles").alias("n"))
     sets = written(
-        shared.groupBy("doc_id").agg(F.collect_set(F.struct("often", "gram")).alias("pairs"))
+        shared.groupBy("doc_id").agg(F.collect_list(F.struct("often", "gram")).alias("pairs"))
         .join(alone, "doc_id")
         .where(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("pairs")) > 0)
         .select("doc_id", "n", "pairs")
@@ -345,7 +331,7 @@ def links(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id"
     placed = written(_pieces(sets.drop("tried"), groups), "blocks")
 
     def walked(dealt: DataFrame, *keys: str) -> DataFrame:
-        return dealt.groupBy(*keys).applyInPandas(_walk(percent), "a long, b long")
+        return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_walk(percent, list(keys)), "a long, b long")
 
     # Every block by itself, and with it the first few documents of the group, through which blocks connect.
     pivots = placed.where("blocks > 1").join(
