@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimlens.llm.decontaminate import contaminated
 from claimlens.llm.mixture import mix
 from claimlens.llm.ngram_join import ngram_components
 from claimlens.llm.pii import digest, find
@@ -187,3 +188,9 @@ def op3_toxicity_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: base entities and identifiers found through their contexts."""
     return digest(find(table(spark, sf_dir, "documents")))
+
+
+@query("op1_decontaminate")
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, verbatim or with other numbers, names or units."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
