@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from claimlens.llm.decontaminate import contaminated
 from claimlens.llm.mixture import mix
 from claimlens.llm.ngram_join import ngram_components
+from claimlens.llm.passages import repeated_passages
 from claimlens.llm.pii import digest, find
 from claimlens.llm.quality import quality_scores, train as train_quality
 from claimlens.llm.repetition import DUPLICATE_GRAMS, DUPLICATE_LINES, repetition_rules
@@ -194,3 +195,9 @@ def op6_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, verbatim or with other numbers, names or units."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_repeated_passages")
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that a document shares with an earlier one."""
+    return repeated_passages(table(spark, sf_dir, "documents"))

@@ -1,4 +1,8 @@
-"""From raw documents to a training mix: five stages, each written to the shared folder and read again."""
+"""From raw documents to a training mix: five stages, each written to the shared folder and read again.
+
+Every stage takes (spark, docs, sf_dir) and decides over all documents that the stage before it kept.
+All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -6,29 +10,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from claimlens.llm.decontaminate import without_leaks
 from claimlens.llm.mixture import mix
 from claimlens.llm.ngram_join import one_of_each
+from claimlens.llm.pii import redact
+from claimlens.llm.quality import keep_good, train
 from claimlens.session import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble rejects go. It learns from the labels outside the held-out part."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return keep_good(docs, train(docs, labels)).select(*COLUMNS)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: 5-word shingles, similarity 0.8."""
+    """Of each group of documents linked by 5-word shingles at similarity 0.8 the lowest id stays."""
     return one_of_each(docs, n=5, percent=80).select(*COLUMNS)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, verbatim or re-parameterised, go."""
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to its kind in angle brackets; every document stays."""
+    return redact(docs).select(*COLUMNS)
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with the words it takes of each."""
+    """The documents that the mix takes, with their size, their source's size and target, and the words taken of each."""
     return mix(docs, carry=COLUMNS).where("taken > 0")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
     ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
     ("mixture", mixture),
 ]
 
-# The classifier and the join have no SQL form; tests hold the stages against brute force.
+# The classifier and the joins have no SQL form; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
