@@ -43,33 +43,56 @@ def label_sample(labels: DataFrame, label: str, bound: int) -> DataFrame:
     )
 
 
+def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A partition's links replaced by (u, v): every id tied to the smallest id that it reaches within the partition."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = above[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch["u"].tolist(), batch["v"].tolist()):
+            a, b = root(u), root(v)
+            if a != b:
+                above[max(a, b)] = min(a, b)
+    tied = [(x, root(x)) for x in above]
+    yield pd.DataFrame([t for t in tied if t[0] != t[1]], columns=["u", "v"], dtype="int64")
+
+
+def _stars(pairs: DataFrame) -> bool:
+    """Whether every id is either tied to one other or has others tied to it."""
+    ends = pairs.select(F.col("u").alias("id"), F.lit(1).alias("tied")).union(pairs.select("v", F.lit(0)))
+    roles = ends.groupBy("id").agg(F.sum("tied").alias("ties"), F.min("tied").alias("low"))
+    return roles.where("ties > 1 or (ties = 1 and low = 0)").limit(1).count() == 0
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(a, b) links to (id, component): for every id on a link the smallest id that it reaches.
 
-    Alternating large and small stars: each round every id's neighbours are tied to their
-    minimum, until nothing changes. A hub's links are salted, so they meet its row in many
-    tasks. Every round is written to the shared folder, which also cuts the lineage."""
+    Every task first ties the ids of its own links to their minimum. Then, while some id is tied to one that
+    is tied itself, alternating large and small stars: each id's neighbours are tied to their minimum. A hub's
+    links are salted, so they meet its row in many tasks. Every round is written to the shared
+    folder, which also cuts the lineage. Memory: the ids of one task's links."""
 
     def to_lowest(pairs: DataFrame, lowest: DataFrame) -> DataFrame:
         salts = F.explode(F.array(*[F.lit(i) for i in range(HUB_SALTS)]))
         dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(HUB_SALTS)).cast("int"))
         return dealt.join(lowest.withColumn("salt", salts), ["u", "salt"]).drop("salt")
 
-    now = written(
-        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links"
-    )
-    state = None
-    while True:
+    def within_tasks(pairs: DataFrame) -> DataFrame:
+        return written(pairs.mapInPandas(_forest, "u long, v long"), "links")
+
+    now = within_tasks(written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v"), "links"))
+    while not _stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = to_lowest(both, lowest).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = to_lowest(large, lowest).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        now = written(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(seen) == state:
-            break
-        state = tuple(seen)
+        now = within_tasks(written(small.union(lowest.select("u", F.col("m").alias("v"))), "stars"))
     ends = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return ends.union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 

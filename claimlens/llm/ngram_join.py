@@ -29,7 +29,7 @@ CHUNK_GRAMS = 1_000_000
 # A heavy n-gram is counted in at least one in this many documents, so the list has at most this times the mean set size.
 HEAVY_ONE_IN = 200
 # Documents in a block of a large candidate group, and documents of its first block that every block meets.
-BLOCK = 1_000
+BLOCK = 300
 PIVOTS = 16
 # Heavy n-grams come last in the global order.
 LAST = np.int64(1) << np.int64(62)
