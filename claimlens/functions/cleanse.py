@@ -65,7 +65,11 @@ def unlabelled(df: DataFrame, label: str) -> DataFrame:
 
 
 def drop_labels(df: DataFrame, label: str, labels: Sequence[str]) -> DataFrame:
-    """Rows whose label is not listed. A NULL label goes too, as in ``NOT IN``."""
+    """Rows whose label is not listed, as in ``NOT IN``: a NULL label goes too, and a NULL in the list leaves no row.
+
+    A long list is joined instead of written into the plan, with the same result."""
+    if any(v is None for v in labels):
+        return df.filter(F.lit(False))
     if len(labels) <= LITERAL_LIST_LIMIT:
         return df.filter(~F.col(label).isin(*labels))
     from claimlens.session import small_side

@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.operators.windows import slice_rows, top_n_per_group
 
-# Up to this many columns all pairs fit one generated aggregation.
-PAIRWISE_COLUMNS = 12
+# Pairs of columns measured in one aggregation; more pairs take more passes, never another rule.
+PAIRS_PER_PASS = 60
 
 
 def count_by(df: DataFrame, *keys: str, out: str = "cnt") -> DataFrame:
@@ -58,35 +57,33 @@ def concat_examples(
     return rows.agg(F.array_join(numbered, "\n").alias(out))
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson matrix in long form (i, j, r), indexes in the order of ``columns``.
+def _pair_correlation(x: str, y: str) -> Column:
+    """Pearson's r over the rows that hold both; NaN where either does not vary, NULL without such rows."""
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    both = a.isNotNull() & b.isNotNull()
+    spreads = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    r = F.lit(1.0) if x == y else F.try_divide(F.covar_pop(F.when(both, a), F.when(both, b)), spreads)
+    return F.when(spreads == 0, F.lit(float("nan"))).when(spreads.isNotNull(), r)
 
-    Few columns: every pair in one aggregation without a vector. Many: the ML routine."""
-    names = list(columns)
-    count = len(names)
-    if count > PAIRWISE_COLUMNS:
-        return correlation_matrix_ml(df, names)
-    pairs = [(i, j) for i in range(count) for j in range(i)]
-    measured = df.agg(*[F.corr(names[i], names[j]).alias(f"r_{i}_{j}") for i, j in pairs])
-    cells = [
-        F.struct(
-            F.lit(i).cast("long").alias("i"),
-            F.lit(j).cast("long").alias("j"),
-            (F.lit(1.0) if i == j else F.col(f"r_{max(i, j)}_{min(i, j)}")).alias("r"),
-        )
-        for i in range(count)
-        for j in range(count)
-    ]
-    return measured.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
+def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pearson matrix in long form (i, j, r), indexes in the order of ``columns``.
 
-def correlation_matrix_ml(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The same through ``ml.stat.Correlation``; only the columns x columns matrix is collected."""
+    The same for any number of columns: a NULL leaves its row out of the pairs it is in, a column
+    that does not vary gives NaN. Pairs are aggregated map-side, some tens of them per pass."""
     names = list(columns)
-    vectors = VectorAssembler(inputCols=names, outputCol="_features", handleInvalid="error").transform(df.select(*names))
-    matrix = Correlation.corr(vectors, "_features").first()[0]
-    cells = [(i, j, float(matrix[i, j])) for i in range(len(names)) for j in range(len(names))]
-    return df.sparkSession.createDataFrame(cells, "i long, j long, r double")
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
+    parts = []
+    for start in range(0, len(pairs), PAIRS_PER_PASS):
+        some = pairs[start : start + PAIRS_PER_PASS]
+        measured = df.agg(*[_pair_correlation(names[i], names[j]).alias(f"r_{i}_{j}") for i, j in some])
+        cells = [
+            F.struct(F.lit(p).cast("long").alias("i"), F.lit(q).cast("long").alias("j"), F.col(f"r_{i}_{j}").alias("r"))
+            for i, j in some
+            for p, q in dict.fromkeys([(i, j), (j, i)])
+        ]
+        parts.append(measured.select(F.explode(F.array(*cells)).alias("c")).select("c.*"))
+    return reduce(DataFrame.union, parts)
 
 
 def correlation_pairs(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -102,21 +99,25 @@ def correlation_pairs(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
 def onehot_correlation(df: DataFrame, category: str, numbers: Sequence[str]) -> DataFrame:
     """Correlation (value, feature, r) of each value's indicator with each numeric column.
 
-    No indicator column is built: with p the share of a value, r is the distance of its mean
-    from the whole mean in standard deviations, times sqrt(p / (1 - p))."""
+    No indicator column is built: with p the share of a value among the rows that hold the number,
+    r is the distance of its mean from the whole mean in standard deviations, times
+    sqrt(p / (1 - p)). A row without a category is in no value's group but in the whole."""
     whole = df.agg(
-        F.count(F.lit(1)).alias("n"),
+        *[F.count(c).alias(f"n_{c}") for c in numbers],
         *[F.avg(c).alias(f"mean_{c}") for c in numbers],
         *[F.stddev_pop(c).alias(f"sd_{c}") for c in numbers],
     ).first()
     groups = df.filter(F.col(category).isNotNull()).groupBy(category).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"mean_{c}") for c in numbers]
+        *[F.count(c).alias(f"n_{c}") for c in numbers], *[F.avg(c).alias(f"mean_{c}") for c in numbers]
     )
-    odds = F.sqrt(F.col("_n") / F.nullif(F.lit(whole["n"]) - F.col("_n"), F.lit(0)))
+
+    def odds(c: str) -> Column:
+        return F.sqrt(F.col(f"n_{c}") / F.nullif(F.lit(whole[f"n_{c}"]) - F.col(f"n_{c}"), F.lit(0)))
+
     cells = [
         F.struct(
             F.lit(c).alias("feature"),
-            ((F.col(f"mean_{c}") - F.lit(whole[f"mean_{c}"])) * odds / F.nullif(F.lit(whole[f"sd_{c}"]), F.lit(0.0))).alias("r"),
+            ((F.col(f"mean_{c}") - F.lit(whole[f"mean_{c}"])) * odds(c) / F.nullif(F.lit(whole[f"sd_{c}"]), F.lit(0.0))).alias("r"),
         )
         for c in numbers
     ]
@@ -141,7 +142,8 @@ def accuracy_percent(actual: str, predicted: str) -> Column:
 
 
 def weighted_mean(value: str, weight: str) -> Column:
-    return F.sum(F.col(value) * F.col(weight)) / F.sum(weight)
+    """NULL where the weights sum to nothing."""
+    return F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight))
 
 
 def mean_variance(df: DataFrame, score: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from claimlens.session import small_side
 HASH_BUCKETS = 10_000
 COPIES_PER_TASK_ROW = 10_000
 HISTOGRAM_DIGITS = 3
+ROWS_PER_CUT = 100_000
 
 
 def union_all(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -37,27 +40,38 @@ def rare_and_rest(df: DataFrame, label: str, max_count: int = 1) -> tuple[DataFr
     return counted.filter(rare).drop("_size"), counted.filter(~rare).drop("_size")
 
 
-def repeat_rows(df: DataFrame, times: int, copy: str = "copy") -> DataFrame:
-    """Each row ``times`` times, numbered from 1.
+def repeat_rows(df: DataFrame, times: int | Column, copy: str = "copy") -> DataFrame:
+    """Each row ``times`` (1 or more) times, numbered from 1.
 
     The copies are made in two steps with a shuffle between, so one source row with very
     many copies is spread over the tasks."""
-    if times <= COPIES_PER_TASK_ROW:
-        return df.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(times).cast("long"))))
-    step = COPIES_PER_TASK_ROW
-    blocks = df.withColumn("_start", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(times).cast("long"), F.lit(step).cast("long"))))
+    one, step = F.lit(1).cast("long"), COPIES_PER_TASK_ROW
+    often = (F.lit(times) if isinstance(times, int) else times).cast("long")
+    if isinstance(times, int) and times <= step:
+        return df.withColumn(copy, F.explode(F.sequence(one, often)))
+    counted = df.withColumn("_times", often)
+    blocks = counted.withColumn("_start", F.explode(F.sequence(one, F.col("_times"), F.lit(step).cast("long"))))
     spread_out = blocks.repartition("_start", *df.columns[:1])
-    copies = F.sequence(F.col("_start"), F.least(F.col("_start") + step - 1, F.lit(times).cast("long")))
-    return spread_out.withColumn(copy, F.explode(copies)).drop("_start")
+    copies = F.sequence(F.col("_start"), F.least(F.col("_start") + step - 1, F.col("_times")))
+    return spread_out.withColumn(copy, F.explode(copies)).drop("_start", "_times")
 
 
 def oversample_rare(df: DataFrame, label: str, max_count: int = 1) -> DataFrame:
-    """Every row of a rare class repeated up to the size of the largest class, all else once.
+    """Every rare class, of ``max_count`` rows at most, filled up to the size of the largest class; all else once.
 
-    ``copy`` numbers the repeats; other rows carry 1."""
+    The rows of a rare class share the copies evenly, the first ones in order of their values
+    taking one more. ``copy`` numbers the repeats of a row; other rows carry 1."""
     rare, rest = rare_and_rest(df, label, max_count)
     largest = df.filter(F.col(label).isNotNull()).groupBy(label).count().agg(F.max("count")).first()[0] or 0
-    return union_all(rest.withColumn("copy", F.lit(1).cast("long")), repeat_rows(rare, max(largest, 1)))
+    once = rest.withColumn("copy", F.lit(1).cast("long"))
+    if max_count == 1:
+        return union_all(once, repeat_rows(rare, max(largest, 1)))
+    # Windows over rare classes alone see ``max_count`` rows at most.
+    ordered = W.partitionBy(label).orderBy(*[F.hash(c) if t.startswith("map") else F.col(c) for c, t in df.dtypes])
+    size = F.count(F.lit(1)).over(W.partitionBy(label))
+    more = (F.row_number().over(ordered) <= F.lit(largest) % size).cast("long")
+    shared = rare.withColumn("_copies", F.floor(F.lit(largest) / size) + more)
+    return union_all(once, repeat_rows(shared, F.col("_copies")).drop("_copies"))
 
 
 def hash_order(key: str) -> Column:
@@ -69,9 +83,11 @@ def hash_cuts(df: DataFrame, label: str, key: str, fraction: float) -> DataFrame
     """(label, cut_hash, cut_key): the last row of each class within ``fraction`` in hash order.
 
     A histogram over the first hash digits finds the bucket a class is cut in; only the rows of
-    that bucket, about one in 4096, are put in order."""
+    that bucket are put in order. The digits follow the size of the largest class, so that a
+    bucket holds ``ROWS_PER_CUT`` rows of it at most, as hashes spread them."""
     hashed = df.select(label, F.col(key).alias("_key"), hash_order(key).alias("_h"))
-    digits = F.substring("_h", 1, HISTOGRAM_DIGITS)
+    largest = df.groupBy(label).count().agg(F.max("count")).first()[0] or 1
+    digits = F.substring("_h", 1, max(HISTOGRAM_DIGITS, ceil(log(max(1, largest / ROWS_PER_CUT), 16))))
     counts = hashed.groupBy(label, digits.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     one_class = W.partitionBy(label)
     summed = counts.withColumns(
@@ -109,7 +125,3 @@ def split_random(df: DataFrame, key: str, train_fraction: float, out: str = "is_
     """Independent draw per row by hash of its key: the same on any partitioning, no shuffle."""
     return df.withColumn(out, (hash_bucket(key) < int(train_fraction * HASH_BUCKETS)).cast("int"))
 
-
-def split_random_seeded(df: DataFrame, fractions: list[float], seed: int) -> list[DataFrame]:
-    """Spark's own split; which row goes where depends on the partitioning."""
-    return df.randomSplit(fractions, seed)

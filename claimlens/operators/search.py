@@ -507,8 +507,9 @@ def token_set(tokens: Column) -> Column:
 
 
 def overlap_score(query_tokens: str, hit_tokens: str) -> Column:
-    """How many distinct tokens query and hit share."""
-    return F.size(F.array_intersect(F.col(query_tokens), F.col(hit_tokens)))
+    """How many distinct tokens query and hit share; 0 where either has no text."""
+    shared = F.size(F.array_intersect(F.col(query_tokens), F.col(hit_tokens)))
+    return F.when(F.col(query_tokens).isNotNull() & F.col(hit_tokens).isNotNull(), shared).otherwise(0)
 
 
 def rerank(hits: DataFrame, score: Column, query: str = "query_id") -> DataFrame:
@@ -521,6 +522,6 @@ def rerank(hits: DataFrame, score: Column, query: str = "query_id") -> DataFrame
 
 
 def with_texts(hits: DataFrame, query_texts: DataFrame, claim_texts: DataFrame) -> DataFrame:
-    """Join per-query and per-claim columns to hits; hits lead, so texts move once per side."""
-    return hits.join(query_texts, "query_id").join(claim_texts, "claim_id")
+    """Join per-query and per-claim columns to hits; hits lead, so texts move once per side, and a hit without a text stays."""
+    return hits.join(query_texts, "query_id", "left").join(claim_texts, "claim_id", "left")
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from claimlens.session import small_side, written
+
 ROWS_PER_BUCKET = 1_000_000
-BUCKETS = 256
 
 
 def ranked_rows(
@@ -18,9 +19,9 @@ def ranked_rows(
     """``row_number`` within groups of any size, ascending by ``order_by`` (end it with a unique key).
 
     One count decides the plan. While the largest group fits ``rows_per_bucket`` this is a
-    plain window. Otherwise the big groups, of which there are at most rows / rows_per_bucket,
-    are cut into order ranges at sampled keys: each range is numbered in its own task and
-    starts from the row count of the ranges before it."""
+    plain window. Otherwise the table is cut into order ranges of about ``rows_per_bucket`` rows,
+    as many as it takes; each range is numbered in its own task and starts from the row count
+    of the group's ranges before it. The ranges are stored, so a lost task cannot cut them anew."""
     groups = list(partition_by)
     sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
     seen = sizes.agg(F.sum("_n").alias("total"), F.max("_n").alias("largest")).first()
@@ -30,28 +31,19 @@ def ranked_rows(
         one = W.partitionBy(F.lit(0)).orderBy(*order_by)
         return df.withColumn(out, F.row_number().over(one).cast("long"))
 
+    ranges = -(-seen["total"] // rows_per_bucket)
     # NULL-safe group key: one struct, never NULL itself.
-    keyed = df.withColumns({"_g": F.struct(F.lit(0).alias("_"), *groups), "_k": F.struct(*order_by)})
-    stride = max(rows_per_bucket, seen["total"] // BUCKETS)
-    big = sizes.filter(F.col("_n") > rows_per_bucket).select(F.struct(F.lit(0).alias("_"), *groups).alias("_g"))
-    cuts = (
-        keyed.filter(F.pmod(F.xxhash64("_k"), F.lit(stride)) == 0)
-        .join(F.broadcast(big), "_g", "left_semi")
-        .groupBy("_g")
-        .agg(F.array_sort(F.collect_list("_k")).alias("_cuts"))
-    )
-    before = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_k"))), F.lit(0))
-    ranged = keyed.join(F.broadcast(cuts), "_g", "left").withColumn(
-        "_range", F.when(F.col("_cuts").isNull(), 0).otherwise(before)
-    )
-    filled = ranged.filter(F.col("_cuts").isNotNull()).groupBy("_g", "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    keyed = df.withColumn("_g", F.struct(F.lit(0).alias("_"), *groups))
+    cut = keyed.repartitionByRange(ranges, *groups, *order_by).withColumn("_range", F.spark_partition_id())
+    ranged = written(cut, "ranges")
+    filled = ranged.groupBy("_g", "_range").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = W.partitionBy("_g").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     starts = filled.select("_g", "_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
-    number = F.row_number().over(W.partitionBy("_g", "_range").orderBy("_k"))
+    number = F.row_number().over(W.partitionBy("_g", "_range").orderBy(*order_by))
     return (
         ranged.withColumn("_rn", number)
-        .join(F.broadcast(starts), ["_g", "_range"], "left")
-        .withColumn(out, (F.col("_rn") + F.coalesce("_start", F.lit(0))).cast("long"))
+        .join(small_side(starts), ["_g", "_range"])
+        .withColumn(out, (F.col("_rn") + F.col("_start")).cast("long"))
         .select(*df.columns, out)
     )
 

@@ -12,7 +12,7 @@ from claimlens.plans.views import (
     CLAIMS, HITS, claims, embedding_sql, hits_sql, spread_claims, table, tokens_sql, vector_hits, vector_queries, vectors,
 )
 from claimlens.session import scratch_path, spread, written
-from claimlens.sources.readers import scan_table
+from claimlens.plans.tables import read_and_drop
 from claimlens.sources.sinks import overwrite_table
 
 DIMS = 64
@@ -20,13 +20,14 @@ DIMS = 64
 # --- embedding --------------------------------------------------------------------------
 
 EMBEDDED = f"WITH {embedding_sql('emb', 'documents', 'doc_id', 'text', DIMS)}"
-WEIGHTS = EMBEDDED + " SELECT doc_id, dim, round(w, 6) AS weight FROM emb"
+WEIGHTS = EMBEDDED + " SELECT doc_id, dim, round(w, 6) AS weight FROM (SELECT doc_id FROM documents) d LEFT JOIN emb USING (doc_id)"
 
 
 def long_weights(df):
-    """(doc_id, dim, weight) without the zero entries. No vector is empty or NULL here."""
-    cells = df.select("doc_id", F.posexplode_outer("embedding").alias("dim", "w")).filter(F.col("w") != 0)
-    return cells.select("doc_id", F.col("dim").cast("long").alias("dim"), F.round("w", 6).alias("weight"))
+    """(doc_id, dim, weight) without the zero entries; a document without any has one row of NULLs."""
+    cells = F.transform("embedding", lambda w, i: F.struct(i.cast("long").alias("dim"), F.round(w, 6).alias("weight"), w.alias("w")))
+    filled = F.filter(cells, lambda c: c["w"] != 0)
+    return df.select("doc_id", F.explode_outer(filled).alias("c")).select("doc_id", "c.dim", "c.weight")
 
 
 def narrative(spark, sf):
@@ -46,8 +47,8 @@ def embed_batched(spark, sf):
 
 @query(
     "udf_pandas_scalar",
-    EMBEDDED + """ SELECT doc_id, count(*) AS filled, round(max(w), 6) AS highest, round(min(w), 6) AS lowest
-                   FROM emb GROUP BY doc_id""",
+    EMBEDDED + """ SELECT doc_id, count(dim) AS filled, round(max(w), 6) AS highest, round(min(w), 6) AS lowest
+                   FROM (SELECT doc_id FROM documents) d LEFT JOIN emb USING (doc_id) GROUP BY doc_id""",
 )
 def udf_pandas_scalar(spark, sf):
     """The embedder given as any function from a list of texts to a list of vectors."""
@@ -55,13 +56,12 @@ def udf_pandas_scalar(spark, sf):
     vector = embedding.embed_batched(F.lower("text"), lambda texts: model(texts), 150, element="double")
     made = narrative(spark, sf).select("doc_id", vector.alias("e"))
     filled = F.filter("e", lambda x: x != 0)
-    rows = made.select(
+    return made.select(
         "doc_id",
         F.size(filled).cast("long").alias("filled"),
         F.round(F.array_max(filled), 6).alias("highest"),
         F.round(F.array_min(filled), 6).alias("lowest"),
     )
-    return rows.filter(F.col("filled") > 0)
 
 
 # --- search -----------------------------------------------------------------------------
@@ -96,8 +96,8 @@ def token_sets(spark, sf):
 RERANKED = f"""{HITS},
 words AS (SELECT doc_id, list_distinct({tokens_sql('text')}) AS w FROM documents),
 scored AS (
-  SELECT h.query_id, h.claim_id, h.rank AS first_rank, len(list_intersect(q.w, c.w))::BIGINT AS overlap
-  FROM hits h JOIN words q ON q.doc_id = h.query_id JOIN words c ON c.doc_id = h.claim_id),
+  SELECT h.query_id, h.claim_id, h.rank AS first_rank, coalesce(len(list_intersect(q.w, c.w)), 0)::BIGINT AS overlap
+  FROM hits h LEFT JOIN words q ON q.doc_id = h.query_id LEFT JOIN words c ON c.doc_id = h.claim_id),
 reranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, first_rank) AS rank FROM scored)"""
 
@@ -203,6 +203,15 @@ def query_few_shot(spark, sf):
 
 # --- prediction -------------------------------------------------------------------------
 
+
+BLANKED = """blanked AS (SELECT * REPLACE (CASE WHEN doc_id % 19 = 0 THEN NULL WHEN doc_id % 19 = 1 THEN '  ' ELSE text END AS text) FROM documents)"""
+
+
+def blanked(df, key, text):
+    """Some texts missing, some blank, as raw claims have them."""
+    return df.withColumn(text, F.when(F.col(key) % 19 == 1, "  ").when(F.col(key) % 19 != 0, F.col(text)))
+
+
 PREDICTED = f"""{HITS}, predicted AS (
   SELECT h.query_id, e.label AS predicted_label, h.score FROM hits h JOIN embeddings e ON h.claim_id = e.vec_id WHERE h.rank = 1)"""
 
@@ -228,7 +237,7 @@ def predict_by_neighbours(spark, sf):
 
 @query(
     "predict_unlabelled_table",
-    f"""WITH {embedding_sql('emb', 'documents', 'doc_id', 'text', DIMS)}, {CLAIMS},
+    f"""WITH {BLANKED}, {embedding_sql('emb', 'blanked', 'doc_id', 'text', DIMS)}, {CLAIMS.replace('documents', 'blanked')},
         dense AS (SELECT doc_id, list_transform(range({DIMS}), lambda i: coalesce(map_extract_value(m, i), 0)) AS e
                   FROM (SELECT doc_id, map(list(dim), list(w)) AS m FROM emb GROUP BY doc_id)),
         q AS (SELECT doc_id, e FROM dense JOIN claims ON doc_id = claim_id WHERE label IS NULL),
@@ -236,24 +245,27 @@ def predict_by_neighbours(spark, sf):
         hits AS (SELECT q.doc_id AS query_id, v.doc_id AS claim_id, v.label,
                         round(list_inner_product(q.e, v.e), 9) AS score FROM q, v
                  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v.doc_id) <= 10),
-        words AS (SELECT doc_id, list_distinct({tokens_sql('text')}) AS w FROM documents),
+        words AS (SELECT doc_id, list_distinct({tokens_sql('text')}) AS w FROM blanked),
         scored AS (SELECT h.*, len(list_intersect(a.w, b.w))::BIGINT AS overlap,
                           row_number() OVER (PARTITION BY query_id ORDER BY h.score DESC, claim_id) AS first_rank
-                   FROM hits h JOIN words a ON a.doc_id = query_id JOIN words b ON b.doc_id = claim_id)
-        SELECT query_id AS claim_id, label AS predicted_label, overlap FROM scored
-        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, first_rank) = 1""",
+                   FROM hits h JOIN words a ON a.doc_id = query_id JOIN words b ON b.doc_id = claim_id),
+        best AS (SELECT query_id, label AS predicted_label, overlap FROM scored
+                 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, first_rank) = 1)
+        SELECT c.claim_id, b.predicted_label, b.overlap FROM claims c LEFT JOIN best b ON b.query_id = c.claim_id WHERE c.label IS NULL""",
 )
 def predict_unlabelled_table(spark, sf):
     """Embed every claim into an index table, search the labelled ones for each unlabelled one,
-    re-rank by shared words, transfer the label, write the predictions."""
-    rows = spread_claims(spark, sf)
+    re-rank by shared words, transfer the label, write the predictions: one row per unlabelled
+    claim, without a label where its text is missing or blank, as some are here."""
+    rows = blanked(spread_claims(spark, sf), "claim_id", "narrative")
     made = rows.select(
         "claim_id",
         "label",
         embedding.embed_text(F.col("narrative"), DIMS, element="double").alias("embedding"),
         search.token_set(tokens(F.col("narrative"))).alias("words"),
     )
-    index = written(made.filter(F.exists("embedding", lambda x: x != 0)), "index")
+    everyone = written(made, "index")
+    index = everyone.filter(F.exists("embedding", lambda x: x != 0))
     known, waiting = index.filter(F.col("label").isNotNull()), index.filter(F.col("label").isNull())
     hits = search.topk(waiting, known, 10, query_id="claim_id", exclude_self=False)
     paired = search.with_texts(
@@ -262,30 +274,25 @@ def predict_unlabelled_table(spark, sf):
         known.select("claim_id", F.col("words").alias("c_words")),
     )
     best = search.rerank(paired, search.overlap_score("q_words", "c_words")).filter(F.col("rank") == 1)
-    labels = lookup_labels(best, known, "claim_id", "label")
-    name = f"predictions_{scratch_path(spark, '').split('/')[-2]}"
-    overwrite_table(
-        labels.select(
-            F.col("query_id").alias("claim_id"),
-            F.col("label").alias("predicted_label"),
-            F.col("rerank_score").cast("long").alias("overlap"),
-        ),
-        name,
-        scratch_path(spark, "predictions"),
+    found = lookup_labels(best, known, "claim_id", "label").select(
+        F.col("query_id").alias("claim_id"), F.col("label").alias("predicted_label"), F.col("rerank_score").cast("long").alias("overlap")
     )
-    return scan_table(spark, name)
+    labels = everyone.filter(F.col("label").isNull()).select("claim_id").join(found, "claim_id", "left")
+    name = f"predictions_{scratch_path(spark, '').split('/')[-2]}"
+    overwrite_table(labels, name, scratch_path(spark, "predictions"))
+    return read_and_drop(spark, name)
 
 
 @query(
     "predict_with_fallback",
     f"""WITH {PREDICTED}, n AS (SELECT doc_id, len({tokens_sql('text')}) AS n FROM documents)
         SELECT p.query_id AS claim_id, CASE WHEN n.n <= 512 THEN p.predicted_label::VARCHAR ELSE 'Too Long Input' END AS predicted_label
-        FROM predicted p JOIN n ON p.query_id = n.doc_id""",
+        FROM predicted p LEFT JOIN n ON p.query_id = n.doc_id""",
 )
 def predict_with_fallback(spark, sf):
     sizes = narrative(spark, sf).select(F.col("doc_id").alias("query_id"), F.size(tokens(F.col("text"))).alias("n"))
     found = neighbour_predictions(spark, sf).withColumn("predicted_label", F.col("predicted_label").cast("string"))
-    return found.join(sizes, "query_id").select(
+    return found.join(sizes, "query_id", "left").select(
         F.col("query_id").alias("claim_id"),
         predict.with_fallback("predicted_label", F.col("n") <= 512).alias("predicted_label"),
     )
@@ -338,6 +345,7 @@ def ml_centroid_classifier(spark, sf):
 # --- evaluation -------------------------------------------------------------------------
 
 KS = range(1, 11)
+FLOOR = 0.4
 MEASURES_SQL = """
 k AS (SELECT unnest(range(1, 11)) AS k),
 gain_{n} AS (SELECT h.query_id, h.rank, (q.label = c.label)::INT AS rel FROM {hits} h
@@ -355,11 +363,13 @@ def label_judged(spark, sf, hits):
 
 @query(
     "eval_recall_at_k",
-    f"""WITH {HITS}, {MEASURES_SQL.format(n='a', hits='hits')}
-        SELECT a.k, round(avg(a.hits / s.n), 6) AS recall FROM at_a a JOIN size_a s USING (query_id) WHERE s.n > 0 GROUP BY a.k""",
+    f"""WITH {HITS}, near AS (SELECT * FROM hits WHERE score >= {FLOOR}), {MEASURES_SQL.format(n='a', hits='near')}
+        SELECT k.k, round(sum(coalesce(a.hits / s.n, 0)) / count(*), 6) AS recall
+        FROM size_a s CROSS JOIN k LEFT JOIN at_a a ON a.query_id = s.query_id AND a.k = k.k WHERE s.n > 0 GROUP BY k.k""",
 )
 def eval_recall_at_k(spark, sf):
-    judged, sizes = label_judged(spark, sf, vector_hits(spark, sf))
+    """Hits of a low score are dropped first, so some queries have none; they count all the same."""
+    judged, sizes = label_judged(spark, sf, vector_hits(spark, sf).filter(F.col("score") >= FLOOR))
     return evaluate.recall_at_k(judged, sizes, KS).withColumn("recall", F.round("recall", 6))
 
 

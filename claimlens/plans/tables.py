@@ -24,6 +24,13 @@ def fresh_name(prefix: str) -> str:
     return f"{prefix}_{uuid.uuid4().hex}"
 
 
+def read_and_drop(spark, name):
+    """The table's rows, by its files; the catalog entry, which is external, goes at once."""
+    rows = scan_table(spark, name)
+    spark.sql(f"DROP TABLE {name}")
+    return rows
+
+
 @query(
     "src_csv_scan",
     "SELECT p_partkey, p_name, p_brand, p_type, p_size::DOUBLE AS p_size, p_retailprice FROM part",
@@ -55,7 +62,7 @@ def sink_csv(spark, sf):
 def src_table_scan(spark, sf):
     name = fresh_name("parts")
     overwrite_table(table(spark, sf, "part"), name, scratch_path(spark, name))
-    return scan_table(spark, name).select("p_partkey", "p_brand", "p_retailprice")
+    return read_and_drop(spark, name).select("p_partkey", "p_brand", "p_retailprice")
 
 
 @query(
@@ -89,7 +96,7 @@ def sink_append_table(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", hash_bucket("o_orderkey").alias("b"))
     append_table(rows.filter(F.col("b") < 5000).drop("b"), name, path)
     append_table(rows.filter(F.col("b") >= 5000).drop("b"), name, path)
-    return scan_table(spark, name)
+    return read_and_drop(spark, name)
 
 
 @query("sink_overwrite_table", "SELECT o_orderkey, o_orderpriority FROM orders")
@@ -99,7 +106,7 @@ def sink_overwrite_table(spark, sf):
     orders = table(spark, sf, "orders")
     overwrite_table(orders.select("o_orderkey", "o_custkey", "o_totalprice"), name, path)
     overwrite_table(orders.select("o_orderkey", "o_orderpriority"), name, path)
-    return scan_table(spark, name)
+    return read_and_drop(spark, name)
 
 
 @query(
@@ -112,7 +119,7 @@ def sink_ctas_if_absent(spark, sf):
     orders = table(spark, sf, "orders")
     first = create_table_if_absent(spark, name, lambda: orders.select("o_orderkey", "o_totalprice"), path)
     second = create_table_if_absent(spark, name, lambda: orders.select("o_custkey"), path)
-    return scan_table(spark, name).withColumns(
+    return read_and_drop(spark, name).withColumns(
         {"created_first": F.lit(int(first)), "created_second": F.lit(int(second))}
     )
 
@@ -199,4 +206,4 @@ def stream_explode_chunks(spark, sf):
     target, checkpoint = scratch_path(spark, "chunks"), scratch_path(spark, "checkpoint")
     stream = chunk_batch(table(spark, sf, "labels"))(document_stream(spark, sf))
     drain(stream.select("claim_id", "chunk_pos", F.coalesce(F.md5("chunk"), F.lit("none")).alias("chunk_md5")), target, checkpoint)
-    return spark.read.parquet(target).drop("batch_id")
+    return spark.read.parquet(target).drop("query", "batch_id")

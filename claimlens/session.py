@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,21 +36,36 @@ def local_session(cores: str = "8", memory: str = "8g", shuffle_partitions: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir`` where the cluster
-    names one, else (single-machine runs only) a fresh temporary folder."""
+    """The folder every executor can reach: ``spark.checkpoint.dir`` where the cluster names one,
+    else the context's own checkpoint folder, else (on one machine only) a fresh temporary folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        configured = own.get() if own.isDefined() else None
     if configured:
         return configured.rstrip("/")
+    if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
     if app not in _fallback_dirs:
         _fallback_dirs[app] = tempfile.mkdtemp(prefix="claimlens-")
-        spark.sparkContext.setCheckpointDir(_fallback_dirs[app])
     return _fallback_dirs[app]
 
 
+def session_dir(spark: SparkSession) -> str:
+    """Where this session's scratch tables lie: one folder, so that it can be removed as a whole."""
+    return f"{shared_dir(spark)}/claimlens/{spark.sparkContext.applicationId}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Remove the session's scratch tables; results that are still lazy cannot be read afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, never reused path below the shared folder."""
-    return f"{shared_dir(spark)}/claimlens/{uuid.uuid4().hex}/{name}"
+    return f"{session_dir(spark)}/{uuid.uuid4().hex}/{name}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -71,10 +87,11 @@ def spread(df: DataFrame) -> DataFrame:
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES, computed: bool = False) -> DataFrame:
     """A join side with a broadcast hint if a count proves it small, without one if not.
 
-    The side is first written to the shared folder, so a costly aggregate runs once and not
-    again for the join; ``computed`` says that it is stored or literal already. Without the
-    hint the join shuffles, and adaptive execution splits its skewed keys."""
-    side = df if computed else written(df, "side")
+    No more than ``rows`` + 1 rows are ever written: if that is all there is, this copy is the side
+    that gets broadcast, so a costly aggregate does not run again for the join. A larger side
+    stays lazy: the join shuffles, and adaptive execution splits its skewed keys.
+    ``computed`` says that the side is stored or literal already."""
+    side = df if computed else written(df.limit(rows + 1), "side")
     seen = (
         side.limit(rows + 1)
         .agg(
@@ -83,4 +100,4 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_
         )
         .first()
     )
-    return F.broadcast(side) if seen["n"] <= rows and seen["b"] <= size else side
+    return F.broadcast(side) if seen["n"] <= rows and seen["b"] <= size else df

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from claimlens.session import local_session  # noqa: E402
+from claimlens.session import local_session, remove_scratch  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,6 +14,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     session = local_session(cores="4", memory="4g", shuffle_partitions="4")
     yield session
+    remove_scratch(session)
     session.stop()
 
 

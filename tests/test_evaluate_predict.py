@@ -1,3 +1,7 @@
+import math
+import random
+import statistics
+
 import math
 
 import pytest
@@ -47,18 +51,49 @@ def test_majority_prefers_count_then_rank_then_label(spark):
     assert got == {1: "a", 2: "z", 3: "m"}
 
 
-def test_correlation_forms_agree(spark):
+@pytest.mark.parametrize("width", [3, 13])
+def test_correlation_matrix(spark, width):
+    """NULLs leave their pairs alone and a constant column gives NaN, whatever the number of columns."""
+    rnd = random.Random(width)
+    columns = [[rnd.choice([None, 1.0, 2.0, 5.0, float(i)]) for i in range(40)] for _ in range(width - 2)] + [[7.0] * 40, [None] * 40]
+    names = [f"c{i}" for i in range(width)]
+    df = spark.createDataFrame(list(zip(*columns)), ", ".join(f"{n} double" for n in names))
+    found = {(r["i"], r["j"]): r["r"] for r in aggregates.correlation_matrix(df, names).collect()}
+    assert len(found) == width * width
+    for (i, j), r in found.items():
+        both = [(a, b) for a, b in zip(columns[i], columns[j]) if a is not None and b is not None]
+        if not both:
+            assert r is None
+        elif width - 2 in (i, j):
+            assert math.isnan(r)
+        else:
+            assert r == pytest.approx(statistics.correlation(*map(list, zip(*both))))
+
+
+def test_correlation_pairs(spark):
     df = spark.createDataFrame([(float(i), float(i * i % 7), float(-i)) for i in range(30)], "a double, b double, c double")
     names = ["a", "b", "c"]
-    one = {(r["i"], r["j"]): r["r"] for r in aggregates.correlation_matrix(df, names).collect()}
-    two = {(r["i"], r["j"]): r["r"] for r in aggregates.correlation_matrix_ml(df, names).collect()}
-    assert one == pytest.approx(two)
     pairs = aggregates.correlation_pairs(aggregates.correlation_matrix(df, names), names)
     assert {(r["feature_a"], r["feature_b"]) for r in pairs.collect()} == {("b", "a"), ("c", "a"), ("c", "b")}
 
 
+def test_a_query_without_hits_counts(spark):
+    judged = spark.createDataFrame([(1, 1, 1), (1, 2, 0)], "query_id long, rank int, relevant int")
+    sizes = spark.createDataFrame([(1, 1), (2, 3)], "query_id long, n_targets long")
+    assert [r["recall"] for r in evaluate.recall_at_k(judged, sizes, [2]).collect()] == [0.5]
+    found = evaluate.retriever_measures(judged, sizes, [2]).first()
+    assert (found["precision"], found["recall"], found["ndcg"]) == (0.25, 0.5, 0.5)
+
+
+def test_weights_of_nothing_give_null(spark):
+    df = spark.createDataFrame([("a", 1.0, 0.0), ("b", 2.0, 3.0)], "g string, v double, w double")
+    found = {r["g"]: r["m"] for r in df.groupBy("g").agg(aggregates.weighted_mean("v", "w").alias("m")).collect()}
+    assert found == {"a": None, "b": 2.0}
+
+
 def test_onehot_correlation_equals_corr(spark):
-    df = spark.createDataFrame([("x", 1.0), ("x", 2.0), ("y", 5.0), ("z", 0.0), ("y", 3.0)], "c string, v double")
+    rows = [("x", 1.0), ("x", 2.0), ("y", 5.0), ("z", 0.0), ("y", 3.0), ("x", None), ("y", None), ("z", 4.0)]
+    df = spark.createDataFrame(rows, "c string, v double")
     got = {r["value"]: r["r"] for r in aggregates.onehot_correlation(df, "c", ["v"]).collect()}
     for value in "xyz":
         assert got[value] == pytest.approx(df.agg(F.corr((F.col("c") == value).cast("double"), "v")).first()[0])

@@ -11,6 +11,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 import __spark_entry__ as spark_entry  # noqa: E402
 import check_queries  # noqa: E402
 
+from claimlens.plans.catalog import ORACLES, QUERIES  # noqa: E402
+
 
 @pytest.fixture(scope="module")
 def connection(sf):
@@ -20,10 +22,10 @@ def connection(sf):
     return c
 
 
-@pytest.mark.parametrize("key", sorted(spark_entry.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query(spark, sf, connection, key):
     state, _, _, note = check_queries.compare(
-        spark, connection, sf, key, spark_entry.queries()[key], spark_entry.oracle_sql().get(key)
+        spark, connection, sf, key, QUERIES[key], ORACLES.get(key)
     )
     assert state in ("ok", "rows"), note
 
@@ -35,5 +37,6 @@ def test_entry(spark):
 
 
 def test_every_query_with_a_fixed_result_has_sql():
-    without = set(spark_entry.queries()) - set(spark_entry.oracle_sql())
+    assert set(QUERIES) <= set(spark_entry.queries()) and set(ORACLES) <= set(spark_entry.oracle_sql())
+    without = set(QUERIES) - set(ORACLES)
     assert without == {"vector_topk_lsh", "ml_embedding_classifier", "ml_text_classifier"}

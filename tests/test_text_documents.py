@@ -85,6 +85,7 @@ def test_long_denylist_joins_instead(spark, monkeypatch):
     monkeypatch.setattr(cleanse, "LITERAL_LIST_LIMIT", 1)
     df = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "label string")
     assert [r[0] for r in cleanse.drop_labels(df, "label", ["a", "b"]).collect()] == ["c"]
+    assert cleanse.drop_labels(df, "label", ["a", None]).count() == cleanse.drop_labels(df, "label", [None]).count() == 0
 
 
 def test_clean_text_and_codes(spark):
@@ -121,7 +122,7 @@ def test_both_embedders_agree_and_are_unit_length(spark):
 def test_failed_batch_gives_nulls_and_keeps_rows(spark):
     def model(texts):
         if any("bad" in t for t in texts):
-            raise RuntimeError("model failed")
+            raise embedding.EmbeddingFailed("too long")
         return [[float(len(t))] for t in texts]
 
     df = spark.createDataFrame([(i, "bad" if i == 3 else "x" * i) for i in range(1, 9)], "id long, t string").coalesce(1)

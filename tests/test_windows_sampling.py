@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import Window as W
@@ -19,8 +20,7 @@ def skewed(spark, n=600):
 
 @pytest.mark.parametrize("bucket", [1_000_000, 20])
 @pytest.mark.parametrize("groups", [["g"], []])
-def test_ranked_rows_equals_plain_window(spark, monkeypatch, bucket, groups):
-    monkeypatch.setattr(windows, "BUCKETS", 10_000)
+def test_ranked_rows_equals_plain_window(spark, bucket, groups):
     df = skewed(spark)
     got = windows.ranked_rows(df, groups, ["v", "id"], rows_per_bucket=bucket)
     plain = df.withColumn("rn", F.row_number().over(W.partitionBy(*(groups or [F.lit(0)])).orderBy("v", "id")).cast("long"))
@@ -28,6 +28,16 @@ def test_ranked_rows_equals_plain_window(spark, monkeypatch, bucket, groups):
     assert sorted(got.collect(), key=lambda r: r["id"]) == sorted(plain.collect(), key=lambda r: r["id"])
 
 
+def test_a_thousand_ranges(spark):
+    df = spark.range(3_000).select("id", F.lit("g").alias("g"), (F.col("id") * 7919 % 3_001).alias("v"))
+    spark.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", 3)
+    try:
+        got = windows.ranked_rows(df, ["g"], ["v", "id"], rows_per_bucket=3).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.rangeExchange.sampleSizePerPartition")
+    assert [r["rn"] for r in sorted(got, key=lambda r: (r["v"], r["id"]))] == list(range(1, 3_001))
+
+
 def test_balanced_sample_counts(spark):
     """Label sizes 1 x 10, 15 x 5, 2 x 4, 1 x 3 with ids shared across labels."""
     sizes = [10] + [5] * 15 + [4, 4] + [3]
@@ -52,6 +62,16 @@ def test_oversampling_repeats_only_rare_classes(spark):
     assert got == {("a", 3), ("b", 3), ("c", 2)}
 
 
+def test_small_classes_grow_to_the_largest_and_no_further(spark):
+    rows = [(i, "big", i) for i in range(7)] + [(10, "two", 1), (11, "two", 2), (12, "one", 1), (13, None, 1)]
+    df = spark.createDataFrame(rows, "id long, label string, copies long")
+    found = sampling.oversample_rare(df, "label", 2).collect()
+    by_label, by_row = Counter(r["label"] for r in found), Counter(r["id"] for r in found)
+    assert by_label == {"big": 7, "two": 7, "one": 7}
+    assert (by_row[10], by_row[11], by_row[12]) == (4, 3, 7)
+    assert sorted(r["copy"] for r in found if r["id"] == 10) == [1, 2, 3, 4]
+
+
 def test_many_copies_are_made_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(sampling, "COPIES_PER_TASK_ROW", 7)
     df = spark.createDataFrame([(1,), (2,)], "id long")
