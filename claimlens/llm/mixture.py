@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from claimlens.llm.common import WORD
 from claimlens.session import small_side, written
 
-ROWS_PER_RANGE = 100_000
+ROWS_PER_RANGE = 4_000
 KEY_BITS = 60
 
 
