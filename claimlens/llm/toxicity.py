@@ -276,11 +276,11 @@ def train(
     )
     if not markers:
         return ToxicityModel(trigrams, {}, math.log(share / (1 - share)))
-    place = docs.sparkSession.sparkContext.broadcast(ToxicityModel(trigrams, {m: i for i, m in enumerate(markers)}, 0.0))
+    place = docs.sparkSession.sparkContext.broadcast((trigrams, {m: i for i, m in enumerate(markers)}, 0.0))
 
     @F.pandas_udf("array<double>")
     def flags(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(place.value)
+        scorer = Scorer(ToxicityModel(*place.value))
         for batch in batches:
             rows = np.zeros((len(batch), len(scorer.model.markers)))
             for row, t in zip(rows, batch):
@@ -294,11 +294,11 @@ def train(
 
 
 def _scores(spark, model: ToxicityModel):
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast((model.trigrams, model.markers, model.bias))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(ToxicityModel(*shared.value))
         for batch in batches:
             yield batch.map(scorer, na_action=None).astype("float64")
 
