@@ -39,7 +39,7 @@ SUBSTITUTED, STRAY, SEPARATED, REPEATED = -1.5, -6.0, -0.1, -0.5
 SAMPLE_ROWS = 20_000
 FEATURES = 400
 LASSO = 0.0001
-LEAST_EVIDENCE = 25.0
+LEAST_EVIDENCE = 16.0
 STEMS = (4, 5, 6)
 LONGEST_WORD = 24
 MOST_TIMES = 3
@@ -174,7 +174,7 @@ def features(words: str) -> Counter:
 class ToxicityModel:
     """The score is the logistic function of ``bias`` plus the weights of the markers in the restored text.
 
-    A marker is a feature that occurs once, twice, and so on up to ``MOST_TIMES`` or more."""
+    A marker is a feature that occurs at least once, at least twice, and so on up to ``MOST_TIMES``."""
 
     trigrams: np.ndarray
     markers: dict[tuple[str, int], float]
@@ -197,8 +197,8 @@ class Scorer:
         if not self.model.markers:
             return []
         found = Counter(feature for _, feature in self.automaton.iter(self.decoder.words(text)))
-        buckets = ((feature, min(times, MOST_TIMES)) for feature, times in found.items())
-        return [b for b in buckets if b in self.model.markers]
+        reached = ((feature, i) for feature, times in found.items() for i in range(1, min(times, MOST_TIMES) + 1))
+        return [m for m in reached if m in self.model.markers]
 
     def __call__(self, text: str | None) -> float:
         total = self.model.bias + sum(self.model.markers[m] for m in self.marked(text))
@@ -226,7 +226,7 @@ def train(
 ) -> ToxicityModel:
     """Character model of all documents; markers from at most ``sample_rows`` labelled rows outside the held-out part.
 
-    A marker is a word or a word's beginning, occurring so many times, with clear evidence
+    A marker is a word or a word's beginning, occurring at least so many times, with clear evidence
     (log-likelihood ratio) of marking the labelled documents; the ``most_features`` strongest enter a lasso
     logistic regression, which weighs them against each other. Labels of unknown documents, and rows
     without id or label, have no part. Without labels, or with one kind alone, every score is the smoothed share."""
@@ -248,7 +248,7 @@ def train(
 
         for batch in batches:
             for t, y in zip(batch["text"], batch["label"]):
-                found = [(f, min(k, MOST_TIMES)) for f, k in features(decoder.words(t)).items()]
+                found = [(f, i) for f, k in features(decoder.words(t)).items() for i in range(1, min(k, MOST_TIMES) + 1)]
                 every.update(found)
                 if y:
                     ones.update(found)
