@@ -129,10 +129,13 @@ def _repeats_sql(n: int) -> str:
 win{n} AS (
   SELECT rid, p, hash(string_agg(word, ' ') OVER g) AS gram, count(*) OVER g AS wide
   FROM tok WINDOW g AS (PARTITION BY rid ORDER BY p ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)),
-twice{n} AS (SELECT rid, p FROM (SELECT *, count(*) OVER (PARTITION BY rid, gram) AS found FROM win{n} WHERE wide = {n}) WHERE found > 1),
+twice{n} AS (
+  SELECT rid, p, nth > 1 AS later
+  FROM (SELECT *, count(*) OVER (PARTITION BY rid, gram) AS found, row_number() OVER (PARTITION BY rid, gram ORDER BY p) AS nth
+        FROM win{n} WHERE wide = {n}) WHERE found > 1),
 cov{n} AS (
-  SELECT rid, count(*) AS words_in, sum(size) AS chars_in
-  FROM (SELECT DISTINCT rid, p + o AS p FROM twice{n}, (SELECT unnest(range(0, {n})) AS o)) JOIN tok USING (rid, p)
+  SELECT rid, count(*) AS words_in, coalesce(sum(size) FILTER (WHERE later), 0) AS chars_in
+  FROM (SELECT rid, p + o AS p, bool_or(later) AS later FROM twice{n}, (SELECT unnest(range(0, {n})) AS o) GROUP BY ALL) JOIN tok USING (rid, p)
   GROUP BY rid)"""
 
 

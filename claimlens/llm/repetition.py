@@ -24,23 +24,25 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _TURN = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def repeated_windows(ids: np.ndarray, n: int, rolled: np.ndarray) -> np.ndarray:
-    """Starts of the windows of ``n`` ids that occur more than once.
+def repeated_windows(ids: np.ndarray, n: int, rolled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows of ``n`` ids that occur more than once: all of them, and those after the first occurrence.
 
     ``rolled`` holds their hashes; equal hashes are compared id by id, so a collision cannot pass for a repeat."""
     order = np.argsort(rolled, kind="stable")
     ordered = rolled[order]
     same = ordered[1:] == ordered[:-1]
     if not same.any():
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     windows = np.lib.stride_tricks.sliding_window_view(ids, n)
     pairs = np.flatnonzero(same)
     if (windows[order[pairs]] == windows[order[pairs + 1]]).all():
         twice = np.zeros(len(order), bool)
         twice[pairs] = twice[pairs + 1] = True
-        return order[twice]
-    seen = np.unique(windows, axis=0, return_inverse=True, return_counts=True)
-    return np.flatnonzero(seen[2][seen[1].reshape(-1)] > 1)
+        return order[twice], order[pairs + 1]
+    _, first, which, found = np.unique(windows, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    which = which.reshape(-1)
+    every = np.flatnonzero(found[which] > 1)
+    return every, every[first[which[every]] != every]
 
 
 def covered(starts: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -76,10 +78,11 @@ class Repetition:
                 rolled = rolled[: count - wide] * _STEP + (ids[wide:] + np.uint64(1)) * _TURN
                 rolled ^= rolled >> np.uint64(29)
                 wide += 1
-            inside = covered(repeated_windows(ids, n, rolled), n, count)
+            every, later = repeated_windows(ids, n, rolled)
             if n == BASE_WINDOW:
-                repeated = int(inside.sum())
-            if not inside.any():
+                repeated = int(covered(every, n, count).sum())
+            inside = covered(later, n, count)
+            if not len(later):
                 if n >= BASE_WINDOW:
                     break  # a longer window repeats only where a shorter one does
                 continue
@@ -113,8 +116,8 @@ def repetition_rules(
 
     Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed (fewer than
     10 words, or more than a fifth of the words in 5-word windows found twice), kept (not base_failed,
-    the share of characters inside duplicated n-grams of each length within ``limits`` and that inside
-    repeated lines within ``line_limit``), line_share and share_n for each length.
+    the share of characters inside n-grams that repeat an earlier one within ``limits`` for each length, and
+    that inside lines that do within ``line_limit``), line_share and share_n for each length.
 
     A missing text counts as empty: all measures 0, base_failed. Rows that repeat are judged each;
     an empty table gives no rows; further columns are ignored. Memory: one Arrow batch and one text's arrays."""
