@@ -8,13 +8,13 @@ from pyspark.sql import types as T
 from claimlens.functions import cleanse, documents, text
 from claimlens.plans.registry import query
 from claimlens.plans.tables import SHORT_FIELDS
-from claimlens.plans.views import CLAIMS, DIRTY, claims, dirty_claims, table, tokens_sql
+from claimlens.plans.views import CLAIMS, DIRTY, claims, dirty_claims, plain_claims, table, tokens_sql
 from claimlens.session import spread
 
 
 @query("proj_select", f"WITH {CLAIMS} SELECT claim_id, engine, failcode, miles FROM claims")
 def proj_select(spark, sf):
-    return claims(spark, sf).select("claim_id", "engine", "failcode", "miles")
+    return plain_claims(spark, sf).select("claim_id", "engine", "failcode", "miles")
 
 
 @query("proj_rename", "SELECT doc_id AS claim_id, md5(text) AS document, lang AS label FROM documents")
@@ -265,7 +265,7 @@ def struct_build(spark, sf):
 
 @query("struct_fields", f"WITH {CLAIMS} SELECT claim_id, failcode, miles FROM claims")
 def struct_fields(spark, sf):
-    rows = documents.with_document(claims(spark, sf), SHORT_FIELDS).select("claim_id", "DOCUMENT")
+    rows = documents.with_document(plain_claims(spark, sf), [f for f in SHORT_FIELDS if f != "label"]).select("claim_id", "DOCUMENT")
     return documents.struct_fields(rows, ["failcode", "miles", "no_such_field"])
 
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimlens.functions.text import tokens
-from claimlens.operators import classify, embedding, evaluate, predict, sampling, search
-from claimlens.operators.joins import lookup_labels
+from claimlens.operators import aggregates, classify, embedding, evaluate, predict, sampling, search
 from claimlens.plans.registry import query
 from claimlens.plans.views import (
-    CLAIMS, HITS, claims, embedding_sql, hits_sql, spread_claims, table, tokens_sql, vector_hits, vector_queries, vectors,
+    CLAIMS, HITS, claims, embedding_sql, hits_sql, plain_claims, spread_claims, table, tokens_sql, vector_hits, vector_queries, vectors,
 )
 from claimlens.session import scratch_path, spread, written
 from claimlens.plans.tables import read_and_drop
@@ -168,7 +167,7 @@ ASK = "Which failure mode fits this claim? "
 
 @query("query_zero_shot", f"WITH {CLAIMS}, t AS (SELECT claim_id, concat('{ASK}', narrative) AS q FROM claims) {DIGEST}")
 def query_zero_shot(spark, sf):
-    return digest(claims(spark, sf).select("claim_id", predict.zero_shot_text("narrative").alias("q")))
+    return digest(plain_claims(spark, sf).select("claim_id", predict.zero_shot_text("narrative").alias("q")))
 
 
 @query(
@@ -204,6 +203,15 @@ def query_few_shot(spark, sf):
 # --- prediction -------------------------------------------------------------------------
 
 
+def embed(text):
+    return embedding.embed_text(text, DIMS, element="double")
+
+
+def embedded(rows):
+    """Claims with the vectors of their narratives: what an index holds."""
+    return rows.select("claim_id", "label", "narrative", embed(F.col("narrative")).alias("embedding"))
+
+
 BLANKED = """blanked AS (SELECT * REPLACE (CASE WHEN doc_id % 19 = 0 THEN NULL WHEN doc_id % 19 = 1 THEN '  ' ELSE text END AS text) FROM documents)"""
 
 
@@ -257,32 +265,78 @@ def predict_unlabelled_table(spark, sf):
     """Embed every claim into an index table, search the labelled ones for each unlabelled one,
     re-rank by shared words, transfer the label, write the predictions: one row per unlabelled
     claim, without a label where its text is missing or blank, as some are here."""
-    rows = blanked(spread_claims(spark, sf), "claim_id", "narrative")
-    made = rows.select(
-        "claim_id",
-        "label",
-        embedding.embed_text(F.col("narrative"), DIMS, element="double").alias("embedding"),
-        search.token_set(tokens(F.col("narrative"))).alias("words"),
-    )
-    everyone = written(made, "index")
-    index = everyone.filter(F.exists("embedding", lambda x: x != 0))
-    known, waiting = index.filter(F.col("label").isNotNull()), index.filter(F.col("label").isNull())
-    hits = search.topk(waiting, known, 10, query_id="claim_id", exclude_self=False)
-    paired = search.with_texts(
-        hits,
-        waiting.select(F.col("claim_id").alias("query_id"), F.col("words").alias("q_words")),
-        known.select("claim_id", F.col("words").alias("c_words")),
-    )
-    best = search.rerank(paired, search.overlap_score("q_words", "c_words")).filter(F.col("rank") == 1)
-    found = lookup_labels(best, known, "claim_id", "label").select(
-        F.col("query_id").alias("claim_id"), F.col("label").alias("predicted_label"), F.col("rerank_score").cast("long").alias("overlap")
-    )
-    labels = everyone.filter(F.col("label").isNull()).select("claim_id").join(found, "claim_id", "left")
+    index = written(embedded(blanked(spread_claims(spark, sf), "claim_id", "narrative")), "index")
+    waiting = index.filter(F.col("label").isNull())
+    found = predict.predict(waiting, index, embed, mode="plain", exclude_self=False)
+    labels = found.select("claim_id", "predicted_label", F.col("score").cast("long").alias("overlap"))
     name = f"predictions_{scratch_path(spark, '').split('/')[-2]}"
     overwrite_table(labels, name, scratch_path(spark, "predictions"))
     return read_and_drop(spark, name)
 
 
+EXAMPLES = {"offset": 3, "n": 5}
+
+
+def _mode_sql(mode: str, head: str) -> str:
+    return f"""q_{mode} AS (SELECT claim_id AS doc_id, concat({head}, narrative) AS text FROM known),
+{embedding_sql(f'e_{mode}', f'q_{mode}', 'doc_id', 'text', DIMS)},
+d_{mode} AS (SELECT doc_id, list_transform(range({DIMS}), lambda i: coalesce(map_extract_value(m, i), 0)) AS e
+             FROM (SELECT doc_id, map(list(dim), list(w)) AS m FROM e_{mode} GROUP BY doc_id)),
+h_{mode} AS (SELECT q.doc_id AS query_id, v.doc_id AS claim_id, round(list_inner_product(q.e, v.e), 9) AS score
+             FROM d_{mode} q, d_plain v WHERE q.doc_id <> v.doc_id
+             QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v.doc_id) <= 10),
+s_{mode} AS (SELECT h.*, len(list_intersect(a.w, b.w)) AS overlap, row_number() OVER (PARTITION BY query_id ORDER BY h.score DESC, claim_id) AS first_rank
+             FROM h_{mode} h JOIN words a ON a.doc_id = query_id JOIN words b ON b.doc_id = claim_id),
+p_{mode} AS (SELECT s.query_id AS claim_id, k.label FROM s_{mode} s JOIN known k USING (claim_id)
+             QUALIFY row_number() OVER (PARTITION BY s.query_id ORDER BY s.overlap DESC, s.first_rank) = 1)"""
+
+
+MODES_SQL = f"""{CLAIMS}, known AS (SELECT * FROM claims WHERE label IS NOT NULL),
+words AS (SELECT doc_id, list_distinct({tokens_sql('text')}) AS w FROM documents),
+x AS (SELECT concat('Claim: ', narrative, ' Failure mode: ', label, '. {ASK}') AS head FROM known ORDER BY claim_id LIMIT 1),
+shots AS (SELECT label, narrative, row_number() OVER (ORDER BY claim_id) AS n
+          FROM (SELECT * FROM known ORDER BY claim_id LIMIT {EXAMPLES['n']} OFFSET {EXAMPLES['offset']})),
+f AS (SELECT concat((SELECT coalesce(string_agg(concat('Example ', n, ': ', narrative, ' Failure mode: ', label), chr(10) ORDER BY n), '') FROM shots),
+             chr(10), 'Allowed failure modes: ', (SELECT string_agg(l, ',' ORDER BY l) FROM (SELECT DISTINCT lower(label) AS l FROM known)),
+             chr(10), '{ASK}') AS head),
+{_mode_sql('plain', "''")},
+{_mode_sql('zero', f"'{ASK}'")},
+{_mode_sql('one', '(SELECT head FROM x)')},
+{_mode_sql('few', '(SELECT head FROM f)')},
+predicted AS (
+  SELECT k.claim_id, k.label AS actual_label, z.label AS zero_shot, o.label AS one_shot, w.label AS few_shot
+  FROM known k LEFT JOIN p_zero z USING (claim_id) LEFT JOIN p_one o USING (claim_id) LEFT JOIN p_few w USING (claim_id))"""
+
+
+def mode_predictions(spark, sf):
+    """Every labelled claim predicted from the others in three ways, beside its actual label."""
+    index = written(embedded(spread_claims(spark, sf).filter(F.col("label").isNotNull())), "index")
+    rows = index.select("claim_id", F.col("label").alias("actual_label"))
+    for mode in ("zero", "one", "few"):
+        found = predict.predict(index, index, embed, mode=mode, **EXAMPLES)
+        rows = rows.join(found.select("claim_id", F.col("predicted_label").alias(f"{mode}_shot")), "claim_id", "left")
+    return rows
+
+
+@query("predict_modes", f"WITH {MODES_SQL} SELECT * FROM predicted")
+def predict_modes(spark, sf):
+    return mode_predictions(spark, sf)
+
+
+@query(
+    "predict_mode_accuracy",
+    f"""WITH {MODES_SQL}, m AS (
+          SELECT 'zero' AS mode, actual_label = zero_shot AS hit FROM predicted
+          UNION ALL SELECT 'one', actual_label = one_shot FROM predicted UNION ALL SELECT 'few', actual_label = few_shot FROM predicted)
+        SELECT mode, count(*) AS cnt, round(avg(coalesce(hit, false)::INT) * 100, 6) AS accuracy FROM m GROUP BY mode""",
+)
+def predict_mode_accuracy(spark, sf):
+    cells = [F.struct(F.lit(m).alias("mode"), F.col(f"{m}_shot").alias("predicted")) for m in ("zero", "one", "few")]
+    long = mode_predictions(spark, sf).select("actual_label", F.explode(F.array(*cells)).alias("c")).select("actual_label", "c.*")
+    accuracy = F.round(aggregates.accuracy_percent("actual_label", "predicted"), 6).alias("accuracy")
+    return long.groupBy("mode").agg(F.count(F.lit(1)).alias("cnt"), accuracy)
+
+
 @query(
     "predict_with_fallback",
     f"""WITH {PREDICTED}, n AS (SELECT doc_id, len({tokens_sql('text')}) AS n FROM documents)

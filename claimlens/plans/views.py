@@ -26,6 +26,13 @@ def claims_of(documents: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def plain_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims for work that asks for no label: the labels are not joined."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("claim_id"), F.col("source").alias("engine"), F.col("lang").alias("failcode"), F.col("n_chars").alias("miles"), F.col("text").alias("narrative"),
+    )
+
+
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
