@@ -15,7 +15,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.llm.common import UPPER, WORD, held_out, label_sample, whole_text
+from claimlens.llm.common import WORD, held_out, label_sample, whole_text
 from claimlens.session import small_side, written
 
 # Bounds of the fit; the model's size depends on these alone.
@@ -23,31 +23,29 @@ SAMPLE_ROWS = 20_000
 TREES = 12
 DEPTH = 3
 LASSO = 0.002
-SYMBOLS = "#*$%&|<>"
-DIGITS = "0123456789"
 
 
-def statistics(text: str = "text") -> dict[str, Column]:
-    """Counts of one text and the shares made of them; all are 0 for an empty text. Needs ``words`` and ``chars``."""
-    whole = whole_text(text)
+def statistics(whole: Column, words: Column) -> dict[str, Column]:
+    """Shares made of counts of one text and its words; all are 0 for an empty text."""
+    chars, n_words = F.length(whole), F.size(words)
 
-    def of(characters: str) -> Column:
-        return F.col("chars") - F.length(F.translate(whole, characters, ""))
+    def without(characters: str) -> Column:
+        return chars - F.length(F.regexp_replace(whole, f"[{characters}]+", ""))
 
-    def share(count: Column, of_what: str) -> Column:
-        return F.when(F.col(of_what) > 0, count / F.col(of_what)).otherwise(F.lit(0.0))
+    def share(count: Column, of_what: Column) -> Column:
+        return F.when(of_what > 0, count / of_what).otherwise(F.lit(0.0))
 
     return {
-        "n_words": F.col("n_words").cast("double"),
-        "word_length": share(F.col("word_chars"), "n_words"),
-        "distinct_words": share(F.col("n_distinct"), "n_words"),
-        "symbols": share(of(SYMBOLS), "chars"),
-        "bars": share(of("|"), "n_words"),
-        "upper": share(of(UPPER), "chars"),
-        "digits": share(of(DIGITS), "chars"),
-        "calls": share(of("!"), "n_words"),
-        "stops": share(of(".?,;:"), "n_words"),
-        "lines": share(of("\n"), "n_words"),
+        "n_words": n_words.cast("double"),
+        "word_length": share(F.length(F.array_join(words, "")), n_words),
+        "distinct_words": share(F.size(F.array_distinct(words)), n_words),
+        "symbols": share(without("#*$%&|<>"), chars),
+        "bars": share(chars - F.length(F.replace(whole, F.lit("|"), F.lit(""))), n_words),
+        "upper": share(without("A-Z"), chars),
+        "digits": share(without("0-9"), chars),
+        "calls": share(chars - F.length(F.replace(whole, F.lit("!"), F.lit(""))), n_words),
+        "stops": share(without(".?,;:"), n_words),
+        "lines": share(chars - F.length(F.replace(whole, F.lit("\n"), F.lit(""))), n_words),
     }
 
 
@@ -55,20 +53,11 @@ STATISTICS = ("n_words", "word_length", "distinct_words", "symbols", "bars", "up
 
 
 def measured(rows: DataFrame, text: str = "text") -> DataFrame:
-    """``rows`` with one ``stats`` struct; ``rows`` must not have the helper columns that come and go here."""
-    words = F.regexp_extract_all(whole_text(text), F.lit(WORD), F.lit(0))
-    counted = (
-        rows.withColumns({"words": words, "chars": F.length(whole_text(text))})
-        .withColumns(
-            {
-                "n_words": F.size("words"),
-                "n_distinct": F.size(F.array_distinct("words")),
-                "word_chars": F.length(F.array_join("words", "")),
-            }
-        )
-    )
-    stats = F.struct(*[c.cast("double").alias(name) for name, c in statistics(text).items()])
-    return counted.withColumn("stats", stats).drop("words", "chars", "n_words", "n_distinct", "word_chars")
+    """``rows`` with one ``stats`` struct. The array of one text binds its words once for all that is counted of them."""
+    whole = whole_text(text)
+    words = F.array(F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)))
+    stats = F.transform(words, lambda w: F.struct(*[c.cast("double").alias(name) for name, c in statistics(whole, w).items()]))
+    return rows.withColumn("stats", F.get(stats, F.lit(0)))
 
 
 @dataclass
@@ -81,16 +70,21 @@ class RuleModel:
     rules: list[tuple[tuple[tuple[str, bool, float], ...], float]] = field(default_factory=list)
 
     def score(self, stats: str = "stats") -> Column:
-        total = F.lit(self.bias)
-        for conditions, weight in self.rules:
-            total += F.when(holds(conditions, stats), F.lit(weight)).otherwise(F.lit(0.0))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+        """The array of one struct binds the statistics once, however many rules look at them."""
+
+        def scored(bound: Column) -> Column:
+            total = F.lit(self.bias)
+            for conditions, weight in self.rules:
+                total += F.when(holds(conditions, bound), F.lit(weight)).otherwise(F.lit(0.0))
+            return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+
+        return F.get(F.transform(F.array(stats), scored), F.lit(0))
 
 
-def holds(conditions, stats: str = "stats") -> Column:
+def holds(conditions, stats: Column) -> Column:
     test = F.lit(True)
     for name, at_most, threshold in conditions:
-        value = F.col(f"{stats}.{name}")
+        value = stats[name]
         test &= (value <= threshold) if at_most else (value > threshold)
     return test
 
@@ -127,7 +121,7 @@ def fit(sample: DataFrame, trees: int = TREES, depth: int = DEPTH, lasso: float
     rules = distinct_rules(forest.trees)
     if not rules:
         return RuleModel(math.log(share / (1 - share)))
-    flags = points.select("label", *[holds(r).cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
+    flags = points.select("label", *[holds(r, F.col("stats")).cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
     inputs = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="features").transform(flags)
     lassoed = LogisticRegression(elasticNetParam=1.0, regParam=lasso, maxIter=60, standardization=False).fit(inputs)
     weighted = [(r, float(w)) for r, w in zip(rules, lassoed.coefficients.toArray()) if w]
