@@ -4,25 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.operators.windows import ranked_rows
-from claimlens.session import small_side
+from claimlens.session import small_side, written
 
 
 def frequency_index(df: DataFrame, column: str) -> DataFrame:
     """(value, value_index, cnt): most frequent first, ties alphabetical, NULL left out."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("cnt"))
+    counts = written(counts, "counts")
     ranked = ranked_rows(counts.withColumn("_neg", -F.col("cnt")), [], ["_neg", column], "_rn")
     return ranked.select(F.col(column).alias("value"), (F.col("_rn") - 1).alias("value_index"), "cnt")
 
 
 def label_index(df: DataFrame, column: str) -> DataFrame:
     """(value, value_index) in alphabetical order, NULL left out."""
-    values = df.filter(F.col(column).isNotNull()).select(column).distinct()
+    values = written(df.filter(F.col(column).isNotNull()).select(column).distinct(), "values")
     ranked = ranked_rows(values, [], [column], "_rn")
     return ranked.select(F.col(column).alias("value"), (F.col("_rn") - 1).alias("value_index"))
 
@@ -57,11 +57,20 @@ def assemble_vector(df: DataFrame, columns: Sequence[str], out: str = "features"
     return VectorAssembler(inputCols=list(columns), outputCol=out, handleInvalid="error").transform(df)
 
 
-def fit_features(df: DataFrame, numbers: Sequence[str], categories: Sequence[str], out: str = "features") -> PipelineModel:
-    """Index the categories (rows with a NULL one are skipped) and assemble numbers + indexes.
+def onehot_long(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, value, flag): one row per row that holds a value, for any number of values; zeros are left out."""
+    return df.filter(F.col(column).isNotNull()).select(key, F.col(column).alias("value"), F.lit(1).alias("flag"))
 
-    The fitted model holds the distinct values of each category, nothing that grows with rows."""
-    indexed = [f"{c}_indexed" for c in categories]
-    indexer = StringIndexer(inputCols=list(categories), outputCols=indexed, handleInvalid="skip")
-    assembler = VectorAssembler(inputCols=[*numbers, *indexed], outputCol=out, handleInvalid="error")
-    return Pipeline(stages=[indexer, assembler]).fit(df)
+
+def indexed_categories(df: DataFrame, categories: Sequence[str]) -> DataFrame:
+    """``<category>_indexed`` beside every category, by frequency; rows with a NULL one are left out.
+
+    Indexes are tables that meet the rows in joins, so their values never pass the driver."""
+    for c in categories:
+        df = apply_index(df, frequency_index(df, c), c, f"{c}_indexed", keep_unseen=False)
+    return df
+
+
+def feature_vectors(df: DataFrame, numbers: Sequence[str], categories: Sequence[str], out: str = "features") -> DataFrame:
+    """Numbers and indexed categories in one vector per row."""
+    return assemble_vector(indexed_categories(df, categories), [*numbers, *[f"{c}_indexed" for c in categories]], out)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from claimlens.functions import cleanse
 from claimlens.operators import aggregates, features, joins, sampling, windows
 from claimlens.plans.registry import query
-from claimlens.plans.views import CLAIMS, HITS, claims, table, vector_hits
+from claimlens.plans.views import CLAIMS, DIRTY, HITS, claims, dirty_claims, table, vector_hits
+from claimlens.session import written
 
 # --- joins ------------------------------------------------------------------------------
 
@@ -447,6 +449,38 @@ def feat_assemble_vector(spark, sf):
 )
 def feat_pipeline(spark, sf):
     parts = table(spark, sf, "part")
-    model = features.fit_features(parts, ["p_size", "p_retailprice"], ["p_brand", "p_type"])
+    made = features.feature_vectors(parts, ["p_size", "p_retailprice"], ["p_brand", "p_type"])
     v = vector_to_array("features")
-    return model.transform(parts).select("p_partkey", *[v[i].alias(f"f{i}") for i in range(4)])
+    return made.select("p_partkey", *[v[i].alias(f"f{i}") for i in range(4)])
+
+
+@query("feat_onehot_long", "SELECT doc_id, source AS value, 1 AS flag FROM documents WHERE source IS NOT NULL")
+def feat_onehot_long(spark, sf):
+    return features.onehot_long(table(spark, sf, "documents"), "doc_id", "source")
+
+
+EXPLORED = ["miles", "code", "engine_indexed", "failcode_indexed"]
+EXPLORED_SQL = DIRTY + """, usable AS (
+  SELECT claim_id, engine, failcode, miles::DOUBLE AS miles, coalesce(TRY_CAST(code AS DOUBLE), 0) AS code FROM dirty
+  WHERE label IS NOT NULL AND TRY_CAST(label AS DOUBLE) IS NULL AND NOT regexp_matches(label, '^[0-9]+$|[|]')),
+e AS (SELECT engine, row_number() OVER (ORDER BY count(*) DESC, engine) - 1 AS engine_indexed FROM usable GROUP BY engine),
+f AS (SELECT failcode, row_number() OVER (ORDER BY count(*) DESC, failcode) - 1 AS failcode_indexed FROM usable GROUP BY failcode),
+x AS (SELECT * FROM usable JOIN e USING (engine) JOIN f USING (failcode))"""
+
+
+@query(
+    "explore_correlation",
+    f"WITH {EXPLORED_SQL} " + " UNION ALL ".join(
+        f"SELECT '{EXPLORED[i]}' AS feature_a, '{EXPLORED[j]}' AS feature_b, round(corr({EXPLORED[i]}, {EXPLORED[j]}), 6) AS r FROM x"
+        for i in range(len(EXPLORED))
+        for j in range(i)
+    ),
+)
+def explore_correlation(spark, sf):
+    """The exploration chain: usable labels, cast codes, filled gaps, indexed categories, correlation of all of them."""
+    rows = dirty_claims(spark, sf).withColumn("label", cleanse.normalize_label("label"))
+    numeric = cleanse.cast_numeric(cleanse.labelled(rows, "label"), ["miles", "code"])
+    filled = cleanse.fill_missing(numeric.select("claim_id", "engine", "failcode", "miles", "code"), "code")
+    indexed = written(features.indexed_categories(filled, ["engine", "failcode"]), "explored")
+    matrix = aggregates.correlation_matrix(indexed, EXPLORED)
+    return aggregates.correlation_pairs(matrix, EXPLORED).withColumn("r", F.round("r", 6))

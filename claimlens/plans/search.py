@@ -131,15 +131,19 @@ def sort_by_rerank(spark, sf):
 
 @query(
     "index_refresh",
-    """WITH b AS (SELECT ('0x' || substr(md5(vec_id::VARCHAR), 1, 8))::BIGINT % 10000 AS b FROM embeddings)
+    """WITH b AS (SELECT ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 10000 AS b FROM documents)
        SELECT 1 AS call, count_if(b < 8000)::BIGINT AS added FROM b UNION ALL
        SELECT 2, count_if(b >= 8000)::BIGINT FROM b UNION ALL SELECT 3, 0 FROM b GROUP BY 1, 2""",
 )
 def index_refresh(spark, sf):
+    """Three calls over growing texts; each embeds what the index lacks, and nothing twice."""
     path = scratch_path(spark, "index")
-    source = table(spark, sf, "embeddings")
-    older = source.filter(sampling.hash_bucket("vec_id") < 8000)
-    added = [search.refresh_index(path, rows, "vec_id") for rows in (older, source, source)]
+    source = table(spark, sf, "documents").select("doc_id", "text")
+    older = source.filter(sampling.hash_bucket("doc_id") < 8000)
+    added = [
+        search.refresh_index(path, rows, "doc_id", lambda new: embedding.embed_hashed(new, "text", DIMS))
+        for rows in (older, source, source)
+    ]
     return spark.createDataFrame([(i + 1, n) for i, n in enumerate(added)], "call int, added long")
 
 

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimlens.functions.documents import claim_chunks, with_document
+from claimlens.operators.embedding import embed_hashed
 from claimlens.operators.sampling import hash_bucket
+from claimlens.operators.search import surrogate_id, topk
 from claimlens.plans.registry import query
-from claimlens.plans.views import CLAIMS, claims_of, table
+from claimlens.plans.views import CLAIMS, claims_of, embedding_sql, table
 from claimlens.session import scratch_path
 from claimlens.sources.readers import literal_rows, read_claims_csv, scan_table, stream_table
 from claimlens.sources.sinks import append_table, create_table_if_absent, overwrite_table, write_csv
@@ -181,6 +184,20 @@ def chunk_batch(labels):
     return transform
 
 
+CHUNK_DIMS = 32
+
+
+def embedded_chunks(labels):
+    """Micro-batch of documents -> chunk rows with a stable id and a vector: what the index holds."""
+    chunked = chunk_batch(labels)
+
+    def transform(batch):
+        chunks = chunked(batch).withColumn("id", surrogate_id("claim_id", "chunk_pos"))
+        return embed_hashed(chunks, "chunk", CHUNK_DIMS, element="double")
+
+    return transform
+
+
 STREAM_CHUNKS = f"""WITH {CLAIMS},
 chunks AS (
   SELECT claim_id, 0 AS chunk_pos, engine AS chunk FROM claims
@@ -191,13 +208,68 @@ chunks AS (
 SELECT claim_id, chunk_pos, coalesce(md5(chunk), 'none') AS chunk_md5 FROM chunks"""
 
 
-@query("stream_foreach_batch_append", STREAM_CHUNKS)
-def stream_foreach_batch_append(spark, sf):
+# Chunks keyed by claim and field, with the weights of their vectors.
+CHUNK_VECTORS = f"""{STREAM_CHUNKS.removeprefix('WITH ').split('SELECT claim_id, chunk_pos, coalesce')[0].rstrip()},
+keyed AS (SELECT claim_id * 8 + chunk_pos AS key, claim_id, chunk_pos, chunk FROM chunks),
+{embedding_sql('cv', 'keyed', 'key', 'chunk', CHUNK_DIMS)}"""
+
+
+def indexed_chunks(spark, sf):
+    """The chunk index as the stream leaves it."""
     target, checkpoint = scratch_path(spark, "chunks"), scratch_path(spark, "checkpoint")
-    drain(document_stream(spark, sf), target, checkpoint, chunk_batch(table(spark, sf, "labels")))
-    return spark.read.parquet(target).select(
-        "claim_id", "chunk_pos", F.coalesce(F.md5("chunk"), F.lit("none")).alias("chunk_md5")
+    drain(document_stream(spark, sf), target, checkpoint, embedded_chunks(table(spark, sf, "labels")))
+    return spark.read.parquet(target)
+
+
+@query(
+    "stream_foreach_batch_append",
+    f"""WITH {CHUNK_VECTORS}
+        SELECT k.claim_id, k.chunk_pos, coalesce(md5(k.chunk), 'none') AS chunk_md5,
+               ('0x' || substr(md5(concat('["', k.claim_id, '","', k.chunk_pos, '"]')), 1, 15))::BIGINT AS id,
+               count(cv.dim) AS filled, round(max(cv.w), 6) AS highest
+        FROM keyed k LEFT JOIN cv USING (key) GROUP BY ALL""",
+)
+def stream_foreach_batch_append(spark, sf):
+    """Claims in, embedded chunks out, batch by batch."""
+    filled = F.filter("embedding", lambda x: x != 0)
+    return indexed_chunks(spark, sf).select(
+        "claim_id",
+        "chunk_pos",
+        F.coalesce(F.md5("chunk"), F.lit("none")).alias("chunk_md5"),
+        "id",
+        F.coalesce(F.size(filled), F.lit(0)).cast("long").alias("filled"),
+        F.round(F.array_max(filled), 6).alias("highest"),
+    )
+
+
+LABEL_CHUNK, TEXT_CHUNK = CLAIM_FIELDS.index("label"), CLAIM_FIELDS.index("narrative")
+
+
+@query(
+    "search_chunks",
+    f"""WITH {CHUNK_VECTORS},
+        dense AS (SELECT claim_id, chunk_pos, list_transform(range({CHUNK_DIMS}), lambda i: coalesce(map_extract_value(m, i), 0)) AS e
+                  FROM (SELECT claim_id, chunk_pos, map(list(dim), list(w)) AS m FROM cv JOIN keyed USING (key) GROUP BY ALL)
+                  WHERE chunk_pos <> {LABEL_CHUNK}),
+        ids AS (SELECT *, ('0x' || substr(md5(concat('["', claim_id, '","', chunk_pos, '"]')), 1, 15))::BIGINT AS id FROM dense),
+        hits AS (SELECT q.claim_id AS query_id, v.claim_id, v.id, round(list_inner_product(q.e, v.e), 9) AS score
+                 FROM ids q, ids v WHERE q.chunk_pos = {TEXT_CHUNK} AND q.id <> v.id
+                 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY score DESC, v.id) <= 10),
+        folded AS (SELECT query_id, claim_id, max(score) AS score, count(*) AS chunks FROM hits GROUP BY ALL)
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) AS rank FROM folded""",
+)
+def search_chunks(spark, sf):
+    """Each claim's text among the chunks of all fields but the label; hits fold to claims by their best chunk."""
+    index = indexed_chunks(spark, sf).filter((F.col("chunk_pos") != LABEL_CHUNK) & F.exists("embedding", lambda x: x != 0))
+    texts = index.filter(F.col("chunk_pos") == TEXT_CHUNK)
+    hits = topk(texts, index, 10, query_id="id", vector_id="id").withColumnsRenamed({"query_id": "_query", "claim_id": "_hit"})
+    owners = index.select("id", "claim_id")
+    named = hits.join(owners.withColumnsRenamed({"id": "_query", "claim_id": "query_id"}), "_query").join(
+        owners.withColumnRenamed("id", "_hit"), "_hit"
     )
+    folded = named.groupBy("query_id", "claim_id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("chunks"))
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "claim_id")
+    return folded.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
 @query("stream_explode_chunks", STREAM_CHUNKS)
