@@ -48,10 +48,10 @@ REMEMBERED = 200_000
 
 _LETTERS = re.compile(r"[\W\d_]+")
 _LEET = re.escape("".join(LEET))
-# Letters set apart by single separators; a sign between letters or in front of two; one letter three times.
+# Letters set apart by single separators; a sign between letters or in front of two, without signs at the end; one letter three times.
 _DISGUISED = re.compile(
     rf"(?<![^\W_])(?:[^\W\d_][{re.escape(SEPARATORS)}]){{3,}}[^\W\d_](?![^\W_])"
-    rf"|(?<![\w{_LEET}])(?:[^\W\d_]++[{_LEET}]++[^\W\d_]|[{_LEET}]{{1,3}}+[^\W\d_][\w{_LEET}])[\w{_LEET}]*+"
+    rf"|(?<![\w{_LEET}])(?:[^\W\d_]++[{_LEET}]++[^\W\d_]|[{_LEET}]{{1,3}}+[^\W\d_][\w{_LEET}])(?:[\w{_LEET}]*\w)?"
     r"|(?<!\w)(?=\w*?([^\W\d_])\1\1)\w++"
 )
 

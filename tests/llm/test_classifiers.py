@@ -67,7 +67,7 @@ def test_a_compiled_rule(frame):
     model = quality.RuleModel(-1.0, [((("n_words", False, 2.0), ("upper", True, 0.5)), 3.0)])
     rows = {r["doc_id"]: r["score"] for r in quality.quality_scores(frame([(1, "a b c"), (2, "A B C D"), (3, None)]), model).collect()}
     assert rows[1] == pytest.approx(1 / (1 + np.exp(-2))) and rows[3] == pytest.approx(1 / (1 + np.exp(1)))
-    assert rows[2] == rows[1]  # blanks count among the characters: upper is 4 / 7 > 0.5 fails only without them
+    assert rows[2] == rows[3]  # 4 of 7 characters are capitals, so the rule does not hold
 
 
 @pytest.fixture(scope="module")
