@@ -39,29 +39,37 @@ CONFIDENT = 0.5
 LEAST_CHARS = 5
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` looks at it, also inside functions of its own."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def located(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value, cue>> of a pattern's leftmost matches, in code points.
 
     Matches and the pieces between them alternate, so lengths add up to places. The cue is the last run before a match."""
     values = F.regexp_extract_all(text, F.lit(f"(?:{pattern})"), F.lit(0))
     gaps = F.split(text, f"(?:{pattern})", -1)
-    before = F.transform(
-        values,
-        lambda _, i: F.aggregate(
-            F.sequence(F.lit(0), i),
-            F.lit(0),
-            lambda total, j: total + F.length(F.get(gaps, j)) + F.when(j < i, F.length(F.get(values, j))).otherwise(0),
-        ),
-    )
-    return F.transform(
-        values,
-        lambda value, i: F.struct(
-            F.get(before, i).alias("start"),
-            (F.get(before, i) + F.length(value)).alias("end"),
-            value.alias("value"),
-            F.lower(F.regexp_extract(F.substring(F.get(gaps, i), -CUE_LENGTH, CUE_LENGTH), rf"({CUE})[\x20\x09-\x0D{_quoted(EDGES)}]*$", 1)).alias("cue"),
-        ),
-    )
+
+    def starts(parts: Column) -> Column:
+        steps = F.transform(parts["values"], lambda value, i: F.length(F.get(parts["gaps"], i)) + F.when(i > 0, F.length(F.get(parts["values"], i - 1))).otherwise(0))
+        return bound(steps, lambda s: F.transform(s, lambda _, i: F.aggregate(F.slice(s, 1, i + 1), F.lit(0), lambda total, x: total + x)))
+
+    def spans(parts: Column) -> Column:
+        return bound(
+            starts(parts),
+            lambda at: F.transform(
+                parts["values"],
+                lambda value, i: F.struct(
+                    F.get(at, i).alias("start"),
+                    (F.get(at, i) + F.length(value)).alias("end"),
+                    value.alias("value"),
+                    F.lower(F.regexp_extract(F.substring(F.get(parts["gaps"], i), -CUE_LENGTH, CUE_LENGTH), rf"({CUE})[\x20\x09-\x0D{_quoted(EDGES)}]*$", 1)).alias("cue"),
+                ),
+            ),
+        )
+
+    return bound(F.struct(values.alias("values"), gaps.alias("gaps")), spans)
 
 
 def _quoted(signs: str) -> str:
@@ -136,9 +144,12 @@ def examined(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             s["cue"].alias("cue"),
         ),
     )
-    free = F.filter(
-        trimmed,
-        lambda s: (F.length(s["value"]) >= LEAST_CHARS) & ~F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])),
+    free = bound(
+        taken,
+        lambda base: F.filter(
+            trimmed,
+            lambda s: (F.length(s["value"]) >= LEAST_CHARS) & ~F.exists(base, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])),
+        ),
     )
     none = F.array().cast("array<struct<start:int,end:int,value:string,cue:string>>")
     return found.withColumn("candidates", F.when(F.col("has_digit"), free).otherwise(none)).drop("text", "has_digit")
