@@ -232,22 +232,17 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in angle brackets, from the last one to the first; where spans overlap, the part before the later one is replaced."""
-    begun = F.struct(text.alias("text"), F.length(text).alias("limit"))
-    ordered = F.reverse(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
-    done = F.aggregate(
-        ordered,
-        begun,
-        lambda acc, s: F.struct(
-            F.concat(
-                F.substring(acc["text"], F.lit(1), s["start"]),
-                F.lit("<"), F.upper(s["kind"]), F.lit(">"),
-                F.substring(acc["text"], F.least(s["end"], acc["limit"]) + 1, F.length(acc["text"])),
-            ).alias("text"),
-            s["start"].alias("limit"),
-        ),
-    )
-    return done["text"]
+    """The text with every span replaced by its kind in angle brackets. Spans that overlap are replaced as one, up to the
+    furthest end, by the kind of the one that begins first (of those the longest)."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+
+    def replaced(acc: Column, s: Column) -> Column:
+        apart = s["start"] >= acc["end"]
+        kept = F.concat(acc["text"], F.substring(text, acc["end"] + 1, s["start"] - acc["end"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+        return F.struct(F.when(apart, kept).otherwise(acc["text"]).alias("text"), F.greatest(acc["end"], -s["back"]).alias("end"))
+
+    begun = F.struct(F.lit("").alias("text"), F.lit(0).alias("end"))
+    return F.aggregate(ordered, begun, replaced, lambda acc: F.concat(acc["text"], F.substring(text, acc["end"] + 1, F.length(text))))
 
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", **settings) -> DataFrame:

@@ -3,8 +3,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from claimlens.llm.pii import digest, find, redact
+from claimlens.llm.pii import digest, find, redact, redacted
 
 # The contract's patterns, as they stand there.
 BASE = {
@@ -77,5 +78,14 @@ def test_redaction(frame, cued):
     assert found[30] == (None, 0) and found[22] == (cued[11][1], len(cued[11][1]))
 
 
+def test_redaction_of_overlapping_spans(frame):
+    rows = [(1, "call +33.1.42.68.53.00 now"), (2, "to user@10.20.30.40.example.com."), (3, "+4111 1111 1111 1111, then a@b.c/d@e.f"), (4, "x 9.1.2.3.4@h.org y")]
+    found = {r["doc_id"]: r["text"] for r in redact(frame(rows)).collect()}
+    assert found == {1: "call <PHONE> now", 2: "to <EMAIL>.", 3: "+<CARD>, then <EMAIL>/<EMAIL>", 4: "x <EMAIL> y"}
+    spans = [(0, "phone", 2, 9), (0, "ip", 4, 12), (0, "card", 12, 14), (0, "email", 20, 25), (0, "found", 20, 22)]
+    row = frame([(1, "é" * 30)]).select(redacted(F.col("text"), F.array(*[F.struct(F.lit(o).alias("order"), F.lit(k).alias("kind"), F.lit(a).alias("start"), F.lit(b).alias("end")) for o, k, a, b in spans])).alias("t")).first()
+    assert row["t"] == "éé<PHONE><CARD>éééééé<EMAIL>ééééé"
+
+
 def test_empty(frame):
     assert digest(find(frame([]))).collect() == []
