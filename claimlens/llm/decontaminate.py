@@ -1,13 +1,15 @@
 """Benchmark decontamination over templates: passages whose numbers, names or units were swapped still match.
 
 Every token becomes its template form: a number, a name and a unit are typed placeholders, any other word is
-itself in lower case. Windows of template tokens are joined by hash between documents and benchmark items;
-matches on one diagonal make an alignment; the values in its slots decide: the same values are a
+itself in lower case; names in a row are one. Windows of template tokens are joined by hash between documents and benchmark items;
+matches in order on neighbouring diagonals make an alignment; the values in its slots decide: the same values are a
 verbatim leak, values replaced one for one are a re-parameterised item, anything else is chance.
 """
 
 from __future__ import annotations
 
+import bisect
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +22,10 @@ from claimlens.session import spread, written
 
 WINDOW = 6
 COVERED = 0.6
+# So many matching windows in order, of plain words for the most part, are a leak whatever their share of a long item.
+LONG_RUN = 32
+# Plain words that an item shorter than a window must hold to be found inside a document with other values.
+SHORT_PLAIN = 3
 # Bits of the sieve in front of the join: 2 MB whatever the benchmark's size.
 SIEVE_BITS = 1 << 24
 # Units of measure and money.
@@ -52,7 +58,9 @@ class Templates:
         self.units = np.sort(np.concatenate([self.words.lowered(u) for u in UNITS]))
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(template hashes, kinds, value hashes), one per token."""
+        """(template hashes, kinds, value hashes), one per token. ``begins`` then tells the words that a capital makes names
+        but for their place."""
+        self.begins = np.empty(0, bool)
         raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
         starts, ends = self.words.places(raw)
         if not len(starts):
@@ -72,10 +80,12 @@ class Templates:
         letters = np.cumsum(np.r_[0, self.kinds[raw] >= 2])
         has_digit = digits[ends] > digits[starts]
         has_letter = letters[ends] > letters[starts]
+        capital = self.kinds[raw[starts]] == 3
         kind = np.zeros(len(starts), np.int8)
-        kind[(self.kinds[raw[starts]] == 3) & ~begun] = NAME
+        kind[capital & ~begun] = NAME
         kind[self.units[np.minimum(np.searchsorted(self.units, value), len(self.units) - 1)] == value] = UNIT
         kind[has_digit & ~has_letter] = NUMBER
+        self.begins = capital & begun & (kind == PLAIN)
         template = np.where(kind == PLAIN, value, kind.astype(np.uint64))
         return template, kind, value
 
@@ -96,46 +106,116 @@ def windows(template: np.ndarray, n: int) -> np.ndarray:
     return rolled
 
 
+def readings(read: Templates, text: str | None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(template, kinds, values, places) of a text, names in a row made one: with capitals that begin a sentence as words,
+    and as names where that makes a difference."""
+    template, kinds, values = read(text)
+    found = []
+    for named in (False,):
+        if named and not read.begins.any():
+            break
+        kind = np.where(read.begins, NAME, kinds) if named else kinds
+        name = kind == NAME
+        follows = np.r_[False, name[1:] & name[:-1]] if len(kind) else name
+        first = np.flatnonzero(~follows)
+        if len(first):
+            sums = np.add.reduceat(mixed(values), first)
+            joined = np.where(np.diff(np.r_[first, len(kind)]) > 1, sums, values[first])
+            kept = kind[first].astype(np.int8)
+            found.append((np.where(kept == PLAIN, values[first], kept.astype(np.uint64)), kept, joined, first))
+    return found
+
+
+def _packed(kinds: np.ndarray, values: np.ndarray, places: np.ndarray, at: int, n: int) -> bytes:
+    """Kinds, values and places (from the first on) of the window at a place."""
+    return kinds[at : at + n].tobytes() + values[at : at + n].tobytes() + (places[at : at + n] - places[at]).astype(np.int32).tobytes()
+
+
+def _unpacked(window: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(window) // 13
+    return np.frombuffer(window, np.int8, n), np.frombuffer(window, np.int64, n, n), np.frombuffer(window, np.int32, n, 9 * n)
+
+
 def item_windows(items: DataFrame, n: int, item_id: str, text: str) -> DataFrame:
-    """(item_id, item_at, window, item_windows, slots): the benchmark's windows; slots are (place, kind, value) of the whole item, packed."""
+    """(item_id, item_at, window, item_windows, width, item_tokens, item_slots): the benchmark's windows in either reading; an
+    item shorter than a window is one of its own width. item_slots are a window's kinds, values and places, packed."""
     kind = items.schema[item_id].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read = Templates()
         for batch in batches:
             for item, t in zip(batch["item_id"], batch["text"]):
-                template, kinds, value = read(t)
-                rolled = windows(template, n)
-                if len(rolled):
-                    yield pd.DataFrame({"item_id": item, "item_at": np.arange(len(rolled)), "window": rolled.view(np.int64), "item_windows": len(rolled), "item_slots": _packed(kinds, value, 0, len(kinds))})
+                size = 0
+                for template, kinds, values, places in readings(read, t):
+                    rolled, wide = windows(template, n), min(n, len(template))
+                    size = size or len(rolled)
+                    yield pd.DataFrame({"item_id": item, "item_at": places[: len(rolled)], "window": rolled.view(np.int64), "item_windows": size, "width": wide, "item_slots": [_packed(kinds, values, places, i, wide) for i in range(len(rolled))]})
 
     rows = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where("item_id is not null")
-    return rows.mapInPandas(run, f"item_id {kind}, item_at long, window long, item_windows long, item_slots binary")
-
+    return rows.mapInPandas(run, f"item_id {kind}, item_at long, window long, item_windows long, width int, item_slots binary").distinct()
 
-def _packed(kinds: np.ndarray, values: np.ndarray, low: int, high: int) -> bytes:
-    """Slots of tokens low..high-1 as (place, kind, value) rows of 64-bit numbers."""
-    at = np.flatnonzero(kinds[low:high])
-    return np.column_stack([at + low, kinds[low:high][at], values[low:high][at].view(np.int64)]).astype(np.int64).tobytes()
 
-
-def consistent(item: bytes, doc: bytes, low: int, high: int, shift: int) -> str:
-    """What the slots say of item tokens low..high-1 laid on document tokens shifted by ``shift``: 'verbatim', 'reparameterised' or ''."""
-    theirs = np.frombuffer(item, np.int64).reshape(-1, 3)
-    ours = np.frombuffer(doc, np.int64).reshape(-1, 3)
-    theirs = theirs[(theirs[:, 0] >= low) & (theirs[:, 0] < high)]
-    mine = {int(p) - shift: (int(k), int(v)) for p, k, v in ours}
+def consistent(pairs: list[tuple[int, int, int]]) -> str:
+    """What slots (kind, item's value, document's value) say: 'verbatim', 'reparameterised' or ''. Values must be replaced one for one."""
+    if all(a == b for _, a, b in pairs):
+        return "verbatim"
     there: dict = {}
     back: dict = {}
-    same = True
-    for place, kind, value in theirs.tolist():
-        if place not in mine:
+    agree = 0
+    for (kind, a, b), times in sorted(Counter(pairs).items(), key=lambda x: (-x[1], x[0][1] != x[0][2], x[0])):
+        if there.setdefault((kind, a), b) == b and back.setdefault((kind, b), a) == a:
+            agree += times
+    return "reparameterised" if agree == len(pairs) else ""
+
+
+def in_order(item_at: np.ndarray, doc_at: np.ndarray) -> list[int]:
+    """Indices of a longest list of matches that rises on both sides."""
+    tops: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(item_at)
+    x, y = item_at.tolist(), doc_at.tolist()
+    for i in np.lexsort((-doc_at, item_at)).tolist():
+        at = bisect.bisect_left(tops, y[i])
+        before[i] = last[at - 1] if at else -1
+        tops[at : at + 1], last[at : at + 1] = [y[i]], [i]
+    chain, i = [], last[-1] if last else -1
+    while i >= 0:
+        chain.append(i)
+        i = before[i]
+    return chain[::-1]
+
+
+def judged(item_at: np.ndarray, doc_at: np.ndarray, item_slots: list, doc_slots: list, size: int, width: int, n: int, whole: int, covered: float):
+    """(covered, match) of the best alignment of an item of ``size`` windows in a document, or None. ``whole`` is the number of a
+    document's tokens where it has no more than the item's window."""
+    shift = doc_at - item_at
+    order = np.argsort(shift, kind="stable")
+    best, slack = None, 3 + size // 8
+    ranked = shift[order]
+    for low in np.unique(ranked):
+        band = order[np.searchsorted(ranked, low) : np.searchsorted(ranked, low + slack, "right")]
+        places = len(np.unique(item_at[band]))
+        if places < min(covered * size, LONG_RUN):
+            continue
+        chain = band[in_order(item_at[band], doc_at[band])]
+        slots: dict = {}
+        wordy = 0
+        for i in chain.tolist():
+            kinds, theirs, on = _unpacked(item_slots[i])
+            ours = _unpacked(doc_slots[i])[1]
+            wordy += 2 * int((kinds == PLAIN).sum()) >= len(kinds)
+            for k in np.flatnonzero(kinds).tolist():
+                slots.setdefault((int(item_at[i]) + int(on[k]), int(kinds[k])), (int(kinds[k]), int(theirs[k]), int(ours[k])))
+        share = min(1.0, len(chain) / size)
+        if share < covered and wordy < LONG_RUN:
             continue
-        own_kind, own = mine[place]
-        if own_kind != kind or there.setdefault((kind, value), own) != own or back.setdefault((kind, own), value) != value:
-            return ""
-        same &= own == value
-    return "verbatim" if same else "reparameterised"
+        match = consistent(list(slots.values()))
+        if match and width < n and not whole:
+            plain = int((_unpacked(item_slots[chain[0]])[0] == PLAIN).sum())
+            match = match if (width > 1 if match == "verbatim" else plain >= SHORT_PLAIN) else ""
+        if match and (best is None or (share, match) > best):
+            best = (share, match)
+    return best
 
 
 def contaminated(
@@ -149,12 +229,12 @@ def contaminated(
     item_text: str = "text",
 ) -> DataFrame:
     """(doc_id, item_id, covered, match): the documents that hold a benchmark item, with the share of the item's windows
-    that one alignment covers (at least ``covered``) and whether it is 'verbatim' or 'reparameterised'.
+    that one alignment covers (at least ``covered``, or ``LONG_RUN`` windows) and whether it is 'verbatim' or 'reparameterised'.
 
     Benchmark windows are found by hash join; before it a sieve of fixed size drops document windows that
     cannot match, and lets a few others through, which the join drops. Of several alignments of an item in a document
-    the best counts. An item shorter than a window is one window and matches a document of just these
-    tokens. Missing or empty texts match nothing; rows without an id have no part; items that repeat
+    the best counts. An item shorter than a window is one window of its own width; inside a longer document it
+    counts verbatim from two words on, and with other values where ``SHORT_PLAIN`` of its words are plain. Missing or empty texts match nothing; rows without an id have no part; items that repeat
     match each; rows that repeat an id give one result; empty tables give no rows; further columns are ignored."""
     spark = docs.sparkSession
     items = written(item_windows(benchmark, n, item_id, item_text), "items")
@@ -164,44 +244,54 @@ def contaminated(
     for word, bit in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():  # at most SIEVE_BITS / 64 rows
         sieve[word] = bit
     shared = spark.sparkContext.broadcast(sieve.view(np.uint64))
+    widths = sorted({n} | {r["width"] for r in items.select("width").distinct().collect()})  # n at most
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def sieved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read, sieve = Templates(), shared.value
         for batch in batches:
             for doc, t in zip(batch["doc_id"], batch["text"]):
-                template, kinds, value = read(t)
-                rolled = windows(template, n)
-                place = (rolled.view(np.int64) % SIEVE_BITS).astype(np.int64)
-                at = np.flatnonzero((sieve[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1))
-                if len(at):
-                    wide = min(n, len(template))
-                    yield pd.DataFrame({"doc_id": doc, "doc_at": at, "window": rolled[at].view(np.int64), "doc_slots": [_packed(kinds, value, i, i + wide) for i in at.tolist()]})
+                found = []
+                for template, kinds, values, places in readings(read, t):
+                    for wide in widths:
+                        if wide > len(template):
+                            break
+                        rolled = windows(template, wide)
+                        place = (rolled.view(np.int64) % SIEVE_BITS).astype(np.int64)
+                        at = np.flatnonzero((sieve[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1))
+                        whole = int(len(template) == wide)
+                        found += [(int(places[i]), int(rolled[i].view(np.int64)), _packed(kinds, values, places, i, wide), whole) for i in at.tolist()]
+                if found:
+                    found = list(dict.fromkeys(found))
+                    yield pd.DataFrame({"doc_id": doc, "doc_at": [f[0] for f in found], "window": [f[1] for f in found], "doc_slots": [f[2] for f in found], "whole": [f[3] for f in found]})
 
     rows = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null"))
-    possible = rows.mapInPandas(sieved, f"doc_id {kind}, doc_at long, window long, doc_slots binary")
-    hits = possible.join(items, "window").withColumn("shift", F.col("doc_at") - F.col("item_at"))
-    alignments = (
-        hits.groupBy("doc_id", "item_id", "shift")
+    possible = rows.mapInPandas(sieved, f"doc_id {kind}, doc_at long, window long, doc_slots binary, whole int")
+    matched = (
+        possible.join(items, "window")
+        .groupBy("doc_id", "item_id")
         .agg(
-            F.countDistinct("item_at").alias("matched"),
-            F.min("item_at").alias("low"),
-            (F.max("item_at") + n).alias("high"),
-            F.first("item_windows").alias("item_windows"),
-            F.first("item_slots").alias("item_slots"),
-            F.collect_set("doc_slots").alias("doc_slots"),
+            F.countDistinct("item_at").alias("places"),
+            F.first("item_windows").alias("size"),
+            F.first("width").alias("width"),
+            F.max("whole").alias("whole"),
+            F.collect_set(F.struct("item_at", "doc_at", "item_slots", "doc_slots")).alias("hits"),
         )
-        .withColumn("covered", F.col("matched") / F.col("item_windows"))
-        .where(F.col("covered") >= covered)
+        .where(F.col("places") >= F.least(F.col("size") * covered, F.lit(LONG_RUN)))
     )
+    columns = ("item_at", "doc_at", "item_slots", "doc_slots")
 
-    @F.pandas_udf("string")
-    def match(item: pd.Series, slots: pd.Series, low: pd.Series, high: pd.Series, shift: pd.Series) -> pd.Series:
-        return pd.Series([consistent(i, b"".join(s), a, b, c) for i, s, a, b, c in zip(item, slots, low, high, shift)], dtype="object")
+    def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for r in batch.itertuples(index=False):
+                best = judged(np.asarray(r.item_at, np.int64), np.asarray(r.doc_at, np.int64), list(r.item_slots), list(r.doc_slots), r.size, r.width, n, r.whole, covered)
+                if best:
+                    found.append((r.doc_id, r.item_id, *best))
+            yield pd.DataFrame(found, columns=["doc_id", "item_id", "covered", "match"])
 
-    judged = alignments.withColumn("match", match("item_slots", "doc_slots", "low", "high", "shift")).where("match <> ''")
-    best = F.max(F.struct("covered", "match")).alias("best")
-    return judged.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.covered", "best.match")
+    laid = matched.select("doc_id", "item_id", "size", "width", "whole", *[F.col(f"hits.{c}").alias(c) for c in columns])
+    return laid.mapInPandas(aligned, f"doc_id {kind}, item_id {benchmark.schema[item_id].dataType.simpleString()}, covered double, match string")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:

@@ -39,6 +39,28 @@ def test_planted(frame):
     assert {(r["doc_id"], r["item_id"]) for r in found} == wanted
 
 
+WORDS = "the red boats carry ripe melons over a calm river while old men sing about 5 km by 5 km of land and nobody there knows where the young captain of that ship has gone since last winter began".split()
+
+
+def test_edits_that_shift_an_item(frame):
+    item, half = " ".join(WORDS), len(WORDS) // 2
+    long = " ".join(f"{a}{b}" for a in "bcdfghjk" for b in "aeioulmnrs")
+    docs = [
+        (1, "x " * 30 + " ".join(WORDS[:half] + ["really"] + WORDS[half:]) + " y" * 30),
+        (2, "x " + " ".join(WORDS[:half] + WORDS[half + 1 :]) + " y"),
+        (3, "x " + item.replace("5 km by 5 km", "5 km by 5km") + " y"),
+        (4, "so we hear that Maria Lopez has 3 boats and that Jo sells 4 of them to her uncle in town"),
+        (5, "z " * 20 + " ".join(long.split()[20:60]) + " z" * 20),
+        (6, "They ask: what is the capital? Nobody says so in this place."),
+        (7, " ".join(reversed(WORDS))),
+        (8, " ".join(WORDS[:10]) + " other words stand here and go on for long"),
+        (9, "they ask what is a country and what is the town of these people"),
+    ]
+    items = [(1, item), (2, "so we hear that Ann has 3 boats and that Jo sells 4 of them to her uncle in town"), (3, long), (4, "What is the capital?")]
+    found = {(r["doc_id"], r["item_id"]): r["match"] for r in contaminated(frame(docs), frame(items, "item_id int, text string")).collect()}
+    assert found == {(1, 1): "verbatim", (2, 1): "verbatim", (3, 1): "verbatim", (4, 2): "reparameterised", (5, 3): "verbatim", (6, 4): "verbatim"}
+
+
 def test_empty(frame):
     items, docs = frame([(1, QUESTION)], "item_id int, text string"), frame([(1, QUESTION)])
     assert contaminated(docs.limit(0), items).collect() == []
