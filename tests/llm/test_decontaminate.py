@@ -61,6 +61,20 @@ def test_edits_that_shift_an_item(frame):
     assert found == {(1, 1): "verbatim", (2, 1): "verbatim", (3, 1): "verbatim", (4, 2): "reparameterised", (5, 3): "verbatim", (6, 4): "verbatim"}
 
 
+def test_contrary_slots_and_names_that_begin_sentences(frame):
+    names = "Tom goes to the market with his dog. Tom buys nine green apples for the cake. Tom comes home and sleeps a while."
+    items = [(1, QUESTION), (2, "we keep 3 red apples and then add 5 more of those to fill the box"), (3, "there were 2 apples left for them to eat in 2 days"), (4, names)]
+    docs = [
+        (1, "a " + QUESTION.replace("gives 12", "gives 21") + " b"),
+        (2, "a we keep 4 red apples and then add 4 more of those to fill the box b"),
+        (3, "a there were 3 apples left for them to eat in 4 days b"),
+        (4, "Some text. " + names.replace("Tom", "Anna") + " More text."),
+        (5, "as they say If Mary buys 12 apples" + QUESTION[len("If Mary buys 12 apples") :]),
+    ]
+    found = {(r["doc_id"], r["item_id"]): r["match"] for r in contaminated(frame(docs), frame(items, "item_id int, text string")).collect()}
+    assert found == {(1, 1): "reparameterised", (2, 2): "reparameterised", (3, 3): "reparameterised", (4, 4): "reparameterised", (5, 1): "verbatim"}
+
+
 def test_empty(frame):
     items, docs = frame([(1, QUESTION)], "item_id int, text string"), frame([(1, QUESTION)])
     assert contaminated(docs.limit(0), items).collect() == []
