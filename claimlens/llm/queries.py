@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from claimlens.llm.decontaminate import contaminated
 from claimlens.llm.mixture import mix
+from claimlens.llm.negatives import hard_negatives
 from claimlens.llm.ngram_join import ngram_components
+from claimlens.llm.packing import pack
 from claimlens.llm.passages import repeated_passages
 from claimlens.llm.pii import digest, find
 from claimlens.llm.quality import quality_scores, train as train_quality
 from claimlens.llm.repetition import DUPLICATE_GRAMS, DUPLICATE_LINES, repetition_rules
 from claimlens.llm.token_count import read_vocabulary, token_counts
 from claimlens.llm.toxicity import toxicity_scores, train as train_toxicity
+from claimlens.llm.turns import repaired
 from claimlens.llm.url_filter import canonical, host, judge_urls, path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,3 +207,60 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that a document shares with an earlier one."""
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def packing_vocabulary() -> str:
+    """The byte-level tokenizer file's JSON."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+@query("op11_concat_and_cut")
+def op11_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents end to end as token ids, cut into sequences of 1024."""
+    return pack(table(spark, sf_dir, "documents"), packing_vocabulary(), digest=True)
+
+
+NEGATIVES_SQL = """
+WITH taking AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM taking a JOIN taking b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT s.same
+  AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)
+QUALIFY row_number() OVER w <= 3"""
+
+
+@query("op12_hard_negatives", NEGATIVES_SQL)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every 50th vector and its nearest of the same label, the best vectors of other labels with half to 95 % of that score."""
+    finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = (
+        table(spark, sf_dir, "embeddings")
+        .where(finite)
+        .select(
+            F.col("vec_id").alias("id"),
+            moved.cast("long").alias("label"),
+            F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("vector"),
+        )
+    )
+    return hard_negatives(rows, rows.where(F.col("id") % 50 == 0))
+
+
+@query("op13_repair_turns")
+def op13_repair_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged by the contract's rule, its faults, its cheapest repair and that repair's digest."""
+    return repaired(table(spark, sf_dir, "conversations"))
