@@ -1,16 +1,17 @@
 """Top-k vector search, index upkeep, re-ranking.
 
 No vector is paired with another as a row. While the queries fit a checked bound they go to
-the tasks, and the index is scanned once where it lies. Beyond that both sides are packed into
-blocks of bounded size, blocks that can matter to each other meet in an equi-join, and one
-matrix product per block pair emits only its k best. Every block key is salted from counted
-sizes, so a crowded region becomes many blocks, not one big one.
+the tasks, and the index is scanned once where it lies. Beyond that queries and vectors are dealt over a
+grid of cells: a cell's task holds its part of the queries and reads its part of the vectors as a stream, keeping
+a running k best, so copies are bounded by the number of parts. Where the vectors lie in clusters, packed blocks that can
+matter to each other meet in an equi-join instead. Hashed search uses the grid's cells per bucket.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
-from math import ceil, isqrt
+from math import ceil, isqrt, log2
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,11 @@ WORTHWHILE_SHARE = 0.25
 SCAN_QUERIES = 16_384
 SCAN_BYTES = 64 * 1024 * 1024
 SCORES_AT_ONCE = 4_000_000
+# A grid cell: bytes of query vectors that its task holds, vectors that it reads.
+GRID_BYTES = 32 * 1024 * 1024
+GRID_VECTORS = 262_144
+# Hashed search: vectors that a bucket should hold.
+ROWS_PER_BUCKET = 1_024
 # An index above this size is first tried on a few of its vectors, to give each query a floor.
 SEED_FROM = 1_000_000
 SEED_ROWS = 16_384
@@ -47,6 +53,14 @@ def as_matrix(flat: np.ndarray, rows: int) -> np.ndarray:
     return np.asarray(flat, dtype="float64").reshape(rows, -1)
 
 
+def list_matrix(lists: pa.ListArray) -> np.ndarray:
+    """A list column without nulls as a matrix; vectors of unequal length are an error, never mixed."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError(f"vectors of unequal length: {sizes.min()} to {sizes.max()}")
+    return as_matrix(lists.flatten().to_numpy(zero_copy_only=False), len(lists))
+
+
 def best_pairs(queries: np.ndarray, vectors: np.ndarray, k: int, floor: np.ndarray | None = None):
     """(query row, vector row, score) of the ``k`` best per query; ties keep the lower vector row.
 
@@ -95,7 +109,7 @@ def block_scorer(k: int):
 
 def arrow_matrix(rows: pa.Table, column: str) -> np.ndarray | None:
     """A list column as a matrix; None without rows."""
-    return as_matrix(rows.column(column).combine_chunks().flatten().to_numpy(), rows.num_rows) if rows.num_rows else None
+    return list_matrix(rows.column(column).combine_chunks()) if rows.num_rows else None
 
 
 def lowest_first(rows: np.ndarray, ids: np.ndarray, values: np.ndarray, k: int):
@@ -106,44 +120,86 @@ def lowest_first(rows: np.ndarray, ids: np.ndarray, values: np.ndarray, k: int):
     return rows[chosen], ids[chosen], values[chosen]
 
 
+class RunningBest:
+    """The ``k`` best vectors of each query over batches of vectors. What cannot reach its query's floor is not kept."""
+
+    def __init__(self, queries: np.ndarray, k: int, floor: np.ndarray | None = None):
+        self.queries, self.k, self.seed, self.floor, self.kept = queries, k, floor, floor, None
+        self.step = max(1, SCORES_AT_ONCE // max(1, len(queries)))
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        by_id = np.argsort(ids, kind="stable")
+        for start in range(0, len(by_id), self.step):
+            part = by_id[start : start + self.step]
+            rows, columns, values = best_pairs(self.queries, vectors[part], self.k, self.floor)
+            found = ids[part][columns]
+            if self.kept is not None:
+                rows, found, values = (np.concatenate(pair) for pair in zip(self.kept, (rows, found, values)))
+            self.kept = lowest_first(rows, found, values, self.k)
+            # A query that has k hits takes the last one's score as its floor.
+            floor = np.full(len(self.queries), -np.inf) if self.seed is None else self.seed.copy()
+            full = np.bincount(self.kept[0], minlength=len(self.queries)) == self.k
+            floor[full] = self.kept[2][np.searchsorted(self.kept[0], np.flatnonzero(full)) + self.k - 1]
+            self.floor = floor
+
+    def batch(self, query_ids: pa.Array, kind: pa.DataType) -> pa.RecordBatch:
+        """(query_id, claim_id, score) of what is kept."""
+        rows, ids, values = self.kept
+        return pa.RecordBatch.from_arrays([query_ids.take(pa.array(rows)), pa.array(ids, kind), pa.array(values)], names=["query_id", "claim_id", "score"])
+
+
 def scan_scorer(shared, k: int):
     """Task function over vector batches: keeps a running k best per query, emits it at the end.
 
-    ``shared`` is the broadcast (query ids as an Arrow array, query matrix, floor per query or
-    None): what cannot reach its query's floor is not emitted."""
+    ``shared`` is the broadcast (query ids as an Arrow array, query matrix, floor per query or None)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries, seed = shared.value
         if queries is None:
             return
-        step = max(1, SCORES_AT_ONCE // max(1, len(queries)))
-        kept, floor = None, seed
+        best, kind = RunningBest(queries, k, seed), None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            all_ids = batch.column(0).to_numpy(zero_copy_only=False)
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            by_id = np.argsort(all_ids, kind="stable")
-            vectors = as_matrix(flat, batch.num_rows)
-            for start in range(0, len(by_id), step):
-                part = by_id[start : start + step]
-                rows, columns, values = best_pairs(queries, vectors[part], k, floor)
-                ids = all_ids[part][columns]
-                if kept is not None:
-                    rows, ids, values = (np.concatenate(pair) for pair in zip(kept, (rows, ids, values)))
-                kept = lowest_first(rows, ids, values, k)
-                # A query that has k hits takes the last one's score as its floor.
-                floor = np.full(len(queries), -np.inf) if seed is None else seed.copy()
-                full = np.bincount(kept[0], minlength=len(queries)) == k
-                floor[full] = kept[2][np.searchsorted(kept[0], np.flatnonzero(full)) + k - 1]
-        if kept is not None:
-            rows, ids, values = kept
-            found = [query_ids.take(pa.array(rows)), pa.array(ids, batch.schema.field(0).type), pa.array(values)]
-            yield pa.RecordBatch.from_arrays(found, names=["query_id", "claim_id", "score"])
+            if batch.num_rows:
+                kind = batch.schema.field(0).type
+                best.add(batch.column(0).to_numpy(zero_copy_only=False), list_matrix(batch.column(1)))
+        if best.kept is not None:
+            yield best.batch(query_ids, kind)
 
     return scan
 
 
+def cell_scorer(k: int):
+    """Task function over (cell, kind, query_id, claim_id, vector) rows, of each cell the queries (kind 0) first.
+
+    Holds one cell's queries; its vectors pass as a stream."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting, best, ids = None, [], None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells, kinds = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            edges = np.flatnonzero((np.diff(cells) != 0) | (np.diff(kinds) != 0)) + 1
+            for start, stop in zip(np.r_[0, edges].tolist(), np.r_[edges, len(cells)].tolist()):
+                part = batch.slice(start, stop - start)
+                if cells[start] != now:
+                    if best is not None and best.kept is not None:
+                        yield best.batch(ids, part.schema.field(3).type)
+                    now, waiting, best = cells[start], [], None
+                if kinds[start] == 0:
+                    waiting.append(part)
+                    continue
+                if best is None and waiting:
+                    asked = pa.Table.from_batches(waiting).combine_chunks()
+                    ids, best, waiting = asked.column("query_id").combine_chunks(), RunningBest(arrow_matrix(asked, "vector"), k), []
+                if best is not None:
+                    best.add(part.column(3).to_numpy(zero_copy_only=False), list_matrix(part.column(4)))
+        if best is not None and best.kept is not None:
+            yield best.batch(ids, batch.schema.field(3).type)
+
+    return score
+
+
 # --- blocks -----------------------------------------------------------------------------
 
 
@@ -256,10 +312,10 @@ def topk(
 
     * up to ``scan_queries`` queries: each task scans its vectors against all queries, so the
       index is read once and never shuffled;
-    * else up to ``unpruned_rows`` vectors: every block pair is scored;
-    * else the vectors fall into cells around pivots, each query takes a first bound from one
-      block of its own cell, and only cells whose best possible score reaches that bound are
-      visited. Where cells overlap too much to gain by that, every block pair is scored."""
+    * else, above ``unpruned_rows`` vectors, they fall into cells around pivots, each query takes a first
+      bound from one block of its own cell, and only cells whose best possible score reaches that
+      bound are visited, if an estimate says that this pays;
+    * else a grid of query parts and vector parts: every part is copied once per part of the other side."""
     q, v = _sides(queries, vectors, query_id, query_vector, vector_id, vector)
     cores = q.sparkSession.sparkContext.defaultParallelism
     keep = k + 1 if exclude_self else k
@@ -271,12 +327,46 @@ def topk(
         pairs = _reachable_pairs(q, v, q_count, v_count, keep, cores)
         if pairs is not None:
             return best_hits(pairs, k, keep, exclude_self)
-    v_rows, q_rows = block_size(v_count, cores), block_size(q_count, cores)
-    v_blocks = packed(salted(v, v_count, "claim_id", v_rows, "v_salt"), ["v_salt"], "claim_id", "v_vec", "v")
-    q_blocks = packed(salted(q, q_count, "query_id", q_rows, "q_salt"), ["q_salt"], "query_id", "q_vec", "q")
-    salts = F.sequence(F.lit(0), F.lit(max(1, ceil(v_count / v_rows)) - 1))
-    pairs = q_blocks.withColumn("v_salt", F.explode(salts)).join(v_blocks, "v_salt")
-    return best_hits(pairs, k, keep, exclude_self)
+    return ranked_hits(_gridded(q, v, q_count, v_count, keep, cores), k, exclude_self)
+
+
+def _of_cells(queries: DataFrame, vectors: DataFrame, keep: int, parts: int | None) -> DataFrame:
+    """(query_id, claim_id, score) from (cell, query_id, q_vec) and (cell, claim_id, v_vec): the ``keep`` best per query and cell.
+
+    With ``parts`` the cell is the number of its partition; else cells are dealt by hash."""
+    q = queries.select("cell", F.lit(0).alias("kind"), "query_id", F.lit(None).cast(vectors.schema["claim_id"].dataType).alias("claim_id"), F.col("q_vec").alias("vector"))
+    v = vectors.select("cell", F.lit(1).alias("kind"), F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "claim_id", F.col("v_vec").alias("vector"))
+    both = q.union(v)
+    dealt = both.repartitionById(parts, F.col("cell").cast("int")) if parts else both.repartition("cell")
+    schema = T.StructType(
+        [
+            T.StructField("query_id", queries.schema["query_id"].dataType),
+            T.StructField("claim_id", vectors.schema["claim_id"].dataType),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+    return dealt.sortWithinPartitions("cell", "kind").mapInArrow(cell_scorer(keep), schema)
+
+
+def _copied(df: DataFrame, key: str, own: str, parts: int, other: str, others: int) -> DataFrame:
+    """Each row with its part by hash of ``key``, once for each part of the other side."""
+    placed = df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(parts)))
+    return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+
+def grid_shape(q_count: int, v_count: int, dimensions: int, cores: int) -> tuple[int, int]:
+    """(query parts, vector parts): a query part fits GRID_BYTES, a vector part GRID_VECTORS, and no core is idle."""
+    q_parts = max(1, ceil(q_count * max(1, dimensions) * 8 / GRID_BYTES))
+    return q_parts, max(1, ceil(v_count / GRID_VECTORS), ceil(cores / q_parts))
+
+
+def _gridded(q: DataFrame, v: DataFrame, q_count: int, v_count: int, keep: int, cores: int) -> DataFrame:
+    """The ``keep`` best per query and vector part: queries move once per vector part, vectors once per query part."""
+    q_parts, v_parts = grid_shape(q_count, v_count, vector_length(q, "q_vec"), cores)
+    cell = F.col("p") * q_parts + F.col("r")
+    asked = _copied(q, "query_id", "r", q_parts, "p", v_parts).select(cell.alias("cell"), "query_id", "q_vec")
+    held = _copied(v, "claim_id", "p", v_parts, "r", q_parts).select(cell.alias("cell"), "claim_id", "v_vec")
+    return _of_cells(asked, held, keep, q_parts * v_parts)
 
 
 def _scanned(q: DataFrame, v: DataFrame, v_count: int, keep: int) -> DataFrame:
@@ -287,9 +377,7 @@ def _scanned(q: DataFrame, v: DataFrame, v_count: int, keep: int) -> DataFrame:
     asked = q.toArrow().combine_chunks()
     queries, floor = arrow_matrix(asked, "q_vec"), None
     if v_count > SEED_FROM and queries is not None:
-        few = arrow_matrix(v.limit(SEED_ROWS).toArrow().combine_chunks(), "v_vec")
-        if few is not None and len(few) >= keep:
-            floor = best_pairs(queries, few, keep)[2].reshape(len(queries), keep)[:, -1]
+        floor = _seed_floor(q, v, v_count, keep, asked.column("query_id"))
     ids = asked.column("query_id").combine_chunks()
     shared = q.sparkSession.sparkContext.broadcast((ids, queries, floor))
     schema = T.StructType(
@@ -302,6 +390,31 @@ def _scanned(q: DataFrame, v: DataFrame, v_count: int, keep: int) -> DataFrame:
     return v.mapInArrow(scan_scorer(shared, keep), schema)
 
 
+def _seed_floor(q: DataFrame, v: DataFrame, v_count: int, keep: int, ids: pa.ChunkedArray) -> np.ndarray | None:
+    """Each query's ``keep``-th best score among about SEED_ROWS vectors chosen by hash; the products run in tasks."""
+    share = ceil(2**30 * SEED_ROWS / v_count)
+    few = arrow_matrix(v.where(F.pmod(F.xxhash64("claim_id"), F.lit(2**30)) < share).limit(2 * SEED_ROWS).toArrow().combine_chunks(), "v_vec")
+    if few is None or len(few) < keep:
+        return None
+    shared = q.sparkSession.sparkContext.broadcast(few)
+
+    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, SCORES_AT_ONCE // len(shared.value))
+        for batch in batches:
+            queries = list_matrix(batch.column(1))
+            for start in range(0, batch.num_rows, step):
+                part = queries[start : start + step]
+                kth = best_pairs(part, shared.value, keep)[2].reshape(len(part), keep)[:, -1]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array(kth)], names=["query_id", "floor"])
+
+    schema = T.StructType([q.schema["query_id"], T.StructField("floor", T.DoubleType())])
+    cores = q.sparkSession.sparkContext.defaultParallelism
+    # One number per query, SCAN_QUERIES at most.
+    found = q.repartition(cores).mapInArrow(floors, schema).toArrow()
+    by_id = dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
+    return np.array([by_id[i] for i in ids.to_pylist()])
+
+
 def _pivots(v: DataFrame, count: int) -> np.ndarray:
     """``count`` vectors in hash order of their ids: at most MAX_CELLS rows reach the driver."""
     rows = v.select("claim_id", "v_vec").orderBy(F.xxhash64("claim_id"), "claim_id").limit(count).select("v_vec").collect()
@@ -406,20 +519,32 @@ def topk_filtered(queries: DataFrame, vectors: DataFrame, condition: Column, k:
 # --- approximate search -----------------------------------------------------------------
 
 
-def _signatures(dimensions: int, bands: int, bits: int, seed: int):
-    """Column function: one bucket per band, the signs of a vector against random planes."""
-    planes = np.random.default_rng(seed).standard_normal((dimensions, bands * bits))
+def plane_signs(dimensions: int, bands: int, bits: int, seed: int) -> np.ndarray:
+    """Random planes of +1 and -1, one column per (band, bit): the parity of an md5 of seed, band, bit and dimension."""
+    names = [[f"{seed}:{band}:{bit}:{d}" for band in range(bands) for bit in range(bits)] for d in range(dimensions)]
+    return np.array([[1.0 if int(hashlib.md5(n.encode()).hexdigest()[0], 16) % 2 == 0 else -1.0 for n in row] for row in names])
 
-    @F.pandas_udf("array<int>")
-    def sign(vectors: pd.Series) -> pd.Series:
+
+def _buckets(planes: np.ndarray, bands: int, bits: int, probes: int):
+    """Column function: a vector's bucket per band, and with ``probes`` also those that differ from it in one bit, the least
+    certain bits first. A bucket's number is band * 2^bits + the signs of the projections."""
+
+    @F.pandas_udf("array<long>")
+    def buckets(vectors: pd.Series) -> pd.Series:
         if not len(vectors):
             return pd.Series([], dtype=object)
-        above = (np.stack(vectors.to_numpy()).astype("float64") @ planes) > 0
-        weights = 1 << np.arange(bits)
-        buckets = above.reshape(len(vectors), bands, bits) @ weights + np.arange(bands) * (1 << bits)
-        return pd.Series(list(buckets.astype("int32")), index=vectors.index, dtype=object)
+        x = np.round(np.stack(vectors.to_numpy()).astype("float64") @ planes, SCORE_PLACES).reshape(len(vectors), bands, bits)
+        own = (x > 0) @ (1 << np.arange(bits)) + np.arange(bands) * (1 << bits)
+        flips = np.argsort(np.abs(x), axis=2, kind="stable")[:, :, :probes]
+        every = np.concatenate([own[:, :, None], own[:, :, None] ^ (1 << flips)], axis=2)
+        return pd.Series(list(every.reshape(len(vectors), -1)), index=vectors.index, dtype=object)
+
+    return buckets.asNondeterministic()  # keeps the planner from running it twice
 
-    return sign.asNondeterministic()  # keeps the planner from running it twice
+
+def bucket_bits(rows: int, rows_per_bucket: int) -> int:
+    """Bits at which a band's buckets hold ``rows_per_bucket`` of ``rows`` vectors on average."""
+    return max(1, round(log2(max(1, rows) / rows_per_bucket)))
 
 
 def topk_lsh(
@@ -432,31 +557,37 @@ def topk_lsh(
     vector_id: str = "claim_id",
     vector: str = "embedding",
     exclude_self: bool = True,
-    bands: int = 8,
-    bits: int = 4,
+    bands: int = 4,
+    probes: int = 2,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
     seed: int = 7,
 ) -> DataFrame:
-    """Approximate search: only vectors that share a sign bucket with the query in some band.
+    """Approximate search by multi-probe sign hashing; exact inside the buckets that are visited.
 
-    Within a bucket the search is exact. More bits make buckets smaller, more bands raise
-    recall. There are bands x 2^bits buckets; crowded ones become many blocks."""
+    A vector lies in one bucket per band; there are as many buckets as the table has multiples of ``rows_per_bucket``
+    rows. A query visits its own bucket and the ``probes`` nearest others of each band. More bands or probes raise
+    recall. A crowded bucket is parted as the grid of ``topk`` is, from counts that stay in the cluster."""
     q, v = _sides(queries, vectors, query_id, query_vector, vector_id, vector)
-    if bands << bits > BROADCAST_ROWS:
-        raise ValueError("too many buckets: lower bits or bands")
     keep = k + 1 if exclude_self else k
-    sign = _signatures(vector_length(v, "v_vec"), bands, bits, seed)
-    v = without_spare_copies(v, "claim_id", "v_vec", keep).withColumn("cell", F.explode(sign("v_vec")))
-    q = q.withColumn("cell", F.explode(sign("q_vec")))
-    buckets = bands << bits
-    v_counts, q_counts = cell_counts_of(v, buckets), cell_counts_of(q, buckets)
-    v_blocks = packed(salted(v, v_counts, "claim_id", BLOCK_ROWS, "v_salt"), ["cell", "v_salt"], "claim_id", "v_vec", "v")
-    q_blocks = packed(salted(q, q_counts, "query_id", BLOCK_ROWS, "q_salt"), ["cell", "q_salt"], "query_id", "q_vec", "q")
-    salts = v_counts.select("cell", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("salts"))
-    targets = q_blocks.join(F.broadcast(salts), "cell").withColumn(
-        "v_salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
-    )
-    pairs = targets.join(v_blocks, ["cell", "v_salt"])
-    return best_hits(pairs, k, keep, exclude_self, fold=True)
+    dimensions, bits = vector_length(v, "v_vec"), bucket_bits(vectors.count(), rows_per_bucket)
+    planes = plane_signs(dimensions, bands, bits, seed)
+    v = without_spare_copies(v, "claim_id", "v_vec", keep).withColumn("bucket", F.explode(_buckets(planes, bands, bits, 0)("v_vec")))
+    q = q.withColumn("bucket", F.explode(_buckets(planes, bands, bits, min(probes, bits))("q_vec")))
+    part_rows = max(1, GRID_BYTES // (8 * max(1, dimensions)))
+    sized = (
+        v.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / GRID_VECTORS).alias("v_parts"))
+        .join(q.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("q_parts")), "bucket")
+    )
+    parts = small_side(sized)
+
+    def placed(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        """A row's own part of its bucket, once for each part of the other side; cells are numbered by bucket, then parts."""
+        dealt = df.join(parts, "bucket").withColumn(f"{own}_at", F.pmod(F.xxhash64(key), F.col(f"{own}_parts")))
+        dealt = dealt.withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_parts") - 1)))
+        return dealt.withColumn("cell", F.shiftleft("bucket", 32) + F.col("v_at") * (1 << 16) + F.col("q_at"))
+
+    found = _of_cells(placed(q, "query_id", "q", "v"), placed(v, "claim_id", "v", "q"), keep, None)
+    return ranked_hits(found, k, exclude_self, fold=True)
 
 
 # --- index upkeep -----------------------------------------------------------------------

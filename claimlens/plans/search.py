@@ -83,9 +83,33 @@ def vector_topk_filtered(spark, sf):
     return shown(search.topk_filtered(vector_queries(spark, sf), vectors(spark, sf), F.col("label") < 5, 3))
 
 
-@query("vector_topk_lsh")
+@query("vector_topk_grid", f"WITH {hits_sql(k=5)} SELECT query_id, claim_id, score, rank FROM hits")
+def vector_topk_grid(spark, sf):
+    """The plan for query sets beyond the scan bound: a grid of query parts and vector parts."""
+    return shown(search.topk(vector_queries(spark, sf), vectors(spark, sf), 5, scan_queries=0))
+
+
+# Small buckets, so that small tables have many; the other values are the defaults.
+LSH = {"bands": 4, "probes": 2, "rows_per_bucket": 32, "seed": 7}
+LSH_SQL = f"""WITH size AS (SELECT greatest(1, round(log2(count(*) / {LSH['rows_per_bucket']}::DOUBLE)))::INT AS bits FROM embeddings),
+plane AS (
+  SELECT band, bit, [CASE WHEN ('0x' || substr(md5(concat('{LSH['seed']}:', band, ':', bit, ':', d)), 1, 1))::BIGINT % 2 = 0
+                     THEN 1::DOUBLE ELSE -1::DOUBLE END FOR d IN range(64)] AS signs
+  FROM (SELECT unnest(range({LSH['bands']})) AS band) CROSS JOIN (SELECT unnest(range(bits)) AS bit FROM size)),
+side AS (SELECT vec_id, band, bit, round(list_inner_product(embedding::DOUBLE[], signs), 9) AS p FROM embeddings CROSS JOIN plane),
+own AS (SELECT vec_id, band, sum(CASE WHEN p > 0 THEN 1 << bit ELSE 0 END)::BIGINT AS code FROM side GROUP BY ALL),
+flip AS (SELECT vec_id, band, bit FROM side QUALIFY row_number() OVER (PARTITION BY vec_id, band ORDER BY abs(p), bit) <= {LSH['probes']}),
+probe AS (SELECT * FROM own UNION ALL SELECT vec_id, band, xor(code, 1 << bit) FROM own JOIN flip USING (vec_id, band)),
+met AS (SELECT DISTINCT q.vec_id AS query_id, v.vec_id AS claim_id FROM probe q JOIN own v USING (band, code) WHERE q.vec_id <> v.vec_id),
+hits AS (
+  SELECT query_id, claim_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score
+  FROM met JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = claim_id)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) AS rank FROM hits QUALIFY rank <= 10"""
+
+
+@query("vector_topk_lsh", LSH_SQL)
 def vector_topk_lsh(spark, sf):
-    return shown(search.topk_lsh(vector_queries(spark, sf), vectors(spark, sf), 10))
+    return shown(search.topk_lsh(vector_queries(spark, sf), vectors(spark, sf), 10, **LSH))
 
 
 def token_sets(spark, sf):

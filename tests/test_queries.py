@@ -39,4 +39,4 @@ def test_entry(spark):
 def test_every_query_with_a_fixed_result_has_sql():
     assert set(QUERIES) <= set(spark_entry.queries()) and set(ORACLES) <= set(spark_entry.oracle_sql())
     without = set(QUERIES) - set(ORACLES)
-    assert without == {"vector_topk_lsh", "ml_embedding_classifier", "ml_text_classifier"}
+    assert not without

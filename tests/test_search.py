@@ -34,7 +34,7 @@ def clustered(rng, centres, per, width=8, noise=0.05):
     return points / np.linalg.norm(points, axis=1, keepdims=True)
 
 
-PLANS = [(10_000, 65_536), (0, 65_536), (0, 20)]  # scan, all block pairs, reachable block pairs
+PLANS = [(10_000, 65_536), (0, 65_536), (0, 20)]  # scan, grid, reachable block pairs
 
 
 @pytest.fixture(autouse=True)
@@ -151,14 +151,61 @@ def test_filter_comes_before_search(spark):
     assert hits.count() == 40 * 3
 
 
-def test_lsh_recall(spark):
-    data = clustered(np.random.default_rng(7), 20, 20, width=16)
+@pytest.mark.parametrize("query_bytes,vector_rows", [(64 * 8 * 16, 40), (10**9, 25), (400, 10**6)])
+def test_grid_of_many_parts(spark, monkeypatch, query_bytes, vector_rows):
+    monkeypatch.setattr(search, "GRID_BYTES", query_bytes)
+    monkeypatch.setattr(search, "GRID_VECTORS", vector_rows)
+    data = clustered(np.random.default_rng(11), 8, 20)
+    data[::3] = data[0]
+    df = vectors_of(spark, data)
+    shape = search.grid_shape(160, 160, 8, 4)
+    assert shape[0] * shape[1] >= 4 and shape[0] >= 160 * 64 // query_bytes
+    assert triples(search.topk(as_queries(df), df, 4, scan_queries=0)) == brute(data, data, 4, True)
+
+
+def test_grid_copies_are_bounded():
+    for rows in (10**5, 10**7, 10**9):
+        q_parts, v_parts = search.grid_shape(rows // 10, rows, 64, 1000)
+        assert q_parts <= rows // 10 * 512 // search.GRID_BYTES + 1 and v_parts <= max(1000, rows // search.GRID_VECTORS + 1)
+
+
+def test_grid_with_no_rows_on_a_side(spark):
+    df = vectors_of(spark, np.eye(3))
+    assert search.topk(as_queries(df.filter("claim_id < 0")), df, 2, scan_queries=0).count() == 0
+    assert search.topk(as_queries(df), df.filter("claim_id < 0"), 2, scan_queries=0).count() == 0
+
+
+def test_unequal_vectors_are_an_error(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, [1.0]), (2, [1.0, 2.0])], "claim_id long, embedding array<double>").coalesce(1)
+    with pytest.raises(Exception, match="unequal length"):
+        search.topk(as_queries(df), df, 2).collect()
+
+
+def test_lsh_recall_and_share_of_pairs(spark):
+    data = clustered(np.random.default_rng(7), 40, 25, width=16)
     df = vectors_of(spark, data)
-    exact = triples(search.topk(as_queries(df), df, 5))
-    near = triples(search.topk_lsh(as_queries(df), df, 5, bands=6, bits=4))
     pairs = lambda found: {(q, c) for q, c, _ in found}
-    assert len(pairs(exact) & pairs(near)) / len(exact) > 0.9
+    exact = triples(search.topk(as_queries(df), df, 5))
+    near = triples(search.topk_lsh(as_queries(df), df, 5, rows_per_bucket=16))
+    assert len(pairs(exact) & pairs(near)) / len(exact) >= 0.9
     assert len(near) == len(pairs(near))
+    bits = search.bucket_bits(1000, 16)
+    planes = search.plane_signs(16, 4, bits, 7)
+    own = (np.round(data @ planes, 9).reshape(1000, 4, bits) > 0) @ (1 << np.arange(bits))
+    met = sum((np.bincount(own[:, band]) ** 2).sum() for band in range(4))
+    assert met < 0.2 * 1000**2
+
+
+def test_lsh_parts_of_a_crowded_bucket(spark, monkeypatch):
+    monkeypatch.setattr(search, "GRID_BYTES", 8 * 8 * 30)
+    monkeypatch.setattr(search, "GRID_VECTORS", 25)
+    data = clustered(np.random.default_rng(12), 1, 200, noise=0.3)
+    df = vectors_of(spark, data)
+    found = triples(search.topk_lsh(as_queries(df), df, 3, bands=2, probes=1, rows_per_bucket=100))
+    planes = search.plane_signs(8, 2, 1, 7)
+    own = np.round(data.astype("float32").astype(float) @ planes, 9) > 0
+    assert len(found) == 600 and own.shape == (200, 2)
+    assert found == brute(data, data, 3, True)  # with one bit, one probe visits every bucket
 
 
 def test_rerank_is_a_permutation_and_keeps_order_of_ties(spark):
