@@ -22,10 +22,14 @@ from claimlens.session import scratch_path, small_side
 LENGTH = 1024
 END_ID = 0
 # What a task looks at at once, and how many chunks of text it remembers the ids of.
-SLICE_BYTES = 8 << 20
-REMEMBERED = 2_000_000
-REMEMBERED_IDS = 16_000_000
+SLICE_BYTES = 4 << 20
+REMEMBERED = 1_000_000
+REMEMBERED_IDS = 8_000_000
 JOINED = 2_000
+# Signs on which the two tokenizer libraries cannot disagree about letters, digits and white space.
+PLAIN = bytes([9, 10, *range(32, 127)])
+# Fixed value: how a byte-level vocabulary of this kind parts a text.
+PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def _byte_letters() -> dict[str, int]:
@@ -35,17 +39,27 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(others)}
 
 
-def id_sizes(vocabulary: str) -> np.ndarray:
-    """Bytes of text behind each id of a byte-level vocabulary (the tokenizer file's JSON)."""
-    letters, parsed = _byte_letters(), json.loads(vocabulary)
-    added = {x["id"]: len(x["content"].encode()) for x in parsed.get("added_tokens", [])}
-    plain = parsed["model"]["vocab"]
-    sizes = np.zeros(max([*plain.values(), *added]) + 1, np.int64)
-    for piece, number in plain.items():
-        sizes[number] = len(piece) if all(c in letters for c in piece) else len(piece.encode())
-    for number, size in added.items():
-        sizes[number] = size
-    return sizes
+def id_bytes(vocabulary: dict) -> dict[int, bytes]:
+    """Bytes of text behind each id of a byte-level tokenizer file."""
+    letters = _byte_letters()
+    pieces = {n: bytes(map(letters.get, p)) if set(p) <= letters.keys() else p.encode() for p, n in vocabulary["model"]["vocab"].items()}
+    return pieces | {x["id"]: x["content"].encode() for x in vocabulary.get("added_tokens", [])}
+
+
+def ranked(vocabulary: dict) -> dict[bytes, int] | None:
+    """(bytes, id) of all pieces if merging by lowest id is merging in the file's order, else None.
+
+    That is so if the n-th merge makes the n-th id after the single bytes and nothing but byte-level rules is asked for."""
+    model, vocab = vocabulary["model"], vocabulary["model"]["vocab"]
+    plain = vocabulary.get("normalizer") is None and vocabulary["pre_tokenizer"] == {
+        "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True,
+    }
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    first = len(vocab) - len(merges) - len([x for x in vocabulary.get("added_tokens", []) if x["content"] in vocab])
+    if not plain or model["type"] != "BPE" or first != 256 or any(vocab.get(a + b) != first + n for n, (a, b) in enumerate(merges)):
+        return None
+    added = {x["id"] for x in vocabulary.get("added_tokens", [])}
+    return {piece: n for n, piece in id_bytes(vocabulary).items() if n not in added}
 
 
 class Encoder:
@@ -54,13 +68,20 @@ class Encoder:
     A space before a printable ASCII sign always begins a new pre-token of a byte-level BPE, and no merge
     crosses pre-tokens, so texts fall apart there into chunks whose ids do not depend on what is around them.
     Each distinct chunk is given to the tokenizer once. Chunks that begin so are joined for that and parted
-    again by the byte lengths of their ids; where that does not come out even, chunks are encoded one by one."""
+    again by the byte lengths of their ids; where that does not come out even, chunks are encoded one by one.
+    Chunks of plain ASCII go to the faster of two libraries that merge alike, where the file's merges are in order of ids."""
 
     def __init__(self, vocabulary: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.sizes = id_sizes(vocabulary)
+        parsed = json.loads(vocabulary)
+        pieces, ranks = id_bytes(parsed), ranked(parsed)
+        self.fast = tiktoken.Encoding("plain", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        self.special = [x["content"].encode() for x in parsed.get("added_tokens", [])]
+        self.sizes = np.zeros(max(pieces) + 1, np.int64)
+        self.sizes[list(pieces)] = [len(p) for p in pieces.values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -72,9 +93,13 @@ class Encoder:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
 
-    def _joined(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        whole = b"".join(chunks).decode("utf-8", "replace")
-        ids = np.array(self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0].ids, np.uint32)
+    def _joined(self, chunks: list[bytes], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        joined = b"".join(chunks)
+        whole = joined.decode("utf-8", "replace")
+        if plain and not any(s in joined for s in self.special):
+            ids = self.fast.encode_to_numpy(whole, disallowed_special=())
+        else:
+            ids = np.array(self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0].ids, np.uint32)
         ends, wanted = np.cumsum(self.sizes[ids]), np.cumsum([len(c) for c in chunks])
         cuts = np.searchsorted(ends, wanted)
         if cuts[-1] != len(ids) - 1 or not np.array_equal(ends[cuts], wanted):
@@ -85,14 +110,18 @@ class Encoder:
         """Where the ids of distinct chunks are stored; those not seen before are encoded."""
         if len(self.slots) > REMEMBERED or len(self.store) > REMEMBERED_IDS:
             self._forget()
-        apart, together = [], []
+        apart, together, plain = [], [], []
         for c in chunks:
             if c not in self.slots:
-                (together if len(c) > 1 and c[0] == 32 and 33 <= c[1] <= 126 else apart).append(c)
+                if not (len(c) > 1 and c[0] == 32 and 33 <= c[1] <= 126):
+                    apart.append(c)
+                else:
+                    (together if self.fast is None or c.translate(None, PLAIN) else plain).append(c)
         parts = [(apart, *self._one_by_one(apart))] if apart else []
-        for start in range(0, len(together), JOINED):
-            part = together[start : start + JOINED]
-            parts.append((part, *self._joined(part)))
+        for kind in (together, plain):
+            for start in range(0, len(kind), JOINED):
+                part = kind[start : start + JOINED]
+                parts.append((part, *self._joined(part, kind is plain)))
         if parts:
             first = len(self.slots)
             self.slots.update((c, first + n) for n, c in enumerate(c for part, _, _ in parts for c in part))
