@@ -315,7 +315,7 @@ def build_index(rows: DataFrame, fanout: int = FANOUT, leaf_rows: int = LEAF_ROW
     """Index all (id long, label, vector array<long>) rows.
 
     The tree is fit on about ``sample_rows`` rows chosen by id hash (twice as many at most); every row then goes to its leaf. A leaf with many rows
-    (many copies of a vector) is dealt over several groups by id hash, so a group holds about ``group_rows`` rows."""
+    (many copies of a vector) is dealt over several groups by id hash, so a group holds ``group_rows`` rows or little more, fewer in a small table."""
     spark = rows.sparkSession
     rows = written(rows.select("id", "label", "vector"), "vectors")
     total = rows.count()
@@ -332,6 +332,8 @@ def build_index(rows: DataFrame, fanout: int = FANOUT, leaf_rows: int = LEAF_ROW
             yield batch.assign(leaf=tree.leaf_of(x))
 
     dealt = written(rows.mapInPandas(to_leaf, "id long, label long, vector array<long>, leaf int"), "leaves")
+    # No core is idle while there are leaves to visit.
+    group_rows = min(group_rows, max(leaf_rows, ceil(total / spark.sparkContext.defaultParallelism)))
     # One row per leaf, MAX_LEAVES at most.
     counts = {r["leaf"]: r["n"] for r in dealt.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
     groups, group, held = {}, 0, 0
