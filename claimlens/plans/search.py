@@ -365,21 +365,6 @@ def predict_mode_accuracy(spark, sf):
     return long.groupBy("mode").agg(F.count(F.lit(1)).alias("cnt"), accuracy)
 
 
-@query(
-    "predict_with_fallback",
-    f"""WITH {PREDICTED}, n AS (SELECT doc_id, len({tokens_sql('text')}) AS n FROM documents)
-        SELECT p.query_id AS claim_id, CASE WHEN n.n <= 512 THEN p.predicted_label::VARCHAR ELSE 'Too Long Input' END AS predicted_label
-        FROM predicted p LEFT JOIN n ON p.query_id = n.doc_id""",
-)
-def predict_with_fallback(spark, sf):
-    sizes = narrative(spark, sf).select(F.col("doc_id").alias("query_id"), F.size(tokens(F.col("text"))).alias("n"))
-    found = neighbour_predictions(spark, sf).withColumn("predicted_label", F.col("predicted_label").cast("string"))
-    return found.join(sizes, "query_id", "left").select(
-        F.col("query_id").alias("claim_id"),
-        predict.with_fallback("predicted_label", F.col("n") <= 512).alias("predicted_label"),
-    )
-
-
 # --- classifiers ------------------------------------------------------------------------
 
 
@@ -389,20 +374,140 @@ def split_vectors(spark, sf):
     return parted.filter(F.col("is_test") == 0), parted.filter(F.col("is_test") == 1)
 
 
-@query("ml_embedding_classifier")
+SPLIT_SQL = """r AS (
+  SELECT vec_id, label::VARCHAR AS label, embedding::DOUBLE[] AS e,
+         row_number() OVER (PARTITION BY label ORDER BY md5(vec_id::VARCHAR), vec_id) <= ceil(0.2::DOUBLE * count(*) OVER (PARTITION BY label)) AS is_test
+  FROM embeddings)"""
+
+# The covariance system is solved by Gauss-Jordan steps over a matrix that holds the class means as further columns.
+DISCRIMINANT_SQL = f"""WITH RECURSIVE {SPLIT_SQL},
+x AS (SELECT vec_id, label, unnest(e) AS x, generate_subscripts(e, 1) AS d FROM r WHERE NOT is_test),
+mu AS (SELECT label, d, avg(x) AS m FROM x GROUP BY ALL),
+cls AS (SELECT label, count(*) AS c, row_number() OVER (ORDER BY label) AS n FROM r WHERE NOT is_test GROUP BY label),
+z AS (SELECT vec_id, d, x - m AS z FROM x JOIN mu USING (label, d)),
+cov AS (SELECT a.d AS i, b.d AS j, sum(a.z * b.z) / (SELECT sum(c) FROM cls) AS s FROM z a JOIN z b USING (vec_id) GROUP BY ALL),
+wide AS (
+  SELECT i, j, s + CASE WHEN i = j THEN 0.01::DOUBLE * (SELECT sum(s) / {DIMS} FROM cov WHERE i = j) + 1e-12 ELSE 0 END AS v FROM cov
+  UNION ALL SELECT d, {DIMS} + n, m FROM mu JOIN cls USING (label)),
+steps AS (
+  SELECT 1 AS k, (SELECT list(line ORDER BY i) FROM (SELECT i, list(v ORDER BY j) AS line FROM wide GROUP BY i)) AS a
+  UNION ALL
+  SELECT k + 1, [CASE WHEN i = k THEN [y / a[k][k] FOR y IN a[k]]
+                 ELSE [a[i][j] - a[i][k] * a[k][j] / a[k][k] FOR j IN range(1, len(a[1]) + 1)] END FOR i IN range(1, {DIMS + 1})]
+  FROM steps WHERE k <= {DIMS}),
+w AS (
+  SELECT label, n, [a[i][{DIMS} + n] FOR i IN range(1, {DIMS + 1})] AS w, ln(c / sum(c) OVER ()) AS prior
+  FROM cls CROSS JOIN (SELECT a FROM steps WHERE k = {DIMS + 1})),
+model AS (SELECT label, w, prior - list_inner_product(w, mean) / 2 AS bias FROM w JOIN (SELECT label, list(m ORDER BY d) AS mean FROM mu GROUP BY label) USING (label)),
+scored AS (SELECT vec_id, r.label AS actual_label, model.label AS predicted_label, list_inner_product(e, w) + bias AS s FROM r, model WHERE is_test),
+found AS (
+  SELECT vec_id, actual_label, predicted_label, round(s, 6) AS score,
+         round(1 / sum(exp(s - top)) OVER (PARTITION BY vec_id), 6) AS probability,
+         row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 9) DESC, predicted_label) AS place
+  FROM (SELECT *, max(s) OVER (PARTITION BY vec_id) AS top FROM scored))
+SELECT vec_id, actual_label, predicted_label, score, probability FROM found WHERE place = 1"""
+
+
+@query("ml_embedding_classifier", DISCRIMINANT_SQL)
 def ml_embedding_classifier(spark, sf):
     train, test = split_vectors(spark, sf)
     model = classify.fit_embedding_classifier(train, "embedding", "label")
     found = classify.predict_embeddings(model, test, "embedding", "vec_id", "label")
-    return found.select("vec_id", F.col("label").alias("actual_label"), "predicted_label", F.round("probability", 6).alias("probability"))
+    numbers = [F.round(c, 6).alias(c) for c in ("score", "probability")]
+    return found.select("vec_id", F.col("label").alias("actual_label"), "predicted_label", *numbers)
+
+
+LABELLED_SPLIT = f"""{CLAIMS},
+parted AS (
+  SELECT claim_id, label, label IS NULL OR row_number() OVER (PARTITION BY label ORDER BY md5(claim_id::VARCHAR), claim_id)
+                                           <= ceil(0.2::DOUBLE * count(*) OVER (PARTITION BY label)) AS apart,
+         narrative FROM claims)"""
+
+TEXT_MODEL_SQL = f"""{LABELLED_SPLIT},
+toks AS (SELECT claim_id, unnest({tokens_sql('lower(narrative)')}) AS t FROM parted),
+counts AS (SELECT claim_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % {classify.TERM_BUCKETS} AS bucket, count(*) AS n FROM toks GROUP BY ALL),
+known AS (SELECT claim_id, label FROM parted WHERE NOT apart),
+per_term AS (SELECT label, bucket, sum(n) AS n FROM counts JOIN known USING (claim_id) GROUP BY ALL),
+classes AS (
+  SELECT label, ln(c / sum(c) OVER ()) AS prior, ln(1 / (coalesce(t, 0) + {classify.TERM_BUCKETS}::DOUBLE)) AS base
+  FROM (SELECT label, count(*) AS c FROM known GROUP BY label) LEFT JOIN (SELECT label, sum(n) AS t FROM per_term GROUP BY label) USING (label)),
+sums AS (SELECT c.claim_id, m.label, sum(c.n * ln(m.n + 1)) AS s FROM counts c JOIN per_term m USING (bucket) GROUP BY ALL),
+size AS (SELECT claim_id, coalesce(sum(n), 0) AS n FROM parted LEFT JOIN counts USING (claim_id) WHERE apart GROUP BY claim_id),
+scored AS (SELECT z.claim_id, c.label, prior + z.n * base + coalesce(s, 0) AS s FROM size z CROSS JOIN classes c LEFT JOIN sums u ON u.claim_id = z.claim_id AND u.label = c.label),
+predicted AS (
+  SELECT claim_id, label AS predicted_label, 1 / sum(exp(s - top)) OVER (PARTITION BY claim_id) AS probability,
+         row_number() OVER (PARTITION BY claim_id ORDER BY round(s, 9) DESC, label) AS place
+  FROM (SELECT *, max(s) OVER (PARTITION BY claim_id) AS top FROM scored))"""
+
+
+def text_predictions(spark, sf):
+    """(claim_id, label, terms, predicted_label, probability) of every claim that the model was not trained on: a fifth of the
+    labelled ones and all others. Each text is read once."""
+    rows = spread_claims(spark, sf).select("claim_id", "label", "narrative")
+    facts = written(claims(spark, sf).select("claim_id", "label"), "labels")
+    apart = sampling.split_stratified(facts.where("label is not null"), "label", "claim_id", 0.2)
+    training = written(apart.where("is_test = 0").select("claim_id", "label"), "training")
+    counts = written(classify.term_counts(rows, "claim_id", "narrative"), "terms")
+    model = classify.fit_text_model(counts, training, "claim_id", "label")
+    waiting = counts.join(training, "claim_id", "left_anti")
+    sizes = waiting.groupBy("claim_id").agg(F.sum(F.when(F.col("bucket").isNotNull(), F.col("n")).otherwise(0)).alias("terms"))
+    found = classify.predict_texts(model, waiting, "claim_id")
+    return found.join(sizes, "claim_id").join(facts, "claim_id")
 
 
-@query("ml_text_classifier")
+@query(
+    "ml_text_classifier",
+    f"WITH {TEXT_MODEL_SQL} SELECT claim_id, predicted_label, round(probability, 6) AS probability FROM predicted WHERE place = 1",
+)
 def ml_text_classifier(spark, sf):
-    rows = spread_claims(spark, sf).select("claim_id", "narrative", "label")
-    model = classify.fit_text_classifier(rows, "narrative", "label")
-    found = classify.predict_texts(model, rows.filter(F.col("label").isNull()), "claim_id")
-    return found.select("claim_id", "predicted_label", F.round("probability", 6).alias("probability"))
+    return text_predictions(spark, sf).select("claim_id", "predicted_label", F.round("probability", 6).alias("probability"))
+
+
+@query(
+    "ml_text_accuracy",
+    f"""WITH {TEXT_MODEL_SQL}
+        SELECT p.label, count(*) AS cnt, round(avg((predicted_label = p.label)::INT) * 100, 6) AS accuracy
+        FROM predicted JOIN parted p USING (claim_id) WHERE place = 1 AND p.label IS NOT NULL GROUP BY p.label""",
+)
+def ml_text_accuracy(spark, sf):
+    """How often the text classifier is right about labelled claims that it was not trained on, by their label."""
+    held_out = text_predictions(spark, sf).where("label is not null")
+    accuracy = F.round(aggregates.accuracy_percent("label", "predicted_label"), 6).alias("accuracy")
+    return held_out.groupBy("label").agg(F.count(F.lit(1)).alias("cnt"), accuracy)
+
+
+TERM_LIMIT = 512
+FALLBACK_SQL = f"""{TEXT_MODEL_SQL},
+answered AS (
+  SELECT claim_id, CASE WHEN z.n <= {TERM_LIMIT} THEN coalesce(predicted_label, 'Too Long Input') ELSE 'Too Long Input' END AS predicted_label
+  FROM size z LEFT JOIN (SELECT * FROM predicted WHERE place = 1) USING (claim_id))"""
+
+
+def answered(spark, sf):
+    accepted = F.col("terms") <= TERM_LIMIT
+    return text_predictions(spark, sf).withColumn("predicted_label", predict.with_fallback("predicted_label", accepted))
+
+
+@query("predict_with_fallback", f"WITH {FALLBACK_SQL} SELECT claim_id, predicted_label FROM answered")
+def predict_with_fallback(spark, sf):
+    """The text classifier on every claim outside its training ids; inputs beyond 512 terms get the fallback label."""
+    return answered(spark, sf).select("claim_id", "predicted_label")
+
+
+@query(
+    "predict_fallback_accuracy",
+    f"""WITH {FALLBACK_SQL}
+        SELECT count(*) AS cnt, count_if(predicted_label = 'Too Long Input') AS too_long, round(avg((predicted_label = label)::INT) * 100, 6) AS accuracy
+        FROM answered JOIN parted USING (claim_id) WHERE label IS NOT NULL""",
+)
+def predict_fallback_accuracy(spark, sf):
+    """Accuracy over all labelled claims outside the training ids; a fallback is a miss."""
+    rows = answered(spark, sf).where("label is not null")
+    return rows.agg(
+        F.count(F.lit(1)).alias("cnt"),
+        F.count_if(F.col("predicted_label") == predict.TOO_LONG).alias("too_long"),
+        F.round(aggregates.accuracy_percent("label", "predicted_label"), 6).alias("accuracy"),
+    )
 
 
 @query(

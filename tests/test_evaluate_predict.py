@@ -4,6 +4,7 @@ import statistics
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,43 @@ def test_correlation_matrix(spark, width):
             assert r == pytest.approx(statistics.correlation(*map(list, zip(*both))))
 
 
+def test_correlation_of_many_columns_is_one_scan(spark):
+    rng = np.random.default_rng(4)
+    data = rng.standard_normal((300, 100)) + 1e6 * np.arange(100)
+    data[:, 7] = 0.1
+    gaps = rng.random((300, 100)) < 0.2
+    gaps[:, 11] = True
+    rows = [[None if g else float(v) for v, g in zip(*r)] for r in zip(data, gaps)]
+    names = [f"v{i}" for i in range(100)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(5)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    found = {(r["i"], r["j"]): r["r"] for r in aggregates.correlation_matrix(df.mapInArrow(counted, df.schema), names).collect()}
+    assert len(found) == 10_000 and seen.value == 300
+    for i, j in [(0, 1), (5, 90), (99, 3), (20, 20)]:
+        both = ~(gaps[:, i] | gaps[:, j])
+        assert found[i, j] == pytest.approx(np.corrcoef(data[both, i], data[both, j])[0, 1], abs=1e-9)
+    assert found[7, 3] != found[7, 3] and found[7, 7] != found[7, 7] and found[11, 3] is None and found[3, 11] is None
+
+
+def test_correlation_of_a_column_that_is_constant_where_both_are_there(spark):
+    rows = [(1.1, 5.0), (1.1, 7.0), (1.1, 6.0), (3.3, None), (2.2, None)] * 7
+    df = spark.createDataFrame(rows, "a double, b double").repartition(3)
+    found = {(r["i"], r["j"]): r["r"] for r in aggregates.correlation_matrix(df, ["a", "b"]).collect()}
+    assert found[0, 0] == 1.0 and found[0, 1] != found[0, 1] and found[1, 1] == 1.0
+
+
+def test_onehot_correlation_follows_the_matrix_where_nothing_varies(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 3.0), ("b", 1.0, None)], "c string, k double, v double")
+    got = {(r["value"], r["feature"]): r["r"] for r in aggregates.onehot_correlation(df, "c", ["k", "v"]).collect()}
+    assert got["a", "k"] != got["a", "k"] and got["a", "v"] != got["a", "v"] and got["b", "v"] is None
+
+
 def test_correlation_pairs(spark):
     df = spark.createDataFrame([(float(i), float(i * i % 7), float(-i)) for i in range(30)], "a double, b double, c double")
     names = ["a", "b", "c"]
@@ -129,9 +167,51 @@ def test_classifiers_learn_what_is_separable(spark):
     df = spark.createDataFrame(rows, "id long, e array<float>, label string, t string")
     by_vector = classify.predict_embeddings(classify.fit_embedding_classifier(df, "e", "label"), df, "e", "id", "label")
     assert by_vector.filter(F.col("label") != F.col("predicted_label")).count() == 0
-    for learner in ("bayes", "logistic"):
-        model = classify.fit_text_classifier(df, "t", "label", features=64, learner=learner)
-        found = classify.predict_texts(model, df.drop("label").join(df.select("id", F.col("label").alias("y")), "id"), "id", "y")
-        assert found.filter(F.col("y") != F.col("predicted_label")).count() == 0
+    counts = classify.term_counts(df, "id", "t", 64)
+    found = classify.predict_texts(classify.fit_text_model(counts, df, "id", "label", 64), counts, "id")
+    assert {(r["id"] % 2, r["predicted_label"]) for r in found.collect()} == {(1, "odd"), (0, "even")}
     by_mean = classify.predict_by_centroid(df, classify.centroids(df, "label", "e"), "label", "id", "e")
     assert {(r["id"] % 2, r["predicted_label"]) for r in by_mean.collect()} == {(1, "odd"), (0, "even")}
+
+
+def test_text_model_equals_naive_bayes_by_hand(spark):
+    from collections import Counter
+    from hashlib import md5
+    from math import exp, log
+
+    texts = {1: "a b b", 2: "b c", 3: "a a a d", 4: "", 5: "zz b", 6: None, 7: "c c"}
+    labels = {1: "x", 2: "y", 3: "x", 4: "z", 5: None}
+    df = spark.createDataFrame([(k, t) for k, t in texts.items()], "id long, t string").repartition(3)
+    known = spark.createDataFrame(list(labels.items()), "id long, label string")
+    counts = classify.term_counts(df, "id", "t", 32)
+    got = {r["id"]: r for r in classify.predict_texts(classify.fit_text_model(counts, known, "id", "label", 32), counts, "id").collect()}
+    terms = {k: Counter(int(md5(w.encode()).hexdigest()[:8], 16) % 32 for w in (t or "").split()) for k, t in texts.items()}
+    of = {"x": terms[1] + terms[3], "y": terms[2], "z": terms[4]}
+    prior = {"x": 2 / 4, "y": 1 / 4, "z": 1 / 4}
+    assert set(got) == set(texts)
+    for k, mine in terms.items():
+        score = {c: log(prior[c]) + sum(n * log((of[c][t] + 1) / (of[c].total() + 32)) for t, n in mine.items()) for c in of}
+        best = min(score, key=lambda c: (-round(score[c], 9), c))
+        assert got[k]["predicted_label"] == best and abs(got[k]["score"] - score[best]) < 1e-9
+        assert abs(got[k]["probability"] - 1 / sum(exp(s - score[best]) for s in score.values())) < 1e-9
+
+
+def test_discriminant_equals_its_formula_and_takes_missing_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((90, 4)) + np.repeat(np.eye(3, 4) * 2, 30, axis=0)
+    y = np.repeat(["a", "b", "c"], 30)
+    rows = [(i, v.tolist(), str(c)) for i, (v, c) in enumerate(zip(x, y))] + [(100, None, "a"), (101, [0.0] * 4, None)]
+    df = spark.createDataFrame(rows, "id long, e array<double>, label string").repartition(4)
+    model = classify.fit_embedding_classifier(df, "e", "label", ridge=0.05)
+    got = {r["id"]: r for r in classify.predict_embeddings(model, df, "e", "id").collect()}
+    means = np.array([x[y == c].mean(0) for c in "abc"])
+    centred = x - means[np.searchsorted(["a", "b", "c"], y)]
+    spread = centred.T @ centred / 90
+    spread += np.eye(4) * (0.05 * np.trace(spread) / 4 + 1e-12)
+    w = np.linalg.solve(spread, means.T)
+    scores = x @ w - 0.5 * (means.T * w).sum(0) + np.log(1 / 3)
+    for i in range(90):
+        assert got[i]["predicted_label"] == "abc"[scores[i].argmax()] and abs(got[i]["score"] - scores[i].max()) < 1e-9
+    assert got[100]["predicted_label"] is None and got[101]["predicted_label"] in "abc"
+    empty = classify.fit_embedding_classifier(df.where("id < 0"), "e", "label")
+    assert {r["predicted_label"] for r in classify.predict_embeddings(empty, df, "e", "id").collect()} == {None}
