@@ -22,9 +22,9 @@ from claimlens.session import scratch_path, small_side
 LENGTH = 1024
 END_ID = 0
 # What a task looks at at once, and how many chunks of text it remembers the ids of.
-SLICE_BYTES = 4 << 20
-REMEMBERED = 1_000_000
-REMEMBERED_IDS = 8_000_000
+SLICE_BYTES = 2 << 20
+REMEMBERED = 300_000
+REMEMBERED_IDS = 4_000_000
 JOINED = 2_000
 # Signs on which the two tokenizer libraries cannot disagree about letters, digits and white space.
 PLAIN = bytes([9, 10, *range(32, 127)])
@@ -185,6 +185,8 @@ def _stored_ids(shared, end_id: int):
                     names=["part", "before", "doc_id", "doc_tokens", "ids"],
                 )
                 before += int(ends[-1])
+            del batch, ids, texts
+            pa.default_memory_pool().release_unused()
 
     return run
 
