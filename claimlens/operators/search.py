@@ -1,4 +1,4 @@
-"""Top-k vector search, index upkeep, re-ranking.
+"""Top-k vector search, ids, re-ranking.
 
 No vector is paired with another as a row. While the queries fit a checked bound they go to
 the tasks, and the index is scanned once where it lies. Beyond that queries and vectors are dealt over a
@@ -16,13 +16,13 @@ from math import ceil, isqrt, log2
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimlens.session import BROADCAST_ROWS, small_side
+from claimlens.functions.text import tokens
+from claimlens.session import BROADCAST_ROWS, small_side, written
 
 # Scores that agree to this many places are ties, whatever the order of summation was.
 SCORE_PLACES = 9
@@ -590,7 +590,7 @@ def topk_lsh(
     return ranked_hits(found, k, exclude_self, fold=True)
 
 
-# --- index upkeep -----------------------------------------------------------------------
+# --- ids ----------------------------------------------------------------------------------
 
 
 def surrogate_id(*keys: str) -> Column:
@@ -601,34 +601,6 @@ def surrogate_id(*keys: str) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")
 
 
-def new_rows(index: DataFrame, source: DataFrame, key: str) -> DataFrame:
-    """Source rows whose id the index lacks; an id repeated in the source enters once.
-
-    Only keys are compared. The source's texts and vectors move only for new ids, and while
-    those are few they are picked out of the source without a shuffle."""
-    keys = source.filter(F.col(key).isNotNull()).select(key).distinct()
-    missing = keys.join(index.select(key), key, "left_anti")
-    return source.join(small_side(missing), key, "left_semi").dropDuplicates([key])
-
-
-def refresh_index(
-    path: str, source: DataFrame, key: str, embed: Callable[[DataFrame], DataFrame] | None = None
-) -> int:
-    """Bring the Parquet index at ``path`` up to date; creates it if absent. Returns rows added.
-
-    Only new ids are embedded, and a second call adds nothing."""
-    spark = source.sparkSession
-    try:
-        index = spark.read.parquet(path)
-        before, fresh = index.count(), new_rows(index, source, key)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        before, fresh = 0, source.filter(F.col(key).isNotNull()).dropDuplicates([key])
-    (embed(fresh) if embed else fresh).write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
-
-
 # --- re-ranking -------------------------------------------------------------------------
 
 
@@ -637,22 +609,65 @@ def token_set(tokens: Column) -> Column:
     return F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))
 
 
-def overlap_score(query_tokens: str, hit_tokens: str) -> Column:
-    """How many distinct tokens query and hit share; 0 where either has no text."""
-    shared = F.size(F.array_intersect(F.col(query_tokens), F.col(hit_tokens)))
-    return F.when(F.col(query_tokens).isNotNull() & F.col(hit_tokens).isNotNull(), shared).otherwise(0)
-
-
-def rerank(hits: DataFrame, score: Column, query: str = "query_id") -> DataFrame:
-    """Re-order each query's hits by ``score``; equal scores keep their earlier order.
-
-    The hit set stays as it is; the old rank becomes ``first_rank``."""
-    scored = hits.withColumnsRenamed({"rank": "first_rank"}).withColumn("rerank_score", score)
-    order = W.partitionBy(query).orderBy(F.desc("rerank_score"), "first_rank")
-    return scored.withColumn("rank", F.row_number().over(order))
-
-
-def with_texts(hits: DataFrame, query_texts: DataFrame, claim_texts: DataFrame) -> DataFrame:
-    """Join per-query and per-claim columns to hits; hits lead, so texts move once per side, and a hit without a text stays."""
-    return hits.join(query_texts, "query_id", "left").join(claim_texts, "claim_id", "left")
-
+def overlap_scores(query: Column, hits: Column) -> Column:
+    """For each hit how many distinct tokens it shares with the query; 0 where either has no text."""
+    return F.transform(hits, lambda h: F.coalesce(F.size(F.array_intersect(query, h)), F.lit(0)).cast("double"))
+
+
+def term_weights(rows: DataFrame, key: str, text: str, out: str = "weights") -> DataFrame:
+    """(key, out): a text's TF-IDF weights, scaled to length 1, as two arrays in order of the term hash.
+
+    Weight = count x (ln((1 + texts) / (1 + texts with the term)) + 1) of lower-cased tokens. Tasks fold a text's terms
+    before the shuffle; document frequencies meet the terms by an equi-join that broadcasts them only if they are few.
+    A text without tokens has no row."""
+    terms = rows.select(key, F.explode(tokens(F.lower(F.col(text)))).alias("_t")).groupBy(key, F.xxhash64("_t").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    terms = written(terms, "terms")
+    spread_of = terms.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    texts = rows.count()
+    weight = F.col("n") * (F.log(F.lit(1.0 + texts) / (1 + F.col("df"))) + 1)
+    weighted = terms.join(small_side(spread_of), "t").select(key, "t", weight.alias("w"))
+    folded = weighted.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    scaled = F.transform("m", lambda m: m["w"] / F.col("length"))
+    return folded.select(key, F.struct(F.transform("m", lambda m: m["t"]).alias("t"), scaled.alias("w")).alias(out))
+
+
+def cosine_scores(query: Column, hits: Column) -> Column:
+    """For each hit the cosine of its ``term_weights`` with the query's, by a merge of sorted terms; 0 where either is missing."""
+
+    @F.pandas_udf("array<double>")
+    def cosine(q_terms: pd.Series, q_weights: pd.Series, h_terms: pd.Series, h_weights: pd.Series) -> pd.Series:
+        out = []
+        for qt, qw, terms, weights in zip(q_terms, q_weights, h_terms, h_weights):
+            scores = np.zeros(len(terms))
+            if qt is not None:
+                for n, (t, w) in enumerate(zip(terms, weights)):
+                    if t is not None:
+                        at = np.minimum(np.searchsorted(qt, t), len(qt) - 1)
+                        scores[n] = (w * qw[at])[qt[at] == t].sum()
+            out.append(np.round(scores, SCORE_PLACES))
+        return pd.Series(out, dtype=object)
+
+    terms, weights = F.transform(hits, lambda h: h["t"]), F.transform(hits, lambda h: h["w"])
+    return cosine.asNondeterministic()(query["t"], query["w"], terms, weights)
+
+
+def rerank(hits: DataFrame, queries: DataFrame, claims: DataFrame, scores: Callable[[Column, Column], Column] = cosine_scores) -> DataFrame:
+    """Re-order each query's hits by ``scores(query feature, array of hit features)``; equal scores keep their earlier order.
+
+    ``queries`` (query_id, feature) and ``claims`` (claim_id, feature) give what is compared, token sets or term weights for
+    instance. A query's hits are folded into one row, so its feature moves once, not once per hit. The hit set
+    stays as it is, hits and queries without a feature included; the old rank becomes ``first_rank``, the score
+    ``rerank_score``. Further columns of ``hits`` are carried along."""
+    others = [c for c in hits.columns if c not in ("query_id", "rank")]
+    featured = hits.join(claims.select("claim_id", F.col("feature").alias("_feature")), "claim_id", "left")
+    one = F.struct(F.col("rank").alias("first_rank"), F.struct(*others).alias("hit"), F.col("_feature").alias("feature"))
+    folded = featured.groupBy("query_id").agg(F.array_sort(F.collect_list(one), lambda a, b: a["first_rank"] - b["first_rank"]).alias("hits"))
+    joined = folded.join(queries.select("query_id", F.col("feature").alias("asked")), "query_id", "left")
+    scored = joined.select("query_id", F.transform("hits", lambda h: F.struct(h["first_rank"].alias("first_rank"), h["hit"].alias("hit"))).alias("hits"), scores(F.col("asked"), F.transform("hits", lambda h: h["feature"])).alias("s"))
+    paired = F.zip_with("hits", "s", lambda h, s: F.struct((-s).alias("low"), h["first_rank"].alias("first_rank"), h["hit"].alias("hit")))
+    ordered = F.transform(
+        F.array_sort(paired, lambda a, b: F.when(a["low"] != b["low"], F.when(a["low"] < b["low"], -1).otherwise(1)).otherwise(a["first_rank"] - b["first_rank"])),
+        lambda h, i: F.struct(h["hit"].alias("hit"), h["first_rank"].alias("first_rank"), (-h["low"]).alias("rerank_score"), (i + 1).alias("rank")),
+    )
+    rows = scored.select("query_id", F.explode(ordered).alias("h"))
+    return rows.select("query_id", "h.hit.*", "h.first_rank", F.col("h.rerank_score"), F.col("h.rank"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from claimlens.session import small_side, written
 
 ROWS_PER_BUCKET = 1_000_000
+# Fixed by monotonically_increasing_id.
+PLACE_BITS = 33
 
 
 def ranked_rows(
@@ -19,9 +21,10 @@ def ranked_rows(
     """``row_number`` within groups of any size, ascending by ``order_by`` (end it with a unique key).
 
     One count decides the plan. While the largest group fits ``rows_per_bucket`` this is a
-    plain window. Otherwise the table is cut into order ranges of about ``rows_per_bucket`` rows,
-    as many as it takes; each range is numbered in its own task and starts from the row count
-    of the group's ranges before it. The ranges are stored, so a lost task cannot cut them anew."""
+    plain window. Otherwise the table is cut into order ranges of about ``rows_per_bucket`` rows, as many as it
+    takes, and sorted within them: that is the only shuffle of rows. A row's place in its range is noted as it is
+    stored, so a lost task cannot cut the ranges anew; its number is that place, less the place of its group's
+    first row there, plus the group's rows in earlier ranges. Those are sums of one row per group and range."""
     groups = list(partition_by)
     sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
     seen = sizes.agg(F.sum("_n").alias("total"), F.max("_n").alias("largest")).first()
@@ -34,16 +37,15 @@ def ranked_rows(
     ranges = -(-seen["total"] // rows_per_bucket)
     # NULL-safe group key: one struct, never NULL itself.
     keyed = df.withColumn("_g", F.struct(F.lit(0).alias("_"), *groups))
-    cut = keyed.repartitionByRange(ranges, *groups, *order_by).withColumn("_range", F.spark_partition_id())
-    ranged = written(cut, "ranges")
-    filled = ranged.groupBy("_g", "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    cut = keyed.repartitionByRange(ranges, *groups, *order_by).sortWithinPartitions(*groups, *order_by)
+    # The id is the partition's number above PLACE_BITS and the row's place in it below.
+    placed = written(cut.withColumn("_at", F.monotonically_increasing_id()), "ranges").withColumn("_range", F.shiftright("_at", PLACE_BITS))
+    filled = placed.groupBy("_g", "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     earlier = W.partitionBy("_g").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    starts = filled.select("_g", "_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
-    number = F.row_number().over(W.partitionBy("_g", "_range").orderBy(*order_by))
+    starts = filled.select("_g", "_range", (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_start"))
     return (
-        ranged.withColumn("_rn", number)
-        .join(small_side(starts), ["_g", "_range"])
-        .withColumn(out, (F.col("_rn") + F.col("_start")).cast("long"))
+        placed.join(small_side(starts), ["_g", "_range"])
+        .withColumn(out, (F.col("_at") + F.col("_start")).cast("long"))
         .select(*df.columns, out)
     )
 

@@ -266,15 +266,23 @@ def agg_valid_share(spark, sf):
 # --- windows, order, limit --------------------------------------------------------------
 
 
-@query(
-    "win_row_number",
-    """SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey, o_orderkey) AS rn
-       FROM orders""",
-)
-def win_row_number(spark, sf):
+NUMBERED = "SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey, o_orderkey) AS rn FROM orders"
+
+
+def numbered(spark, sf, **size):
     rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    # Small ranges, so that the plan for large groups is the one that is checked.
-    return windows.ranked_rows(rows, ["o_orderpriority"], ["o_custkey", "o_orderkey"], rows_per_bucket=1_000).drop("o_custkey")
+    return windows.ranked_rows(rows, ["o_orderpriority"], ["o_custkey", "o_orderkey"], **size).drop("o_custkey")
+
+
+@query("win_row_number", NUMBERED)
+def win_row_number(spark, sf):
+    return numbered(spark, sf)
+
+
+@query("win_row_number_ranges", NUMBERED)
+def win_row_number_ranges(spark, sf):
+    """The plan for groups beyond a bound, which small tables never reach by themselves."""
+    return numbered(spark, sf, rows_per_bucket=1_000)
 
 
 @query(

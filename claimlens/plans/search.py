@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from claimlens.functions.text import tokens
 from claimlens.operators import aggregates, classify, embedding, evaluate, predict, sampling, search
+from claimlens.operators.index import read_index, refresh_index
 from claimlens.plans.registry import query
 from claimlens.plans.views import (
     CLAIMS, HITS, claims, embedding_sql, hits_sql, plain_claims, spread_claims, table, tokens_sql, vector_hits, vector_queries, vectors,
@@ -112,63 +113,78 @@ def vector_topk_lsh(spark, sf):
     return shown(search.topk_lsh(vector_queries(spark, sf), vectors(spark, sf), 10, **LSH))
 
 
-def token_sets(spark, sf):
-    return narrative(spark, sf).select("doc_id", search.token_set(tokens(F.col("text"))).alias("words"))
-
-
 RERANKED = f"""{HITS},
-words AS (SELECT doc_id, list_distinct({tokens_sql('text')}) AS w FROM documents),
+terms AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest({tokens_sql('lower(text)')}) AS t FROM documents) GROUP BY ALL),
+weighted AS (
+  SELECT doc_id, t, n * (ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + count(*) OVER (PARTITION BY t))) + 1) AS w FROM terms),
+unit AS (SELECT doc_id, t, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM weighted),
 scored AS (
-  SELECT h.query_id, h.claim_id, h.rank AS first_rank, coalesce(len(list_intersect(q.w, c.w)), 0)::BIGINT AS overlap
-  FROM hits h LEFT JOIN words q ON q.doc_id = h.query_id LEFT JOIN words c ON c.doc_id = h.claim_id),
+  SELECT h.query_id, h.claim_id, h.rank AS first_rank, round(coalesce(sum(a.w * b.w), 0), 9) AS s
+  FROM hits h LEFT JOIN unit a ON a.doc_id = h.query_id LEFT JOIN unit b ON b.doc_id = h.claim_id AND b.t = a.t GROUP BY ALL),
 reranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, first_rank) AS rank FROM scored)"""
+  SELECT query_id, claim_id, first_rank, round(s, 6) AS cosine, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, first_rank) AS rank FROM scored)"""
 
 
 def reranked(spark, sf):
-    """Vector hits re-ranked by the distinct tokens their whole texts share."""
-    words = token_sets(spark, sf)
-    hits = search.with_texts(
-        vector_hits(spark, sf),
-        words.select(F.col("doc_id").alias("query_id"), F.col("words").alias("q_words")),
-        words.select(F.col("doc_id").alias("claim_id"), F.col("words").alias("c_words")),
+    """Vector hits re-ranked by the TF-IDF cosine of their whole texts."""
+    weights = written(search.term_weights(narrative(spark, sf), "doc_id", "text", "feature"), "weights")
+    found = search.rerank(
+        vector_hits(spark, sf), weights.withColumnRenamed("doc_id", "query_id"), weights.withColumnRenamed("doc_id", "claim_id")
     )
-    return search.rerank(hits, search.overlap_score("q_words", "c_words")).drop("q_words", "c_words")
+    return found.withColumn("cosine", F.round("rerank_score", 6))
 
 
-@query("rerank_hits", f"WITH {RERANKED} SELECT query_id, claim_id, first_rank, overlap, rank FROM reranked")
+@query("rerank_hits", f"WITH {RERANKED} SELECT query_id, claim_id, first_rank, cosine, rank FROM reranked")
 def rerank_hits(spark, sf):
-    return reranked(spark, sf).select(
-        "query_id",
-        "claim_id",
-        F.col("first_rank").cast("long").alias("first_rank"),
-        F.col("rerank_score").cast("long").alias("overlap"),
-        F.col("rank").cast("long").alias("rank"),
-    )
+    ranks = [F.col(c).cast("long").alias(c) for c in ("first_rank", "rank")]
+    return reranked(spark, sf).select("query_id", "claim_id", "cosine", *ranks)
 
 
-@query("sort_by_rerank", f"WITH {RERANKED} SELECT query_id, claim_id, overlap FROM reranked ORDER BY overlap DESC, query_id, rank")
+@query("sort_by_rerank", f"WITH {RERANKED} SELECT query_id, claim_id, cosine FROM reranked ORDER BY cosine DESC, query_id, rank")
 def sort_by_rerank(spark, sf):
-    ordered = reranked(spark, sf).orderBy(F.desc("rerank_score"), "query_id", "rank")
-    return ordered.select("query_id", "claim_id", F.col("rerank_score").cast("long").alias("overlap"))
+    return reranked(spark, sf).orderBy(F.desc("cosine"), "query_id", "rank").select("query_id", "claim_id", "cosine")
+
+
+INDEX_CALLS = """WITH b AS (SELECT doc_id, text IS NOT NULL AS there, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 10000 AS b FROM documents)
+SELECT 1 AS call, count_if(b < 8000) AS added, 0::BIGINT AS changed, 0::BIGINT AS deleted, count_if(b < 8000) AS embedded, count_if(b < 8000) AS held FROM b
+UNION ALL SELECT 2, count_if(b >= 8000), count_if(b < 1000 AND there), 0, count_if(b >= 8000 OR (b < 1000 AND there)), count(*) FROM b
+UNION ALL SELECT 3, 0, 0, count_if(b >= 5000), 0, count_if(b < 5000) FROM b
+UNION ALL SELECT 4, 0, 0, 0, 0, count_if(b < 5000) FROM b"""
+
+
+@query("index_refresh", INDEX_CALLS)
+def index_refresh(spark, sf):
+    """Four calls over a changing source: a part of the texts; all of them, some edited; half of them gone; nothing new.
+    Only new and edited texts are embedded."""
+    path = scratch_path(spark, "index")
+    source = table(spark, sf, "documents").select("doc_id", "text").withColumn("b", sampling.hash_bucket("doc_id"))
+    edited = source.withColumn("text", F.when(F.col("b") < 1000, F.concat("text", F.lit(" Edited."))).otherwise(F.col("text")))
+    calls = [source.where("b < 8000"), edited, edited.where("b < 5000"), edited.where("b < 5000")]
+    seen = []
+    for n, rows in enumerate(calls):
+        found = refresh_index(path, rows.select("doc_id", "text"), "doc_id", lambda new: embedding.embed_hashed(new, "text", DIMS))
+        seen.append((n + 1, *found.values(), read_index(spark, path).count()))
+    return spark.createDataFrame(seen, "call int, added long, changed long, deleted long, embedded long, held long")
 
 
 @query(
-    "index_refresh",
-    """WITH b AS (SELECT ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 10000 AS b FROM documents)
-       SELECT 1 AS call, count_if(b < 8000)::BIGINT AS added FROM b UNION ALL
-       SELECT 2, count_if(b >= 8000)::BIGINT FROM b UNION ALL SELECT 3, 0 FROM b GROUP BY 1, 2""",
+    "index_content",
+    f"""WITH e AS (SELECT doc_id, CASE WHEN b < 1000 THEN concat(text, ' Edited.') ELSE text END AS text
+                   FROM (SELECT *, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 10000 AS b FROM documents) WHERE b < 5000),
+        {embedding_sql('emb', 'e', 'doc_id', 'text', DIMS)}
+        SELECT doc_id, md5(text) AS text_md5, count(dim) AS filled, round(max(w), 6) AS highest FROM e LEFT JOIN emb USING (doc_id) GROUP BY ALL""",
 )
-def index_refresh(spark, sf):
-    """Three calls over growing texts; each embeds what the index lacks, and nothing twice."""
+def index_content(spark, sf):
+    """What an index holds after a source was edited and half of it deleted."""
     path = scratch_path(spark, "index")
-    source = table(spark, sf, "documents").select("doc_id", "text")
-    older = source.filter(sampling.hash_bucket("doc_id") < 8000)
-    added = [
-        search.refresh_index(path, rows, "doc_id", lambda new: embedding.embed_hashed(new, "text", DIMS))
-        for rows in (older, source, source)
-    ]
-    return spark.createDataFrame([(i + 1, n) for i, n in enumerate(added)], "call int, added long")
+    source = table(spark, sf, "documents").select("doc_id", "text").withColumn("b", sampling.hash_bucket("doc_id"))
+    edited = F.when(F.col("b") < 1000, F.concat("text", F.lit(" Edited."))).otherwise(F.col("text"))
+    for rows in (source, source.withColumn("text", edited).where("b < 5000")):
+        refresh_index(path, rows.select("doc_id", "text"), "doc_id", lambda new: embedding.embed_hashed(new, "text", DIMS, element="double"))
+    filled = F.filter("embedding", lambda x: x != 0)
+    return read_index(spark, path).select(
+        "doc_id", F.md5("text").alias("text_md5"), F.size(filled).cast("long").alias("filled"), F.round(F.array_max(filled), 6).alias("highest")
+    )
 
 
 @query(

@@ -14,7 +14,7 @@ from claimlens.operators.sampling import hash_bucket
 from claimlens.operators.search import surrogate_id, topk
 from claimlens.plans.registry import query
 from claimlens.plans.views import CLAIMS, claims_of, embedding_sql, table
-from claimlens.session import scratch_path
+from claimlens.session import scratch_path, spread
 from claimlens.sources.readers import literal_rows, read_claims_csv, scan_table, stream_table
 from claimlens.sources.sinks import append_table, create_table_if_absent, overwrite_table, write_csv
 from claimlens.streaming.ingest import drain
@@ -192,7 +192,8 @@ def embedded_chunks(labels):
     chunked = chunk_batch(labels)
 
     def transform(batch):
-        chunks = chunked(batch).withColumn("id", surrogate_id("claim_id", "chunk_pos"))
+        # A batch of few files would be embedded on few cores.
+        chunks = chunked(spread(batch)).withColumn("id", surrogate_id("claim_id", "chunk_pos"))
         return embed_hashed(chunks, "chunk", CHUNK_DIMS, element="double")
 
     return transform

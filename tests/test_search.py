@@ -208,17 +208,44 @@ def test_lsh_parts_of_a_crowded_bucket(spark, monkeypatch):
     assert found == brute(data, data, 3, True)  # with one bit, one probe visits every bucket
 
 
-def test_rerank_is_a_permutation_and_keeps_order_of_ties(spark):
-    hits = spark.createDataFrame([(1, 10, 1, 5), (1, 11, 2, 9), (1, 12, 3, 5)], "query_id long, claim_id long, rank int, s int")
-    got = [(r["claim_id"], r["rank"], r["first_rank"]) for r in search.rerank(hits, F.col("s")).orderBy("rank").collect()]
-    assert got == [(11, 1, 2), (10, 2, 1), (12, 3, 3)]
+def features(spark, rows, name):
+    return spark.createDataFrame(rows, f"{name} long, feature array<long>")
 
 
-def test_refresh_index_is_idempotent(spark, tmp_path):
-    path = str(tmp_path / "index")
-    first = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "id long, t string")
-    more = spark.createDataFrame([(2, "b"), (3, "c"), (None, "d")], "id long, t string")
-    assert [search.refresh_index(path, s, "id") for s in (first, first, more, more)] == [2, 0, 1, 0]
+def test_rerank_is_a_permutation_and_keeps_order_of_ties(spark):
+    hits = spark.createDataFrame([(1, 10, 1, "a"), (1, 11, 2, "b"), (1, 12, 3, "c"), (2, 10, 1, "d"), (3, 13, 1, "e")], "query_id long, claim_id long, rank int, s string")
+    queries = features(spark, [(1, [1, 2, 3]), (2, None)], "query_id")
+    claims = features(spark, [(10, [1]), (11, [1, 2, 9]), (12, [3])], "claim_id")
+    found = search.rerank(hits, queries, claims, search.overlap_scores)
+    got = [tuple(r[c] for c in ("query_id", "claim_id", "rank", "first_rank", "rerank_score", "s")) for r in found.orderBy("query_id", "rank").collect()]
+    assert got == [(1, 11, 1, 2, 2.0, "b"), (1, 10, 2, 1, 1.0, "a"), (1, 12, 3, 3, 1.0, "c"), (2, 10, 1, 1, 0.0, "d"), (3, 13, 1, 1, 0.0, "e")]
+
+
+def test_rerank_by_any_scorer(spark):
+    hits = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id long, claim_id long, rank int")
+    found = search.rerank(hits, features(spark, [(1, [5])], "query_id"), features(spark, [(10, [1]), (11, [7])], "claim_id"), lambda q, hs: F.transform(hs, lambda h: (h[0] + q[0]).cast("double")))
+    assert [(r["claim_id"], r["rerank_score"]) for r in found.orderBy("rank").collect()] == [(11, 12.0), (10, 6.0)]
+
+
+def test_cosine_of_term_weights(spark):
+    from collections import Counter
+    from math import log, sqrt
+
+    texts = {1: "Pump leak leak", 2: "pump LEAK", 3: "wire burnt", 4: "", 5: None, 6: "leak"}
+    df = spark.createDataFrame(list(texts.items()), "id long, t string").repartition(3)
+    weights = search.term_weights(df, "id", "t", "feature")
+    assert {r["id"] for r in weights.collect()} == {1, 2, 3, 6}
+    terms = {k: Counter((t or "").lower().split()) for k, t in texts.items()}
+    frequency = Counter(w for t in terms.values() for w in t)
+    vector = {k: {w: n * (log(7 / (1 + frequency[w])) + 1) for w, n in t.items()} for k, t in terms.items()}
+    length = {k: sqrt(sum(w * w for w in v.values())) or 1 for k, v in vector.items()}
+    hits = spark.createDataFrame([(q, c, n + 1) for q in texts for n, c in enumerate(x for x in texts if x != q)], "query_id long, claim_id long, rank int")
+    found = search.rerank(hits, weights.withColumnRenamed("id", "query_id"), weights.withColumnRenamed("id", "claim_id")).collect()
+    assert len(found) == 30
+    for r in found:
+        a, b = vector[r["query_id"]], vector[r["claim_id"]]
+        wanted = sum(a[w] * b[w] for w in a.keys() & b.keys()) / length[r["query_id"]] / length[r["claim_id"]]
+        assert abs(r["rerank_score"] - wanted) < 1e-8
 
 
 def test_surrogate_ids_are_distinct_and_stable(spark):
