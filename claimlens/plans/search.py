@@ -205,13 +205,19 @@ def digest(rows):
     return rows.select("claim_id", F.md5("q").alias("text_md5"), F.length("q").cast("long").alias("text_length"))
 
 
+def asked(rows, mode):
+    """(claim_id, q): every claim's question, with examples from the labelled claims."""
+    known = rows.filter(F.col("label").isNotNull())
+    return rows.select("claim_id", predict.question(known, mode, "narrative", "label", "claim_id").alias("q"))
+
+
 DIGEST = "SELECT claim_id, md5(q) AS text_md5, length(q) AS text_length FROM t"
 ASK = "Which failure mode fits this claim? "
 
 
 @query("query_zero_shot", f"WITH {CLAIMS}, t AS (SELECT claim_id, concat('{ASK}', narrative) AS q FROM claims) {DIGEST}")
 def query_zero_shot(spark, sf):
-    return digest(plain_claims(spark, sf).select("claim_id", predict.zero_shot_text("narrative").alias("q")))
+    return digest(plain_claims(spark, sf).select("claim_id", predict.question(None, "zero", "narrative", "label", "claim_id").alias("q")))
 
 
 @query(
@@ -221,9 +227,7 @@ def query_zero_shot(spark, sf):
         {DIGEST}""",
 )
 def query_one_shot(spark, sf):
-    rows = claims(spark, sf)
-    example = rows.filter(F.col("label").isNotNull()).orderBy("claim_id").select("narrative", "label").first()
-    return digest(rows.select("claim_id", predict.one_shot_text("narrative", example[0], example[1]).alias("q")))
+    return digest(asked(claims(spark, sf), "one"))
 
 
 @query(
@@ -237,11 +241,7 @@ def query_one_shot(spark, sf):
               FROM claims c, a, b) {DIGEST}""",
 )
 def query_few_shot(spark, sf):
-    rows = spread_claims(spark, sf)
-    known = rows.filter(F.col("label").isNotNull())
-    example = F.concat("narrative", F.lit(" Failure mode: "), "label")
-    block, labels = predict.few_shot_parts(known, example, "label", ["claim_id"], 153, 27)
-    return digest(rows.select("claim_id", predict.few_shot_text("narrative", block, labels).alias("q")))
+    return digest(asked(spread_claims(spark, sf), "few"))
 
 
 # --- prediction -------------------------------------------------------------------------
@@ -268,23 +268,17 @@ PREDICTED = f"""{HITS}, predicted AS (
   SELECT h.query_id, e.label AS predicted_label, h.score FROM hits h JOIN embeddings e ON h.claim_id = e.vec_id WHERE h.rank = 1)"""
 
 
-def neighbour_predictions(spark, sf, pick="top"):
-    known = table(spark, sf, "embeddings").select(F.col("vec_id").alias("claim_id"), "label")
-    return predict.predict_by_neighbours(
-        vector_queries(spark, sf).select("query_id", "embedding"), vectors(spark, sf), known, pick=pick
-    )
-
-
 @query(
-    "predict_by_neighbours",
+    "predict_vector_neighbours",
     f"""WITH {PREDICTED} SELECT e.vec_id AS claim_id, e.label AS actual_label, p.predicted_label, p.score
         FROM embeddings e JOIN predicted p ON e.vec_id = p.query_id""",
 )
-def predict_by_neighbours(spark, sf):
-    actual = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("actual_label"))
-    return neighbour_predictions(spark, sf).join(actual, "query_id").select(
-        F.col("query_id").alias("claim_id"), "actual_label", "predicted_label", "score"
-    )
+def predict_vector_neighbours(spark, sf):
+    """Labels transferred between given vectors, without texts."""
+    known = table(spark, sf, "embeddings").select(F.col("vec_id").alias("claim_id"), "label")
+    queries = vector_queries(spark, sf).select("query_id", "embedding")
+    found = predict.predict_by_neighbours(queries, vectors(spark, sf), known).withColumnRenamed("query_id", "claim_id")
+    return found.join(known.withColumnRenamed("label", "actual_label"), "claim_id").select("claim_id", "actual_label", "predicted_label", "score")
 
 
 @query(
@@ -318,7 +312,8 @@ def predict_unlabelled_table(spark, sf):
     return read_and_drop(spark, name)
 
 
-EXAMPLES = {"offset": 3, "n": 5}
+# Where the labelled examples of a few-shot question begin in key order, and how many they are.
+EXAMPLES = {"offset": 153, "n": 27}
 
 
 def _mode_sql(mode: str, head: str) -> str:
@@ -331,7 +326,7 @@ h_{mode} AS (SELECT q.doc_id AS query_id, v.doc_id AS claim_id, round(list_inner
              QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v.doc_id) <= 10),
 s_{mode} AS (SELECT h.*, len(list_intersect(a.w, b.w)) AS overlap, row_number() OVER (PARTITION BY query_id ORDER BY h.score DESC, claim_id) AS first_rank
              FROM h_{mode} h JOIN words a ON a.doc_id = query_id JOIN words b ON b.doc_id = claim_id),
-p_{mode} AS (SELECT s.query_id AS claim_id, k.label FROM s_{mode} s JOIN known k USING (claim_id)
+p_{mode} AS (SELECT s.query_id AS claim_id, k.label, s.overlap FROM s_{mode} s JOIN known k USING (claim_id)
              QUALIFY row_number() OVER (PARTITION BY s.query_id ORDER BY s.overlap DESC, s.first_rank) = 1)"""
 
 
@@ -362,6 +357,20 @@ def mode_predictions(spark, sf):
     return rows
 
 
+@query(
+    "predict_by_neighbours",
+    f"""WITH {MODES_SQL} SELECT k.claim_id, k.label AS actual_label, z.label AS predicted_label, z.overlap::DOUBLE AS score
+        FROM known k LEFT JOIN p_zero z USING (claim_id)""",
+)
+def predict_by_neighbours(spark, sf):
+    """Every labelled claim asked for without examples, searched among the others, re-ranked, and given the best hit's label."""
+    index = written(embedded(spread_claims(spark, sf).filter(F.col("label").isNotNull())), "index")
+    found = predict.predict(index, index, embed, mode="zero")
+    return index.select("claim_id", F.col("label").alias("actual_label")).join(found, "claim_id").select(
+        "claim_id", "actual_label", "predicted_label", "score"
+    )
+
+
 @query("predict_modes", f"WITH {MODES_SQL} SELECT * FROM predicted")
 def predict_modes(spark, sf):
     return mode_predictions(spark, sf)
@@ -565,12 +574,12 @@ def label_judged(spark, sf, hits):
 
 
 @query(
-    "eval_recall_at_k",
+    "eval_label_recall_at_k",
     f"""WITH {HITS}, near AS (SELECT * FROM hits WHERE score >= {FLOOR}), {MEASURES_SQL.format(n='a', hits='near')}
         SELECT k.k, round(sum(coalesce(a.hits / s.n, 0)) / count(*), 6) AS recall
         FROM size_a s CROSS JOIN k LEFT JOIN at_a a ON a.query_id = s.query_id AND a.k = k.k WHERE s.n > 0 GROUP BY k.k""",
 )
-def eval_recall_at_k(spark, sf):
+def eval_label_recall_at_k(spark, sf):
     """Hits of a low score are dropped first, so some queries have none; they count all the same."""
     judged, sizes = label_judged(spark, sf, vector_hits(spark, sf).filter(F.col("score") >= FLOOR))
     return evaluate.recall_at_k(judged, sizes, KS).withColumn("recall", F.round("recall", 6))
@@ -580,7 +589,7 @@ SIGNS = "list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 0.125::DOUBLE
 
 
 @query(
-    "eval_recall_compare",
+    "eval_label_recall_compare",
     f"""WITH {HITS}, {hits_sql('coarse', vector=SIGNS)}, {MEASURES_SQL.format(n='a', hits='hits')},
         {MEASURES_SQL.format(n='b', hits='coarse').replace('k AS (SELECT unnest(range(1, 11)) AS k),', '')}
         SELECT x.k, x.r AS recall_a, y.r AS recall_b
@@ -588,7 +597,7 @@ SIGNS = "list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 0.125::DOUBLE
         JOIN (SELECT a.k, round(avg(a.hits / s.n), 6) AS r FROM at_b a JOIN size_b s USING (query_id) WHERE s.n > 0 GROUP BY a.k) y
         ON x.k = y.k""",
 )
-def eval_recall_compare(spark, sf):
+def eval_label_recall_compare(spark, sf):
     """The full vectors against an index that keeps only their signs."""
     judged_a, sizes = label_judged(spark, sf, vector_hits(spark, sf))
     signs = F.transform("embedding", lambda x: F.when(x > 0, 0.125).otherwise(-0.125))
@@ -601,19 +610,94 @@ def eval_recall_compare(spark, sf):
 
 
 @query(
-    "eval_retriever_defaults",
+    "eval_label_retriever_defaults",
     f"""WITH {HITS}, {MEASURES_SQL.format(n='a', hits='hits')},
         ideal AS (SELECT unnest(range(1, 11)) AS m, list_sum(list_transform(range(1, m + 1), lambda i: 1 / log2(i + 1))) AS best)
         SELECT a.k, round(avg(a.hits / a.k), 6) AS precision, round(avg(a.hits / s.n), 6) AS recall,
                round(avg(a.dcg / i.best), 6) AS ndcg
         FROM at_a a JOIN size_a s USING (query_id) JOIN ideal i ON i.m = least(a.k, s.n) WHERE s.n > 0 GROUP BY a.k""",
 )
-def eval_retriever_defaults(spark, sf):
+def eval_label_retriever_defaults(spark, sf):
     judged, sizes = label_judged(spark, sf, vector_hits(spark, sf))
     found = evaluate.retriever_measures(judged, sizes, KS)
     return found.select("k", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "ndcg")])
 
 
+def _dense_sql(name: str, source: str, dims: int) -> str:
+    return f"""{embedding_sql(f'e_{name}', source, 'doc_id', 'text', dims)},
+d_{name} AS (SELECT doc_id, list_transform(range({dims}), lambda i: coalesce(map_extract_value(m, i), 0)) AS e
+             FROM (SELECT doc_id, map(list(dim), list(w)) AS m FROM e_{name} GROUP BY doc_id))"""
+
+
+def _target_sql(name: str, dims: int) -> str:
+    """Hits of questions among the claims in ``dims`` dimensions, and which of them are the question's target."""
+    return f"""{_dense_sql(f'q{name}', 'questions', dims)}, {_dense_sql(f'v{name}', 'texts', dims)},
+hits_{name} AS (SELECT q.doc_id AS query_id, v.doc_id AS claim_id, round(list_inner_product(q.e, v.e), 9) AS score,
+                       row_number() OVER (PARTITION BY q.doc_id ORDER BY round(list_inner_product(q.e, v.e), 9) DESC, v.doc_id) AS rank
+                FROM d_q{name} q, d_v{name} v QUALIFY rank <= 10),
+found_{name} AS (SELECT d.doc_id AS query_id, h.rank FROM questions d LEFT JOIN hits_{name} h ON h.query_id = d.doc_id AND h.claim_id = d.doc_id)"""
+
+
+COARSE_DIMS = 16
+TARGETS_SQL = f"""{CLAIMS}, texts AS (SELECT claim_id AS doc_id, narrative AS text FROM claims),
+questions AS (SELECT claim_id AS doc_id, concat('{ASK}', narrative) AS text FROM claims WHERE label IS NOT NULL),
+k AS (SELECT unnest(range(1, 11)) AS k), {_target_sql('a', DIMS)}"""
+
+
+def target_hits(spark, sf, dims):
+    """Labelled claims' questions searched among all claims' texts; each question's own claim is its target, given by id."""
+    rows = spread_claims(spark, sf)
+    vector = lambda text: embedding.embed_text(text, dims, element="double")
+    made = written(
+        rows.select(
+            "claim_id",
+            vector(F.col("narrative")).alias("embedding"),
+            F.when(F.col("label").isNotNull(), vector(predict.question(None, "zero", "narrative", "label", "claim_id"))).alias("asked"),
+        ),
+        "embedded",
+    )
+    usable = F.exists("embedding", lambda x: x != 0)
+    questions = made.filter(F.exists("asked", lambda x: x != 0)).select(F.col("claim_id").alias("query_id"), F.col("asked").alias("embedding"))
+    hits = search.topk(questions, made.filter(usable), 10, exclude_self=False)
+    targets = rows.filter(F.col("label").isNotNull()).select(F.col("claim_id").alias("query_id"), "claim_id")
+    return evaluate.judged_hits(hits, targets), evaluate.target_sizes(targets)
+
+
+@query(
+    "eval_recall_at_k",
+    f"""WITH {TARGETS_SQL} SELECT k.k, round(avg(coalesce(rank <= k.k, false)::INT), 6) AS recall FROM found_a, k GROUP BY k.k""",
+)
+def eval_recall_at_k(spark, sf):
+    judged, sizes = target_hits(spark, sf, DIMS)
+    return evaluate.recall_at_k(judged, sizes, KS).withColumn("recall", F.round("recall", 6))
+
+
+@query(
+    "eval_recall_compare",
+    f"""WITH {TARGETS_SQL}, {_target_sql('b', COARSE_DIMS)},
+        x AS (SELECT k.k, avg(coalesce(rank <= k.k, false)::INT) AS r FROM found_a, k GROUP BY k.k),
+        y AS (SELECT k.k, avg(coalesce(rank <= k.k, false)::INT) AS r FROM found_b, k GROUP BY k.k)
+        SELECT k, round(x.r, 6) AS recall_a, round(y.r, 6) AS recall_b FROM x JOIN y USING (k)""",
+)
+def eval_recall_compare(spark, sf):
+    """Two indexes of the same claims side by side: 64 and 16 dimensions."""
+    curves = [evaluate.recall_at_k(*target_hits(spark, sf, dims), KS) for dims in (DIMS, COARSE_DIMS)]
+    return evaluate.recall_compare(*curves).select("k", F.round("recall_a", 6).alias("recall_a"), F.round("recall_b", 6).alias("recall_b"))
+
+
+@query(
+    "eval_retriever_defaults",
+    f"""WITH {TARGETS_SQL}
+        SELECT k.k, round(avg(coalesce(rank <= k.k, false)::INT / k.k), 6) AS precision, round(avg(coalesce(rank <= k.k, false)::INT), 6) AS recall,
+               round(avg(CASE WHEN rank <= k.k THEN 1 / log2(rank + 1) ELSE 0 END), 6) AS ndcg
+        FROM found_a, k GROUP BY k.k""",
+)
+def eval_retriever_defaults(spark, sf):
+    judged, sizes = target_hits(spark, sf, DIMS)
+    found = evaluate.retriever_measures(judged, sizes, KS)
+    return found.select("k", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "ndcg")])
+
+
 @query(
     "eval_exact_match",
     """SELECT d.lang AS data_set, count(*) AS cnt, round(avg((l.quality = 1 - l.toxic)::INT), 6) AS exact_match
