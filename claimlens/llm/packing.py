@@ -26,8 +26,9 @@ SLICE_BYTES = 2 << 20
 REMEMBERED = 300_000
 REMEMBERED_IDS = 4_000_000
 JOINED = 2_000
-# Signs on which the two tokenizer libraries cannot disagree about letters, digits and white space.
-PLAIN = bytes([9, 10, *range(32, 127)])
+# Bytes of signs that have been letters, digits, white space or others in every version of Unicode, so that two libraries
+# cannot disagree about them: printable ASCII, tab, line feed, and the two-byte signs U+00C0 to U+017F.
+PLAIN = bytes([9, 10, *range(32, 127), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5])
 # Fixed value: how a byte-level vocabulary of this kind parts a text.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -69,7 +70,7 @@ class Encoder:
     crosses pre-tokens, so texts fall apart there into chunks whose ids do not depend on what is around them.
     Each distinct chunk is given to the tokenizer once. Chunks that begin so are joined for that and parted
     again by the byte lengths of their ids; where that does not come out even, chunks are encoded one by one.
-    Chunks of plain ASCII go to the faster of two libraries that merge alike, where the file's merges are in order of ids."""
+    Chunks of plain signs (``PLAIN``) go to the faster of two libraries that merge alike, where the file's merges are in order of ids."""
 
     def __init__(self, vocabulary: str):
         import tiktoken

@@ -10,7 +10,7 @@ from claimlens.llm.queries import packing_vocabulary
 
 ODD = [
     "", None, " ", "  a", "a  ", "\n\n a", "a  b  c", "x<|endoftext|> y <|endoftext|>", "don't  we'll", "é" * 50 + " ü a",
-    "\x1c a \x1c", "日本 語 a", "a  b", "  c", "1 2 34 5", "🙂 ok", "tab\t x", "same words", "same words", "w " * 4000, "y" * 9000,
+    "\x1c a \x1c", "日本 語 a", "a  b", "  c", "1 2 34 5", "🙂 ok", "a Ü×3 ÷ Åſ ÿ żó\u00a0x \u00b5", "tab\t x", "same words", "same words", "w " * 4000, "y" * 9000,
 ]
 
 
