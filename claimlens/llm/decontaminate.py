@@ -5,6 +5,7 @@ itself in lower case; names in a row are one. A word that begins a sentence with
 is read both ways. Windows of template tokens are joined by hash between documents and benchmark items;
 matches in order on neighbouring diagonals make an alignment; the values in its slots decide: the same values are a
 verbatim leak, values replaced one for one (but for few) are a re-parameterised item, anything else is chance.
+A window of hardly any plain words is hashed with its values, so lists of numbers meet only verbatim copies.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import bisect
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,6 +31,11 @@ LONG_RUN = 32
 CONTRARY = 0.2
 # Plain words that an item shorter than a window must hold to be found inside a document with other values.
 SHORT_PLAIN = 3
+# Plain words that a window must hold for its placeholders to stand for any value, and distinct ones that an alignment must hold.
+WINDOW_PLAIN = 2
+ALIGNED_PLAIN = 3
+# Texts are read together up to this many bytes.
+READ_BYTES = 1 << 19
 # Bits of the sieve in front of the join: 2 MB whatever the benchmark's size.
 SIEVE_BITS = 1 << 24
 # Units of measure and money.
@@ -43,7 +50,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Templates:
-    """A text's template hashes and slots. Stops and quotes around a token do not count; a token of
+    """Reads texts into tokens. Stops and quotes around a token do not count; a token of
     nothing else is dropped. A capital letter makes a name unless the token begins a sentence or a line."""
 
     def __init__(self):
@@ -60,22 +67,20 @@ class Templates:
         self.stop[list(b".!?:")] = True
         self.units = np.sort(np.concatenate([self.words.lowered(u) for u in UNITS]))
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(template hashes, kinds, value hashes), one per token. ``begins`` then tells the words that a capital makes names
-        but for their place."""
-        self.begins = np.empty(0, bool)
-        raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    def __call__(self, texts: list[str | None]) -> Tokens:
+        """The tokens of texts, read together: a line break parts them, and no token or run of names crosses it."""
+        encoded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        raw = np.frombuffer(b"\n".join(encoded), np.uint8)
+        first = np.cumsum([0, *[len(e) + 1 for e in encoded[:-1]]]) if encoded else np.zeros(0, np.int64)
         starts, ends = self.words.places(raw)
-        if not len(starts):
-            return np.empty(0, np.uint64), np.empty(0, np.int8), np.empty(0, np.uint64)
         # Trim the edges: to the first and the last byte of the token that is none.
         inner = np.flatnonzero(~(self.edge[raw] | self.words.space[raw]))
         low, high = np.searchsorted(inner, starts), np.searchsorted(inner, ends)
         full = low < high
+        if not full.any():
+            return Tokens(*(np.empty(0, t) for t in (np.int8, np.uint64, bool, np.int64)), len(texts))
         begun = np.r_[True, self.stop[raw[ends[:-1] - 1]] | _line_between(raw, ends[:-1], starts[1:])]
         starts, ends, begun = inner[low[full]], inner[high[full] - 1] + 1, begun[full]
-        if not len(starts):
-            return np.empty(0, np.uint64), np.empty(0, np.int8), np.empty(0, np.uint64)
         lower = raw.copy()
         lower[(raw >= 65) & (raw <= 90)] += 32
         value = self.words.hashes(lower, starts, ends)
@@ -88,9 +93,77 @@ class Templates:
         kind[capital & ~begun] = NAME
         kind[self.units[np.minimum(np.searchsorted(self.units, value), len(self.units) - 1)] == value] = UNIT
         kind[has_digit & ~has_letter] = NUMBER
-        self.begins = capital & begun & (kind == PLAIN)
-        template = np.where(kind == PLAIN, value, kind.astype(np.uint64))
-        return template, kind, value
+        return Tokens(kind, value, capital & begun & (kind == PLAIN), np.searchsorted(first, starts, "right") - 1, len(texts))
+
+
+@dataclass
+class Tokens:
+    """Kinds and value hashes of texts' tokens, ``begins`` (a capital makes them names but for their place), and each token's text."""
+
+    kinds: np.ndarray
+    values: np.ndarray
+    begins: np.ndarray
+    owner: np.ndarray
+    texts: int
+
+    def readings(self) -> Iterator[Reading]:
+        """With capitals that begin a sentence as words; then with them as names, where there are any."""
+        for named in (False, True):
+            if not len(self.kinds) or named and not self.begins.any():
+                return
+            kind = np.where(self.begins, np.int8(NAME), self.kinds) if named else self.kinds
+            name = kind == NAME
+            follows = np.r_[False, name[1:] & name[:-1] & (self.owner[1:] == self.owner[:-1])]
+            first = np.flatnonzero(~follows)
+            sums = np.add.reduceat(mixed(self.values), first)
+            values = np.where(np.diff(np.r_[first, len(kind)]) > 1, sums, self.values[first])
+            changed = np.logical_or.reduceat(self.begins, first) if named else None
+            starts = np.searchsorted(self.owner, np.arange(self.texts))
+            owner = self.owner[first]
+            yield Reading(kind[first], values, first - starts[owner], owner, changed, np.bincount(owner, minlength=self.texts))
+
+
+@dataclass
+class Reading:
+    """One way to read the texts, names in a row made one: kinds, values and places of tokens, their texts, which tokens
+    differ from the first reading (None: it is the first), and each text's number of tokens."""
+
+    kinds: np.ndarray
+    values: np.ndarray
+    places: np.ndarray
+    owner: np.ndarray
+    changed: np.ndarray | None
+    sizes: np.ndarray
+
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first token, hash) of every window of ``n`` tokens within a text that is not one of the first reading too."""
+        count = len(self.kinds) - n + 1
+        if count <= 0:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        whole = self.owner[:count] == self.owner[n - 1 :]
+        if self.changed is not None:
+            upto = np.cumsum(np.r_[0, self.changed])
+            whole &= upto[n:] > upto[:count]
+        at = np.flatnonzero(whole)
+        plain = self.kinds == PLAIN
+        template = np.where(plain, self.values, self.kinds.astype(np.uint64))
+        held = np.cumsum(np.r_[0, plain])
+        few = at[held[at + n] - held[at] < WINDOW_PLAIN]
+        rolled = self._rolled(template, at, n)
+        rolled[np.searchsorted(at, few)] = mixed(self._rolled(self.values, few, n) + _STEP)
+        return at, rolled
+
+    @staticmethod
+    def _rolled(tokens: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        rolled = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            rolled = mixed(rolled * _STEP + tokens[at + k])
+        return rolled
+
+    def packed(self, at: int, n: int) -> bytes:
+        """Kinds, values and places (from the first on) of the window at a token."""
+        places = (self.places[at : at + n] - self.places[at]).astype(np.int32)
+        return self.kinds[at : at + n].tobytes() + self.values[at : at + n].tobytes() + places.tobytes()
 
 
 def _line_between(raw: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -98,42 +171,6 @@ def _line_between(raw: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> np.n
     return lines[starts] > lines[ends]
 
 
-def windows(template: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every window of ``n`` template tokens; a shorter text is one window of its own length."""
-    if not len(template):
-        return template
-    wide = min(n, len(template))
-    rolled = np.full(len(template) - wide + 1, wide, np.uint64)
-    for k in range(wide):
-        rolled = mixed(rolled * _STEP + template[k : len(template) - wide + 1 + k])
-    return rolled
-
-
-def readings(read: Templates, text: str | None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(template, kinds, values, places) of a text, names in a row made one: with capitals that begin a sentence as words,
-    and as names where that makes a difference."""
-    template, kinds, values = read(text)
-    found = []
-    for named in (False, True):
-        if named and not read.begins.any():
-            break
-        kind = np.where(read.begins, NAME, kinds) if named else kinds
-        name = kind == NAME
-        follows = np.r_[False, name[1:] & name[:-1]] if len(kind) else name
-        first = np.flatnonzero(~follows)
-        if len(first):
-            sums = np.add.reduceat(mixed(values), first)
-            joined = np.where(np.diff(np.r_[first, len(kind)]) > 1, sums, values[first])
-            kept = kind[first].astype(np.int8)
-            found.append((np.where(kept == PLAIN, values[first], kept.astype(np.uint64)), kept, joined, first))
-    return found
-
-
-def _packed(kinds: np.ndarray, values: np.ndarray, places: np.ndarray, at: int, n: int) -> bytes:
-    """Kinds, values and places (from the first on) of the window at a place."""
-    return kinds[at : at + n].tobytes() + values[at : at + n].tobytes() + (places[at : at + n] - places[at]).astype(np.int32).tobytes()
-
-
 def _unpacked(window: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(window) // 13
     return np.frombuffer(window, np.int8, n), np.frombuffer(window, np.int64, n, n), np.frombuffer(window, np.int32, n, 9 * n)
@@ -149,10 +186,12 @@ def item_windows(items: DataFrame, n: int, item_id: str, text: str) -> DataFrame
         for batch in batches:
             for item, t in zip(batch["item_id"], batch["text"]):
                 size = 0
-                for template, kinds, values, places in readings(read, t):
-                    rolled, wide = windows(template, n), min(n, len(template))
-                    size = size or len(rolled)
-                    yield pd.DataFrame({"item_id": item, "item_at": places[: len(rolled)], "window": rolled.view(np.int64), "item_windows": size, "width": wide, "item_slots": [_packed(kinds, values, places, i, wide) for i in range(len(rolled))]})
+                for reading in read([t]).readings():
+                    wide = min(n, len(reading.kinds))
+                    at, rolled = reading.windows(wide)
+                    size = size or len(at)
+                    slots = [reading.packed(i, wide) for i in at.tolist()]
+                    yield pd.DataFrame({"item_id": item, "item_at": reading.places[at], "window": rolled.view(np.int64), "item_windows": size, "width": wide, "item_slots": slots})
 
     rows = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where("item_id is not null")
     return rows.mapInPandas(run, f"item_id {kind}, item_at long, window long, item_windows long, width int, item_slots binary").distinct()
@@ -203,17 +242,21 @@ def judged(item_at: np.ndarray, doc_at: np.ndarray, item_slots: list, doc_slots:
             continue
         chain = band[in_order(item_at[band], doc_at[band])]
         slots: dict = {}
+        words: set = set()
         wordy = 0
         for i in chain.tolist():
             kinds, theirs, on = _unpacked(item_slots[i])
             ours = _unpacked(doc_slots[i])[1]
             wordy += 2 * int((kinds == PLAIN).sum()) >= len(kinds)
+            words.update(theirs[kinds == PLAIN].tolist())
             for k in np.flatnonzero(kinds).tolist():
                 slots.setdefault((int(item_at[i]) + int(on[k]), int(kinds[k])), (int(kinds[k]), int(theirs[k]), int(ours[k])))
         share = min(1.0, len(chain) / size)
         if share < covered and wordy < LONG_RUN:
             continue
         match = consistent(list(slots.values()))
+        if match == "reparameterised" and width == n and len(words) < ALIGNED_PLAIN:
+            continue
         if match and width < n and not whole:
             plain = int((_unpacked(item_slots[chain[0]])[0] == PLAIN).sum())
             match = match if (width > 1 if match == "verbatim" else plain >= SHORT_PLAIN) else ""
@@ -222,6 +265,18 @@ def judged(item_at: np.ndarray, doc_at: np.ndarray, item_slots: list, doc_slots:
     return best
 
 
+def _runs_of_bytes(texts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about READ_BYTES characters together, one text at least."""
+    start, held = 0, 0
+    for n, t in enumerate(texts):
+        if held > READ_BYTES:
+            yield start, n
+            start, held = n, 0
+        held += len(t or "") + 1
+    if len(texts):
+        yield start, len(texts)
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -238,7 +293,8 @@ def contaminated(
     Benchmark windows are found by hash join; before it a sieve of fixed size drops document windows that
     cannot match, and lets a few others through, which the join drops. Of several alignments of an item in a document
     the best counts. An item shorter than a window is one window of its own width; inside a longer document it
-    counts verbatim from two words on, and with other values where ``SHORT_PLAIN`` of its words are plain. Missing or empty texts match nothing; rows without an id have no part; items that repeat
+    counts verbatim from two words on, and with other values where ``SHORT_PLAIN`` of its words are plain. A longer one
+    counts with other values only where ``ALIGNED_PLAIN`` different plain words stand in the matched windows. Missing or empty texts match nothing; rows without an id have no part; items that repeat
     match each; rows that repeat an id give one result; empty tables give no rows; further columns are ignored."""
     spark = docs.sparkSession
     items = written(item_windows(benchmark, n, item_id, item_text), "items")
@@ -250,30 +306,37 @@ def contaminated(
     shared = spark.sparkContext.broadcast(sieve.view(np.uint64))
     widths = sorted({n} | {r["width"] for r in items.select("width").distinct().collect()})  # n at most
     kind = docs.schema[doc_id].dataType.simpleString()
+    mask = SIEVE_BITS - 1
 
     def sieved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read, sieve = Templates(), shared.value
         for batch in batches:
-            for doc, t in zip(batch["doc_id"], batch["text"]):
+            ids, texts = batch["doc_id"].to_numpy(), batch["text"].to_numpy()
+            for start, stop in _runs_of_bytes(texts):
                 found = []
-                for template, kinds, values, places in readings(read, t):
+                for reading in read(texts[start:stop]).readings():
                     for wide in widths:
-                        if wide > len(template):
-                            break
-                        rolled = windows(template, wide)
-                        place = (rolled.view(np.int64) % SIEVE_BITS).astype(np.int64)
-                        at = np.flatnonzero((sieve[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1))
-                        whole = int(len(template) == wide)
-                        found += [(int(places[i]), int(rolled[i].view(np.int64)), _packed(kinds, values, places, i, wide), whole) for i in at.tolist()]
+                        at, rolled = reading.windows(wide)
+                        place = (rolled & np.uint64(mask)).astype(np.int64)
+                        hit = np.flatnonzero((sieve[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1))
+                        for i, h in zip(at[hit].tolist(), rolled[hit].view(np.int64).tolist()):
+                            owner = reading.owner[i]
+                            whole = int(reading.sizes[owner] == wide)
+                            # One word inside a longer text says nothing.
+                            if wide > 1 or whole:
+                                found.append((ids[start + owner], int(reading.places[i]), h, reading.packed(i, wide), whole))
                 if found:
-                    found = list(dict.fromkeys(found))
-                    yield pd.DataFrame({"doc_id": doc, "doc_at": [f[0] for f in found], "window": [f[1] for f in found], "doc_slots": [f[2] for f in found], "whole": [f[3] for f in found]})
+                    yield pd.DataFrame(found, columns=["doc_id", "doc_at", "window", "doc_slots", "whole"])
 
     rows = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null"))
     possible = rows.mapInPandas(sieved, f"doc_id {kind}, doc_at long, window long, doc_slots binary, whole int")
+    # Hits of a pair are dealt by diagonal: a band of neighbouring diagonals lies within two ranges of its own width.
+    width = F.floor(F.col("item_windows") / 8) + 4
+    diagonal = F.floor((F.col("doc_at") - F.col("item_at")) / width)
     matched = (
         possible.join(items, "window")
-        .groupBy("doc_id", "item_id")
+        .withColumn("band", F.explode(F.array(diagonal, diagonal - 1)))
+        .groupBy("doc_id", "item_id", "band")
         .agg(
             F.countDistinct("item_at").alias("places"),
             F.first("item_windows").alias("size"),
@@ -295,10 +358,14 @@ def contaminated(
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "covered", "match"])
 
     laid = matched.select("doc_id", "item_id", "size", "width", "whole", *[F.col(f"hits.{c}").alias(c) for c in columns])
-    return laid.mapInPandas(aligned, f"doc_id {kind}, item_id {benchmark.schema[item_id].dataType.simpleString()}, covered double, match string")
+    per_band = laid.mapInPandas(aligned, f"doc_id {kind}, item_id {benchmark.schema[item_id].dataType.simpleString()}, covered double, match string")
+    best = per_band.groupBy("doc_id", "item_id").agg(F.max(F.struct("covered", "match")).alias("best"))
+    return best.select("doc_id", "item_id", "best.covered", "best.match")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The documents that hold no benchmark item, whole and with all their columns; rows without an id are kept."""
-    leaks = contaminated(docs, benchmark, doc_id=doc_id, text=text, **settings).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(written(leaks, "leaks"), docs[doc_id] == F.col("_leak"), "left_anti")
+    leaks = contaminated(docs, benchmark, doc_id=doc_id, text=text, **settings).select("doc_id").distinct()
+    rows = docs.select(F.col(doc_id).alias("id"), F.struct("*").alias("row"))
+    found = written(leaks.withColumnRenamed("doc_id", "leak"), "leaks")
+    return rows.join(found, F.col("id") == F.col("leak"), "left_anti").select("row.*")

@@ -381,5 +381,6 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "d
 
     Rows without an id, and rows without words, are kept; of rows that repeat an id all are."""
     groups = ngram_components(docs, n, percent, doc_id, text)
-    later = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_later"))
-    return docs.join(written(later, "later"), docs[doc_id].cast("long") == F.col("_later"), "left_anti")
+    later = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("later"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.struct("*").alias("row"))
+    return rows.join(written(later, "later"), F.col("id") == F.col("later"), "left_anti").select("row.*")

@@ -251,9 +251,17 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars:
     Only documents with spans are touched: they meet their spans by id and text."""
     found = find(docs, doc_id=doc_id, text=text, **settings).where(F.size("spans") > 0).select("row_key", "spans").distinct()
     key = F.md5(F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.md5(whole_text(text))))
-    with_spans = written(found, "spans").withColumnRenamed("row_key", "_key").withColumnRenamed("spans", "_spans")
-    joined = docs.withColumn("_row", key).join(with_spans, F.col("_row") == F.col("_key"), "left")
-    clean = F.when(F.col("_spans").isNotNull(), redacted(F.col(text), F.col("_spans"))).otherwise(F.col(text))
-    out = joined.withColumn("_clean", clean)
-    changed = {text: F.col("_clean")} | ({n_chars: F.when(F.col("_spans").isNotNull(), F.length("_clean")).otherwise(F.col(n_chars)).cast(docs.schema[n_chars].dataType)} if n_chars in docs.columns else {})
-    return out.withColumns(changed).select(*docs.columns)
+    with_spans = written(found, "spans")
+    rows = docs.select(key.alias("key"), F.col(text).alias("text"), F.struct("*").alias("row"))
+    joined = rows.join(with_spans, F.col("key") == F.col("row_key"), "left")
+    touched = F.col("spans").isNotNull()
+    cleaned = joined.withColumn("clean", F.when(touched, redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
+
+    def column(name: str) -> Column:
+        if name == text:
+            return F.col("clean").alias(name)
+        if name == n_chars:
+            return F.when(touched, F.length("clean")).otherwise(F.col(f"row.{name}")).cast(docs.schema[name].dataType).alias(name)
+        return F.col(f"row.`{name}`").alias(name)
+
+    return cleaned.select(*[column(c) for c in docs.columns])

@@ -9,7 +9,7 @@ def frame(spark):
         from pyspark.sql import functions as F
 
         df = spark.createDataFrame(rows, schema)
-        extra = {c: F.lit("x") for c in ("size", "key", "n", "words", "label", "spans", "range", "window", "seed") if c not in df.columns}
+        extra = {c: F.lit("x") for c in ("size", "key", "n", "words", "label", "spans", "range", "window", "seed", "_row", "_clean", "_key", "_spans", "_leak", "_later", "row", "id", "clean", "leak", "later", "kind", "band") if c not in df.columns}
         return df.withColumns(extra)
 
     return make

@@ -79,3 +79,47 @@ def test_empty(frame):
     items, docs = frame([(1, QUESTION)], "item_id int, text string"), frame([(1, QUESTION)])
     assert contaminated(docs.limit(0), items).collect() == []
     assert contaminated(docs, items.limit(0)).collect() == []
+
+
+def test_lists_of_numbers_are_no_copies_of_each_other(frame):
+    import time
+
+    rng = random.Random(8)
+    numbers = lambda n: " ".join(str(rng.randint(1, 9999)) for _ in range(n))
+    listed = numbers(60)
+    items = [(1, listed), (2, "1 km 2 km 3 km 4 km 5 km"), (3, "take 3 and 4 and 5 and 6 and 7"), (4, "solve 3 x + 4 y = 10 and then 2 x - y = 5 for x and y")]
+    docs = [
+        (1, numbers(6000)), (2, "5 kg 6 kg 7 kg 8 kg 9 kg"), (3, "so " + listed + " it is"), (4, "give 8 and 9 and 1 and 2 and 4"),
+        (5, "solve 7 x + 9 y = 31 and then 5 x - y = 8 for x and y"), (6, "km kg " * 3000), (7, "1 km 2 km 3 km 4 km 5 km"),
+    ]
+    begun = time.time()
+    found = {(r["doc_id"], r["item_id"]): r["match"] for r in contaminated(frame(docs), frame(items, "item_id int, text string")).collect()}
+    assert found == {(3, 1): "verbatim", (5, 4): "reparameterised", (7, 2): "verbatim"}
+    assert time.time() - begun < 60
+
+
+def test_repeated_phrases_are_dealt_by_diagonal(frame):
+    phrase = "the red boats carry ripe melons over a calm river "
+    docs = [(1, phrase * 700), (2, "none of it")]
+    found = contaminated(frame(docs), frame([(1, phrase * 6)], "item_id int, text string")).collect()
+    assert [(r["doc_id"], r["match"], r["covered"]) for r in found] == [(1, "verbatim", 1.0)]
+
+
+def test_texts_read_together_are_read_as_each_alone():
+    import numpy as np
+
+    from claimlens.llm.decontaminate import Templates
+
+    texts = [QUESTION, None, "", "One", "Tom Lee goes. Ann Lee comes to 5 km", "Lee", " ".join(WORDS), "a\nB c. D e f g h", "é 5kg 7 % Zoo"] * 3
+    read = Templates()
+    for wide in (1, 3, 6):
+        alone, together = set(), set()
+        for n, t in enumerate(texts):
+            for reading in read([t]).readings():
+                at, rolled = reading.windows(wide)
+                alone |= {(n, int(reading.places[i]), int(h), reading.packed(i, wide), int(reading.sizes[0])) for i, h in zip(at, rolled)}
+        for reading in read(texts).readings():
+            at, rolled = reading.windows(wide)
+            together |= {(int(reading.owner[i]), int(reading.places[i]), int(h), reading.packed(i, wide), int(reading.sizes[reading.owner[i]])) for i, h in zip(at, rolled)}
+        assert alone == together
+    assert read([None, ""]).kinds.dtype == np.int8
