@@ -260,7 +260,61 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows, rows.where(F.col("id") % 50 == 0))
 
 
-@query("op13_repair_turns")
+TURNS_SQL = r"""
+WITH RECURSIVE crc AS (SELECT [list_reduce(range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), n) FOR n IN range(256)] AS tab),
+keyed AS (SELECT *, concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')) AS key FROM conversations),
+dealt AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce([ascii(key[i]) FOR i IN range(1, len(key) + 1)], lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) % 20 AS code
+  FROM keyed, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, copy,
+         CASE WHEN code = 1 THEN '' WHEN code = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) AS copy FROM dealt WHERE code <> 0)),
+solid AS (SELECT *, regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS solid, role[1] AS initial FROM damaged),
+marked AS (
+  SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n, lag(initial) OVER w AS before,
+         CASE WHEN solid = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 THEN 2
+              WHEN solid[-1] NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault
+  FROM solid WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+steps AS (
+  SELECT conv_id, n AS i, {'c': 0, 'a': ''} AS s, {'c': 10, 'a': 'II'} AS m, {'c': 0, 'a': ''} AS u, {'c': 5, 'a': 'I'} AS a FROM marked GROUP BY ALL
+  UNION ALL
+  SELECT conv_id, i - 1, least(bs, {'c': 5 + ia.c, 'a': 'I' || ia.a}), least(bm, {'c': 5 + ia.c, 'a': 'I' || ia.a}), least(bu, {'c': 5 + ba.c, 'a': 'I' || ba.a}), ia
+  FROM (SELECT *, least(ba, {'c': 5 + bu.c, 'a': 'I' || bu.a}) AS ia
+        FROM (SELECT x.conv_id, x.i,
+                     least({'c': 2 + s.c, 'a': 'D' || s.a}, {'c': gone + to_u + a.c, 'a': ku || a.a}, {'c': gone + CASE WHEN initial = 's' THEN 0 ELSE 99999 END + m.c, 'a': 'K' || m.a}) AS bs,
+                     least({'c': 2 + m.c, 'a': 'D' || m.a}, {'c': gone + to_u + a.c, 'a': ku || a.a}) AS bm,
+                     least({'c': 2 + u.c, 'a': 'D' || u.a}, {'c': gone + to_u + a.c, 'a': ku || a.a}) AS bu,
+                     least({'c': 2 + a.c, 'a': 'D' || a.a}, {'c': gone + to_a + u.c, 'a': ka || u.a}) AS ba
+              FROM steps x JOIN (
+                SELECT conv_id, i, initial, CASE fault WHEN 0 THEN 0 WHEN 3 THEN 5 ELSE 99999 END AS gone,
+                       (initial <> 'u')::INT AS to_u, (initial <> 'a')::INT AS to_a,
+                       CASE WHEN initial = 'u' THEN 'K' ELSE 'R' END AS ku, CASE WHEN initial = 'a' THEN 'K' ELSE 'R' END AS ka FROM marked) r
+                ON r.conv_id IS NOT DISTINCT FROM x.conv_id AND r.i = x.i))),
+cheapest AS (SELECT conv_id, s.c AS cost, s.a AS audit FROM steps WHERE i = 0),
+edits AS (
+  SELECT conv_id, p, audit[p] AS edit, len(replace(audit[:p], 'I', '')) AS i FROM (SELECT *, unnest(range(1, len(audit) + 1)) AS p FROM cheapest)),
+placed AS (
+  SELECT e.conv_id, p, edit, role, CASE WHEN edit = 'I' THEN '' ELSE text END AS text, edit <> 'D' AND NOT (edit = 'K' AND initial = 's') AS counts
+  FROM edits e LEFT JOIN marked r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.i = e.i),
+lines AS (
+  SELECT conv_id, p, CASE WHEN edit = 'K' THEN role WHEN count(*) FILTER (counts) OVER (PARTITION BY conv_id ORDER BY p) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text AS line
+  FROM placed QUALIFY edit <> 'D'),
+repaired AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY p)) AS digest FROM lines GROUP BY conv_id),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count_if(fault = 1) AS blank, count_if(fault = 2) AS duplicate,
+         count_if(fault = 3) AS truncated, count_if(i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN cheapest c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+@query("op13_repair_turns", TURNS_SQL)
 def op13_repair_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation damaged by the contract's rule, its faults, its cheapest repair and that repair's digest."""
     return repaired(table(spark, sf_dir, "conversations"))
