@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from claimlens.functions.documents import claim_chunks, with_document
+from claimlens.functions.text import concat_codes
 from claimlens.plans.tables import CLAIM_FIELDS, chunk_batch
 from claimlens.plans.views import claims_of, table
 from claimlens.session import scratch_path, shared_dir
@@ -19,9 +20,22 @@ def test_csv_is_all_strings_with_normalised_names(spark, tmp_path):
     assert readers.normalise_columns(spark.createDataFrame([], "`FC 1` string")).columns == ["FC_1"]
 
 
-def test_fixed_field_lists():
-    assert len(readers.RAW_CLAIM_COLUMNS) == 19
-    assert readers.DOCUMENT_FIELDS[readers.LABEL_POSITION] == "FAILURE_MODE_BUCKET"
+def test_raw_file_to_documents_and_chunks(spark, tmp_path):
+    """The chain from a raw file: all columns as strings, codes joined, document with its label in place, chunks without it."""
+    path, raw = str(tmp_path / "raw.csv"), readers.RAW_CLAIM_COLUMNS
+    values = {"CLAIM_ID_SEQ": "17", "FC 1": "a1", "FC 3": "c3", "FAILCODE": "f", "Failure Mode Bucket": "Leak", "DEALER": "d"}
+    sinks.write_csv(spark.createDataFrame([tuple(values.get(c) for c in raw)], ", ".join(f"`{c}` string" for c in raw)), path)
+    rows = readers.read_claims_csv(spark, path, raw)
+    assert rows.columns == [readers.normalise_name(c) for c in raw]
+    ready = rows.withColumn("FC", concat_codes([f"FC_{n}" for n in range(1, 6)])).withColumn("CLEANED_CORRECTION", F.lit("Replaced seal."))
+    typed = ready.select(F.col("CLAIM_ID_SEQ").cast("long"), *readers.DOCUMENT_FIELDS)
+    nested = with_document(typed, readers.DOCUMENT_FIELDS)
+    assert [f.name for f in nested.schema] == readers.CLAIM_SCHEMA.names
+    assert nested.schema["DOCUMENT"].dataType.names == readers.CLAIM_SCHEMA["DOCUMENT"].dataType.names
+    chunks = {r["chunk_pos"]: r["chunk"] for r in claim_chunks(nested, readers.DOCUMENT_FIELDS, ["CLAIM_ID_SEQ"]).collect()}
+    assert chunks[3] == "a1,c3" and chunks[readers.LABEL_POSITION] == "Leak" and chunks[8] == "Replaced seal." and len(chunks) == 9
+    blind = [f for n, f in enumerate(readers.DOCUMENT_FIELDS) if n != readers.LABEL_POSITION]
+    assert "Leak" not in [r["chunk"] for r in claim_chunks(with_document(typed, blind), blind, ["CLAIM_ID_SEQ"]).collect()]
 
 
 def test_table_is_created_once(spark):

@@ -1,7 +1,7 @@
+import random
+
 import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from claimlens.functions import cleanse, documents, text
@@ -28,17 +28,28 @@ def test_null_text_has_no_chunks(spark):
     assert documents.chunk_sentences(df, "t", ["id"]).count() == 0
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(1, 12), max_size=40), st.integers(12, 30), st.integers(0, 11))
-def test_packed_runs(lengths, size, overlap):
-    runs = documents.pack_lengths(np.array(lengths, dtype="int64"), size, overlap)
-    covered = [i for r in runs for i in range(r["first"], r["last"] + 1)]
-    assert sorted(set(covered)) == list(range(len(lengths)))
-    for r in runs:
-        assert sum(lengths[r["first"] : r["last"] + 1]) <= size
-    for a, b in zip(runs, runs[1:]):
-        assert b["first"] > a["first"] and b["last"] > a["last"]
-        assert sum(lengths[b["first"] : a["last"] + 1]) <= overlap
+def greedy(lengths, size, overlap):
+    """The same runs by plain search."""
+    runs, first = [], 0
+    while first < len(lengths):
+        end = max(e for e in range(first + 1, len(lengths) + 1) if sum(lengths[first:e]) <= size)
+        runs.append((first, end - 1))
+        if end == len(lengths):
+            break
+        first = min(f for f in range(first + 1, end + 1) if sum(lengths[f:end]) <= overlap and sum(lengths[f : end + 1]) <= size)
+    return runs
+
+
+@pytest.mark.parametrize("size,overlap", [(12, 0), (12, 11), (20, 5), (30, 11)])
+def test_runs_of_sentences(spark, size, overlap):
+    rng = random.Random(size * 100 + overlap)
+    cases = [[]] + [[rng.randint(1, 12) for _ in range(rng.randint(0, 40))] for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(cases)), "id long, n array<int>")
+    got = {r["id"]: [tuple(x) for x in r["runs"]] for r in df.select("id", documents.sentence_runs(F.col("n"), size, overlap).alias("runs")).collect()}
+    for i, lengths in enumerate(cases):
+        assert got[i] == greedy(lengths, size, overlap)
+        for a, b in zip(got[i], got[i][1:]):
+            assert b[0] > a[0] and b[1] > a[1] and sum(lengths[b[0] : a[1] + 1]) <= overlap
 
 
 def test_sentences_keep_every_token(spark):
