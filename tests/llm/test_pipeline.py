@@ -10,6 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2] / "tools"))
 import check_queries  # noqa: E402
 import corpus_pipeline  # noqa: E402
 import pytest  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 from claimlens.llm import quality  # noqa: E402
 from claimlens.llm.queries import ORACLES, QUERIES  # noqa: E402
@@ -80,3 +81,43 @@ def test_against_sql(spark, sf, key):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     state, _, _, note = check_queries.compare(spark, connection, sf, key, QUERIES[key], ORACLES[key])
     assert state == "ok", note
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+QUESTION = "Which of the seven bridges over the wide river was closed for repair in the dry summer of that year?"
+PROSE = "the miller walks to town each morning and brings a sack of flour to the baker who lives behind the old church"
+ODD = [
+    (1, PROSE, "en", "a", 110), (2, PROSE, "en", "a", 110), (2, PROSE, "en", "a", 110), (3, None, None, None, None), (4, "", "en", "b", 0),
+    (5, " \n\t", "en", None, 3), (None, PROSE, "en", "a", 110), (None, None, None, None, None), (6, "before " + QUESTION + " after", "en", "b", 120),
+    (7, "write to me at some.one@mail.example.org or call " + " ".join(f"w{i}" for i in range(40)), "en", None, 1),
+    (8, " ".join(f"word{i}" for i in range(30_000)), "en", "b", None), (9, "one", None, "c", 3),
+]
+
+
+def odd_tables(spark, folder, rows):
+    extra = {c: F.lit("x") for c in ("row", "id", "key", "spans", "size", "label", "_leak", "_later", "_spans", "taken")}
+    spark.createDataFrame(rows, SCHEMA).withColumns(extra).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, QUESTION), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_odd_rows_pass_every_stage(spark, tmp_path):
+    folder = odd_tables(spark, tmp_path / "odd", ODD)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    seen = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, folder), name)
+        seen.append(sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str))
+        assert tuple(docs.columns)[:5] == corpus_pipeline.COLUMNS if name != "mixture" else "taken" in docs.columns
+    given = sorted(((r[0], r[1]) for r in ODD), key=str)
+    assert seen[0] == given  # no label can be used
+    assert seen[1] == [x for x in given if x[0] != 2]
+    assert seen[2] == [x for x in seen[1] if x[0] != 6]
+    assert [x[0] for x in seen[3]] == [x[0] for x in seen[2]] and "some.one" not in str(seen[3]) and (3, None) in seen[3]
+    assert {x[0] for x in seen[4]} == {1, None, 7, 8, 9} and all((x[1] or "").split() for x in seen[4])
+    assert sorted(map(str, corpus_pipeline.run(spark, folder).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_an_empty_table(spark, tmp_path):
+    assert corpus_pipeline.run(spark, odd_tables(spark, tmp_path / "none", [])).collect() == []
