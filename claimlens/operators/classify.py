@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -13,11 +15,13 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.functions.text import tokens
+from claimlens.functions.text import BLANK_RUN
 from claimlens.operators.search import SCORE_PLACES, list_matrix, topk
 from claimlens.session import small_side, written
 
 TERM_BUCKETS = 1 << 14
+# Terms per task whose bucket is kept; more are hashed again.
+TERMS_KEPT = 1 << 18
 # A discriminant's classes and dimensions that may meet on the driver, as numbers of its matrices.
 DRIVER_NUMBERS = 16_000_000
 
@@ -38,17 +42,45 @@ def best_of(scores: Column) -> Column:
 # --- text -------------------------------------------------------------------------------
 
 
-def term_bucket(term: Column, buckets: int = TERM_BUCKETS) -> Column:
-    """A term's bucket: the first 8 hex digits of its md5."""
-    return (F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long") % buckets).cast("int")
+def _histograms(buckets: int):
+    """Task function: (key, lower-cased text) to one row per key and bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        blank = re.compile(BLANK_RUN)
+
+        def bucket(term: str) -> int:
+            found = int(md5(term.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % buckets
+            if len(known) < TERMS_KEPT:
+                known[term] = found
+            return found
+
+        for batch in batches:
+            rows, places, counts, there = [], [], [], []
+            for n, text in enumerate(batch.column(1).to_pylist()):
+                terms = [c if (c := known.get(w)) is not None else bucket(w) for w in blank.split(text or "") if w]
+                place, count = np.unique(np.array(terms or [0], np.int32), return_counts=True)
+                rows.append(np.full(len(place), n))
+                places.append(place)
+                counts.append(count)
+                there.append(np.full(len(place), not terms))
+            if rows:
+                held = pa.array(np.concatenate(places), pa.int32(), mask=np.concatenate(there))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(np.concatenate(rows))), held, pa.array(np.concatenate(counts), pa.int64())],
+                    names=[batch.schema.field(0).name, "bucket", "n"],
+                )
+
+    return run
 
 
 def term_counts(rows: DataFrame, key: str, text: str, buckets: int = TERM_BUCKETS) -> DataFrame:
     """(key, bucket, n) of the lower-cased terms of whole texts; ``key`` is unique. Write it once, then train and predict from it.
 
-    A text without terms has one row without a bucket. Tasks fold a text's terms before the shuffle."""
-    terms = rows.select(key, F.explode_outer(tokens(F.lower(F.col(text)))).alias("_term"))
-    return terms.select(key, term_bucket(F.col("_term"), buckets).alias("bucket")).groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    A term's bucket comes from the first 8 hex digits of its md5. A text without terms has one row without a bucket. A text's terms
+    are counted where it lies, without a shuffle."""
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, F.lower(F.col(text)).alias("text")).mapInArrow(_histograms(buckets), f"`{key}` {kind}, bucket int, n long")
 
 
 @dataclass
