@@ -126,21 +126,32 @@ class RunningBest:
     def __init__(self, queries: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.queries, self.k, self.seed, self.floor, self.kept = queries, k, floor, floor, None
         self.step = max(1, SCORES_AT_ONCE // max(1, len(queries)))
+        self.waiting: list[tuple] = []
+        self.held = 0
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         by_id = np.argsort(ids, kind="stable")
         for start in range(0, len(by_id), self.step):
             part = by_id[start : start + self.step]
             rows, columns, values = best_pairs(self.queries, vectors[part], self.k, self.floor)
-            found = ids[part][columns]
-            if self.kept is not None:
-                rows, found, values = (np.concatenate(pair) for pair in zip(self.kept, (rows, found, values)))
-            self.kept = lowest_first(rows, found, values, self.k)
+            self.waiting.append((rows, ids[part][columns], values))
+            self.held += len(rows)
+            # Merged once as many wait as may be kept; until then the floors are only lower than they could be.
+            if self.kept is None or self.held >= self.k * len(self.queries):
+                self.merge()
+
+    def merge(self) -> bool:
+        """Take in what waits; whether there is anything."""
+        if self.waiting:
+            parts = self.waiting if self.kept is None else [self.kept, *self.waiting]
+            self.kept = lowest_first(*(np.concatenate(p) for p in zip(*parts)), self.k)
+            self.waiting, self.held = [], 0
             # A query that has k hits takes the last one's score as its floor.
             floor = np.full(len(self.queries), -np.inf) if self.seed is None else self.seed.copy()
             full = np.bincount(self.kept[0], minlength=len(self.queries)) == self.k
             floor[full] = self.kept[2][np.searchsorted(self.kept[0], np.flatnonzero(full)) + self.k - 1]
             self.floor = floor
+        return self.kept is not None
 
     def batch(self, query_ids: pa.Array, kind: pa.DataType) -> pa.RecordBatch:
         """(query_id, claim_id, score) of what is kept."""
@@ -162,7 +173,7 @@ def scan_scorer(shared, k: int):
             if batch.num_rows:
                 kind = batch.schema.field(0).type
                 best.add(batch.column(0).to_numpy(zero_copy_only=False), list_matrix(batch.column(1)))
-        if best.kept is not None:
+        if best.merge():
             yield best.batch(query_ids, kind)
 
     return scan
@@ -183,7 +194,7 @@ def cell_scorer(k: int):
             for start, stop in zip(np.r_[0, edges].tolist(), np.r_[edges, len(cells)].tolist()):
                 part = batch.slice(start, stop - start)
                 if cells[start] != now:
-                    if best is not None and best.kept is not None:
+                    if best is not None and best.merge():
                         yield best.batch(ids, part.schema.field(3).type)
                     now, waiting, best = cells[start], [], None
                 if kinds[start] == 0:
@@ -194,7 +205,7 @@ def cell_scorer(k: int):
                     ids, best, waiting = asked.column("query_id").combine_chunks(), RunningBest(arrow_matrix(asked, "vector"), k), []
                 if best is not None:
                     best.add(part.column(3).to_numpy(zero_copy_only=False), list_matrix(part.column(4)))
-        if best is not None and best.kept is not None:
+        if best is not None and best.merge():
             yield best.batch(ids, batch.schema.field(3).type)
 
     return score
