@@ -1,9 +1,10 @@
 """Personal data: base patterns with exact places, and bootstrapped contextual extraction of further identifiers.
 
-Base entities are seeds. The words in front of seeds are lexical patterns; a pattern is as good as the share
-of its uses, over the whole corpus, that precede a known entity, and a value as good as the patterns
-that precede it. A few rounds over the graph of patterns and values let good patterns find
-unseen identifiers. Built from column expressions and joins alone.
+Base entities are seeds. One to three words in front of a seed, alone or with the word behind it, are lexical patterns.
+A pattern is as good as the share of its uses, over the whole corpus, that hold a known value; a value is as good as the
+patterns that hold it and, if it looks like a plain word, the share of its own uses that lie in them. Every round scores
+the patterns of the known values, takes the values of the good ones, and hands these to the next round.
+Built from column expressions and joins alone.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.llm.common import whole_text
-from claimlens.session import written
+from claimlens.session import small_side, written
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "found"
@@ -26,16 +27,16 @@ PATTERNS = {
 }
 # What a text must hold before its pattern is tried.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-# An identifier-like run holds a digit; a cue is the run in front of it, up to = or : where there is one.
-_RUN = r"[^\x20\x09-\x0D=:]"
-CANDIDATE = r"(?<![^\x20\x09-\x0D=:])[^\x20\x09-\x0D=:0-9]*+[0-9][^\x20\x09-\x0D=:]*+"
-CUE = rf"(?:(?<!{_RUN}){_RUN}++[=:]?|[=:])"
-CUE_LENGTH = 64
+# A run ends behind = or :. A known entity is one run, begun by MARK, its blanks and parting signs replaced.
+RUN = r"[^\x20\x09-\x0D=:]++[=:]?|[=:]"
+MARK, FILLED, PARTING = "\x01", "_", " =:"
 EDGES = "\"'`.,;!?()[]{}<>"
 # Defaults of the bootstrap.
 ROUNDS = 3
 LEAST_SEEDS = 3
 CONFIDENT = 0.5
+# The rounds end where no value's score rises by more.
+SETTLED = 0.01
 LEAST_CHARS = 5
 
 
@@ -45,9 +46,9 @@ def bound(value: Column, use) -> Column:
 
 
 def located(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value, cue>> of a pattern's leftmost matches, in code points.
+    """array<struct<start, end, value>> of a pattern's leftmost matches, in code points.
 
-    Matches and the pieces between them alternate, so lengths add up to places. The cue is the last run before a match."""
+    Matches and the pieces between them alternate, so lengths add up to places."""
     values = F.regexp_extract_all(text, F.lit(f"(?:{pattern})"), F.lit(0))
     gaps = F.split(text, f"(?:{pattern})", -1)
 
@@ -58,24 +59,12 @@ def located(text: Column, pattern: str) -> Column:
     def spans(parts: Column) -> Column:
         return bound(
             starts(parts),
-            lambda at: F.transform(
-                parts["values"],
-                lambda value, i: F.struct(
-                    F.get(at, i).alias("start"),
-                    (F.get(at, i) + F.length(value)).alias("end"),
-                    value.alias("value"),
-                    F.lower(F.regexp_extract(F.substring(F.get(parts["gaps"], i), -CUE_LENGTH, CUE_LENGTH), rf"({CUE})[\x20\x09-\x0D{_quoted(EDGES)}]*$", 1)).alias("cue"),
-                ),
-            ),
+            lambda at: F.transform(parts["values"], lambda value, i: F.struct(F.get(at, i).alias("start"), (F.get(at, i) + F.length(value)).alias("end"), value.alias("value"))),
         )
 
     return bound(F.struct(values.alias("values"), gaps.alias("gaps")), spans)
 
 
-def _quoted(signs: str) -> str:
-    return "".join("\\" + c for c in signs)
-
-
 def luhn(digits: Column) -> Column:
     """Whether a string of digits has a right check digit."""
     each = F.transform(
@@ -107,7 +96,7 @@ def _is(kind: str):
 
 def base_spans(text: str) -> dict[str, Column]:
     """Per kind the array of its spans in a text column that holds no null."""
-    none = F.array().cast("array<struct<start:int,end:int,value:string,cue:string>>")
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     found = {}
     for kind, pattern in PATTERNS.items():
         spans = F.filter(located(F.col(text), pattern), _test(kind))
@@ -118,13 +107,26 @@ def base_spans(text: str) -> dict[str, Column]:
     return found
 
 
-def bare(value: Column) -> Column:
-    """A value without quotes and stops around it, lower-cased."""
-    return F.lower(F.regexp_replace(value, rf"^[{_quoted(EDGES)}]+|[{_quoted(EDGES)}]+$", ""))
+def marked(text: Column, spans: Column) -> Column:
+    """The text with every base span, or several that overlap, made one run that begins with MARK; places stay as they are."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+
+    def filled(value: Column) -> Column:
+        return F.concat(F.lit(MARK), F.translate(F.substring(value, 2, F.length(value)), PARTING, FILLED * len(PARTING)))
+
+    def joined(acc: Column, s: Column) -> Column:
+        before = F.substring(text, acc["end"] + 1, s["start"] - acc["end"])
+        value = filled(F.substring(text, s["start"] + 1, s["end"] - s["start"]))
+        rest = F.translate(F.substring(text, acc["end"] + 1, s["end"] - acc["end"]), PARTING, FILLED * len(PARTING))
+        more = F.when(s["start"] >= acc["end"], F.concat(before, value)).when(s["end"] > acc["end"], rest).otherwise("")
+        return F.struct(F.concat(acc["text"], more).alias("text"), F.greatest(acc["end"], s["end"]).alias("end"))
+
+    begun = F.struct(F.lit("").alias("text"), F.lit(0).alias("end"))
+    return F.aggregate(ordered, begun, joined, lambda acc: F.concat(acc["text"], F.substring(text, acc["end"] + 1, F.length(text))))
 
 
 def examined(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Per row: doc_id, row_key (of id and text), base spans of each kind, and identifier-like candidates beside them."""
+    """Per row: doc_id, row_key (of id and text), base spans of each kind, and the text with its base spans marked."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
     keyed = rows.withColumns(
         {
@@ -133,63 +135,111 @@ def examined(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         }
     )
     found = keyed.withColumns(base_spans("text"))
-    taken = F.concat(*[F.col(k) for k in KINDS])
-    # The candidate proper is what is left of the run without quotes and stops around it.
-    trimmed = F.transform(
-        located(F.col("text"), CANDIDATE),
-        lambda s: F.struct(
-            (s["start"] + F.length(s["value"]) - F.length(F.regexp_replace(s["value"], rf"^[{_quoted(EDGES)}]+", ""))).alias("start"),
-            (s["end"] - F.length(s["value"]) + F.length(F.regexp_replace(s["value"], rf"[{_quoted(EDGES)}]+$", ""))).alias("end"),
-            bare(s["value"]).alias("value"),
-            s["cue"].alias("cue"),
-        ),
-    )
-    free = bound(
-        taken,
-        lambda base: F.filter(
-            trimmed,
-            lambda s: (F.length(s["value"]) >= LEAST_CHARS) & ~F.exists(base, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])),
+    plain = F.translate("text", MARK, "")
+    taken = F.concat(*KINDS)
+    # A text that holds the mark itself teaches nothing and is left as it is.
+    safe = F.when(F.length(plain) < F.length("text"), plain).when(F.size(taken) > 0, marked(F.col("text"), taken)).otherwise(F.col("text"))
+    return found.select("doc_id", "row_key", *KINDS, safe.alias("marked"), (F.length(plain) == F.length("text")).alias("readable"))
+
+
+def contexts(rows: DataFrame, *carry: str) -> DataFrame:
+    """One row a run of the marked texts: ``carry``, i (its number), value (trimmed), and the runs l1, l2, l3 before and r1 behind it."""
+    runs = F.regexp_extract_all(F.lower("marked"), F.lit(f"({RUN})"), F.lit(1))
+    each = bound(
+        runs,
+        lambda r: F.transform(
+            r,
+            lambda w, i: F.struct(
+                i.alias("i"),
+                F.btrim(w, F.lit(EDGES)).alias("value"),
+                F.get(r, i - 1).alias("l1"),
+                F.get(r, i - 2).alias("l2"),
+                F.get(r, i - 3).alias("l3"),
+                F.get(r, i + 1).alias("r1"),
+            ),
         ),
     )
-    none = F.array().cast("array<struct<start:int,end:int,value:string,cue:string>>")
-    return found.withColumn("candidates", F.when(F.col("has_digit"), free).otherwise(none)).drop("text", "has_digit")
+    return rows.where("readable").select(*carry, F.inline(each))
 
 
-def cue_uses(docs: DataFrame, text: str) -> DataFrame:
-    """(cue, uses): how often each run of the corpus stands where a cue can stand."""
-    runs = F.regexp_extract_all(F.lower(whole_text(text)), F.lit(rf"({_RUN}++[=:]?|[=:])"), F.lit(1))
-    return docs.select(F.explode(runs).alias("cue")).groupBy("cue").agg(F.count(F.lit(1)).alias("uses"))
+def patterns() -> Column:
+    """The lexical patterns of a row of ``contexts``: 1 to 3 runs before, or 1 or 2 before and one behind. None holds an entity."""
+    plain = [~F.contains(c, F.lit(MARK)) for c in ("l1", "l2", "l3", "r1")]
 
+    def text(*columns: str) -> Column:
+        return F.concat_ws(" ", *columns)
 
-def confident_cues(rows: DataFrame, uses: DataFrame, rounds: int, least_seeds: int, confident: float) -> DataFrame:
-    """(cue): patterns whose score holds after the bootstrap.
+    made = [
+        F.when(plain[0], F.concat(text("l1"), F.lit(" _"))),
+        F.when(plain[0] & plain[1], F.concat(text("l2", "l1"), F.lit(" _"))),
+        F.when(plain[0] & plain[1] & plain[2], F.concat(text("l3", "l2", "l1"), F.lit(" _"))),
+        F.when(plain[0] & plain[3], F.concat(text("l1"), F.lit(" _ "), F.col("r1"))),
+        F.when(plain[0] & plain[1] & plain[3], F.concat(text("l2", "l1"), F.lit(" _ "), F.col("r1"))),
+    ]
+    return F.array_compact(F.array(*made))
 
-    Edges join a cue with a value, weighted by occurrences. Values of base entities score 1 throughout. In every
-    round a cue's score is the weight of its values' scores over all its uses, given that it precedes at
-    least ``least_seeds`` different known values; another value's score is 1 - product(1 - score) of its confident cues."""
-    none = F.lit(False)
-    seeds = rows.select(F.explode(F.concat(*KINDS)).alias("s")).select(F.col("s.cue").alias("cue"), bare(F.col("s.value")).alias("value"), F.lit(True).alias("seed"))
-    others = rows.select(F.explode("candidates").alias("s")).select("s.cue", "s.value", none.alias("seed"))
-    edges = written(
-        seeds.union(others).where("cue <> ''").groupBy("cue", "value").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")), "edges"
-    )
-    # Only cues of some seed can ever be scored in the first round, and later ones through values found by these.
-    asked = edges.select("cue").distinct().join(uses, "cue", "left")
-    totals = written(asked.select("cue", F.coalesce("uses", F.lit(0)).alias("uses")), "uses")
-    scores = edges.where("seed").select("value").distinct().withColumn("score", F.lit(1.0))
+
+def in_patterns(places: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of ``contexts`` in any of the patterns ``asked`` (pattern, ...), one for each. Runs behind no last word of a pattern go first."""
+    last = asked.select(F.element_at(F.split(F.substring_index("pattern", " _", 1), " "), -1).alias("l1")).distinct()
+    near = places.join(small_side(last), "l1")
+    return near.withColumn("pattern", F.explode(patterns())).join(small_side(asked, computed=True), "pattern")
+
+
+def bootstrapped(rows: DataFrame, rounds: int, least_seeds: int, confident: float) -> DataFrame:
+    """(row_key, i): the runs taken for identifiers.
+
+    Each round: patterns with at least ``least_seeds`` different known values; of these the ones whose uses hold known values,
+    each counted by its score (entities 1), for a share of ``confident`` or more; their values, scored 1 - product(1 - share). A value without a digit counts only
+    as far as its uses lie in these patterns. Values scored ``confident`` or more are known from then on."""
+    spark = rows.sparkSession
+    seeds = rows.where(F.size(F.concat(*KINDS)) > 0)
+    known_places = seed_places = contexts(seeds).where(F.contains("value", F.lit(MARK))).withColumn("score", F.lit(1.0))
+    known = spark.createDataFrame([], "value string, score double")
+    found = spark.createDataFrame([], "row_key string, i int, value string")
     for _ in range(rounds):
-        known = edges.join(scores, "value", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
-        sums = known.groupBy("cue").agg(
-            F.sum(F.col("n") * F.col("score")).alias("good"),
-            F.sum("n").alias("seen"),
-            F.sum(F.when(F.col("score") >= confident, 1).otherwise(0)).alias("support"),
-        )
-        rated = sums.join(totals, "cue").select("cue", "support", (F.col("good") / F.greatest("uses", "seen")).alias("rate"))
-        cues = written(rated.where((F.col("support") >= least_seeds) & (F.col("rate") >= confident)).select("cue", F.least("rate", F.lit(0.999)).alias("rate")), "cues")
-        scores = written(
-            edges.join(cues, "cue").groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("rate"))))).alias("score")), "values"
+        offered = known_places.withColumn("pattern", F.explode(patterns())).groupBy("pattern", "value").agg(F.sum("score").alias("n"))
+        induced = offered.groupBy("pattern").agg(F.sum("n").alias("good"), F.count(F.lit(1)).alias("support")).where(F.col("support") >= least_seeds)
+        asked = written(induced.select("pattern", "good"), "patterns")
+        uses = in_patterns(contexts(rows), asked).groupBy("pattern", "good").agg(F.count(F.lit(1)).alias("uses"))
+        rated = uses.select("pattern", F.least(F.col("good") / F.col("uses"), F.lit(0.999)).alias("rate")).where(F.col("rate") >= confident)
+        good = written(rated, "confident")
+        # A value of several patterns at one place has the best of them there.
+        held = in_patterns(contexts(rows, "row_key"), good).where(~F.contains("value", F.lit(MARK)) & (F.length("value") >= LEAST_CHARS) & ~F.col("value").rlike("[=:]$"))
+        places = written(held.groupBy("row_key", "i", "value").agg(F.max("rate").alias("rate")), "places")
+        scores = places.groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("rate"))))).alias("score"), F.count(F.lit(1)).alias("inside"))
+        listed = written(scores, "values")
+        seen = written(contexts(rows).join(small_side(listed.select("value"), computed=True), "value"), "seen")
+        totals = seen.groupBy("value").agg(F.count(F.lit(1)).alias("uses"))
+        share = F.when(F.col("value").rlike("[0-9]"), 1.0).otherwise(F.col("inside") / F.col("uses"))
+        now = written(listed.join(totals, "value").where(F.col("score") * share >= confident).select("value", (F.col("score") * share).alias("score")), "known")
+        found = written(found.union(places.join(now.select("value"), "value").select("row_key", "i", "value")).distinct(), "found")
+        better = now.join(known.withColumnRenamed("score", "before"), "value", "left").where(F.col("score") > F.coalesce("before", F.lit(0.0)) + SETTLED)
+        if better.isEmpty():
+            break
+        known = written(known.union(now).groupBy("value").agg(F.max("score").alias("score")), "known")
+        known_places = seed_places.unionByName(contexts(rows).join(small_side(known, computed=True), "value"))
+    return found.select("row_key", "i").distinct()
+
+
+def placed(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(row_key, extra): the spans of the found runs, without quotes and stops around them."""
+    text = F.col("marked")
+    gaps, runs = F.split(text, f"(?:{RUN})", -1), F.regexp_extract_all(text, F.lit(f"({RUN})"), F.lit(1))
+    numbers = found.groupBy("row_key").agg(F.sort_array(F.collect_set("i")).alias("numbers"))
+    lengths = rows.join(numbers, "row_key").dropDuplicates(["row_key"]).select("row_key", "numbers", gaps.alias("gaps"), runs.alias("runs"))
+
+    def total(parts: Column, n: Column) -> Column:
+        return F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda t, p: t + F.length(p))
+
+    def span(i: Column) -> Column:
+        run = F.get("runs", i)
+        start = total(F.col("gaps"), i + 1) + total(F.col("runs"), i) + F.length(run) - F.length(F.ltrim(run, F.lit(EDGES)))
+        return F.struct(
+            F.lit(len(KINDS)).alias("order"), F.lit(FOUND).alias("kind"), start.alias("start"), (start + F.length(F.btrim(run, F.lit(EDGES)))).alias("end")
         )
-    return cues.select("cue")
+
+    return lengths.select("row_key", F.transform("numbers", span).alias("extra"))
 
 
 def find(
@@ -202,18 +252,15 @@ def find(
 ) -> DataFrame:
     """Per row: doc_id, row_key, and ``spans``: (order, kind, start, end) of base entities and found identifiers, sorted.
 
-    Base spans stay whatever the bootstrap finds; found spans never overlap them. A missing or empty text has no
+    Base spans stay whatever the bootstrap finds; found spans never overlap them. A found identifier is one run of at
+    least LEAST_CHARS signs. A missing or empty text has no
     spans; rows that repeat have each their spans; an empty table gives no rows; further columns are ignored."""
     rows = written(examined(docs, doc_id, text), "examined")
-    cues = confident_cues(rows, cue_uses(docs, text), rounds, least_seeds, confident)
-    offered = rows.select("row_key", F.explode("candidates").alias("s")).select("row_key", F.col("s.cue").alias("cue"), "s.start", "s.end")
+    extra = placed(rows, bootstrapped(rows, rounds, least_seeds, confident))
 
     def as_spans(kind: str, order: int) -> Column:
         return F.transform(kind, lambda s: F.struct(F.lit(order).alias("order"), F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
-    extra = offered.join(cues, "cue").groupBy("row_key").agg(
-        F.collect_set(F.struct(F.lit(len(KINDS)).alias("order"), F.lit(FOUND).alias("kind"), "start", "end")).alias("extra")
-    )
     base = F.concat(*[as_spans(k, i) for i, k in enumerate(KINDS)])
     joined = rows.join(extra.withColumnRenamed("row_key", "_key"), F.col("row_key") == F.col("_key"), "left")
     none = F.array().cast("array<struct<order:int,kind:string,start:int,end:int>>")

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from claimlens.llm.pii import digest, find, redact, redacted
+from claimlens.llm.pii import digest, examined, find, redact, redacted
 
 # The contract's patterns, as they stand there.
 BASE = {
@@ -67,6 +67,60 @@ def test_contexts_find_unseen_identifiers(frame, cued):
     assert all(found[i].startswith("email:") and "found" not in found[i] for i in range(9))
 
 
+def planted(seed):
+    """Rows with known addresses and unseen identifiers in natural wording, and the identifiers as (doc_id, start, end)."""
+    rng, rows, want = random.Random(seed), [], set()
+    stock = [f"{a}{b}" for a in ("ba", "do", "ki", "lu", "me") for b in ("ran", "sel", "tov", "home", "page", "7th")]
+    frames = ["you can reach me at {} any time", "write to {} or call", "log in as {} on the portal", "my handle is {} there", "at {} on the to or is"]
+    for i in range(400):
+        words, kind = [rng.choice(stock) for _ in range(30)], i % 5
+        if kind == 4:
+            value = rng.choice(stock)
+        elif i % 4 == 0:
+            value = rng.choice([f"user{i}", f"zx-{i}", "qu" + "".join(rng.choice("aeiou") for _ in range(8))])
+        elif i % 40 == 3:
+            value = rng.choice(["bahome", "dopage"])
+        else:
+            value = rng.choice([f"u{i}@host{i % 9}.org", f"10.1.{i % 250}.7", f"+1 555 010 {1000 + i}"])
+        before, after = frames[kind].split("{}")
+        text = " ".join(words[:15]) + " " + before
+        if kind < 4 and i % 4 == 0:
+            want.add((i, len(text), len(text) + len(value)))
+        rows.append((i, text + value + after + " " + " ".join(words[15:])))
+    return rows, want
+
+
+def test_identifiers_in_natural_wording(frame):
+    for seed in (1, 2):
+        rows, want = planted(seed)
+        found = {
+            (r["doc_id"], int(a), int(b))
+            for r in digest(find(frame(rows))).collect()
+            for kind, a, b in (s.split(":") for s in r["spans"].split(",") if s)
+            if kind == "found"
+        }
+        assert len(want) == 80 and len(found & want) >= 0.95 * len(want) and len(found & want) >= 0.95 * len(found)
+
+
+def test_second_round_goes_on_from_found_values(frame):
+    rows = [(i, f"mail to u{i}@a.org now") for i in range(5)]
+    rows += [(10 + i, f"mail to member{i} now") for i in range(4)] + [(20 + i, f"account name member{i} closed") for i in range(4)]
+    rows += [(30, "account name outsider closed")]
+    found = {r["doc_id"]: r["spans"] for r in digest(find(frame(rows))).collect()}
+    assert found[10] == "found:8:15" and found[20] == "found:13:20" and found[30] == "found:13:21"
+    once = {r["doc_id"]: r["spans"] for r in digest(find(frame(rows), rounds=1)).collect()}
+    assert once[10] == "found:8:15" and once[30] == ""
+
+
+def test_marks_keep_places(frame):
+    texts = ["to user@10.20.30.40.example.com.", "x 9.1.2.3.4@h.org y", "é🙂 4111 1111 1111 1111, a@b.c", "\x01 a@b.c", "+4111 1111 1111 1111"]
+    rows = examined(frame(list(enumerate(texts))), "doc_id", "text").collect()
+    for r in rows:
+        assert len(r["marked"]) == len(texts[r["doc_id"]]) or not r["readable"]
+    marks = {r["doc_id"]: r["marked"] for r in rows}
+    assert marks[2] == "é🙂 \x01111_1111_1111_1111, \x01@b.c" and marks[1] == "x \x01.1.2.3.4@h.org y"
+
+
 def test_redaction(frame, cued):
     rows = [(i, t, len(t)) for i, t in cued] + [(30, None, 0), (31, "ip 1.2.3.4 card 4111 1111 1111 1111.", 35), (32, "é🙂 a@b.c x", 10)]
     docs = frame(rows, "doc_id long, text string, n_chars long")
