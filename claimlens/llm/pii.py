@@ -142,11 +142,14 @@ def examined(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return found.select("doc_id", "row_key", *KINDS, safe.alias("marked"), (F.length(plain) == F.length("text")).alias("readable"))
 
 
+def runs_of(text: str = "marked") -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({RUN})"), F.lit(1))
+
+
 def contexts(rows: DataFrame, *carry: str) -> DataFrame:
     """One row a run of the marked texts: ``carry``, i (its number), value (trimmed), and the runs l1, l2, l3 before and r1 behind it."""
-    runs = F.regexp_extract_all(F.lower("marked"), F.lit(f"({RUN})"), F.lit(1))
     each = bound(
-        runs,
+        runs_of(),
         lambda r: F.transform(
             r,
             lambda w, i: F.struct(
@@ -163,27 +166,44 @@ def contexts(rows: DataFrame, *carry: str) -> DataFrame:
 
 
 def patterns() -> Column:
-    """The lexical patterns of a row of ``contexts``: 1 to 3 runs before, or 1 or 2 before and one behind. None holds an entity."""
-    plain = [~F.contains(c, F.lit(MARK)) for c in ("l1", "l2", "l3", "r1")]
+    """The lexical patterns of a row of ``contexts`` as hashes: 1, 2 or 3 runs before; 1 or 2 before and one behind. What lacks a run is NULL."""
+    made = []
+    for kind, runs in enumerate([("l1",), ("l2", "l1"), ("l3", "l2", "l1"), ("l1", "r1"), ("l2", "l1", "r1")]):
+        whole = F.lit(True)
+        for run in runs:
+            whole &= F.col(run).isNotNull()
+        made.append(F.when(whole, F.xxhash64(F.lit(kind), *runs)))
+    return F.array(*made)
+
+
+def induced(known_places: DataFrame, least_seeds: int) -> DataFrame:
+    """(pattern, kind, l1, good): patterns of at least ``least_seeds`` different known values, with the scores of their places. None holds an entity."""
+    free = known_places
+    for run in ("l1", "l2", "l3", "r1"):
+        free = free.withColumn(run, F.when(~F.contains(run, F.lit(MARK)), F.col(run)))
+    each = free.select("value", "score", "l1", F.posexplode(patterns()).alias("kind", "pattern")).where("pattern is not null")
+    values = each.groupBy("pattern", "value").agg(F.sum("score").alias("n"), F.min("l1").alias("l1"), F.min("kind").alias("kind"))
+    sums = values.groupBy("pattern").agg(F.sum("n").alias("good"), F.count(F.lit(1)).alias("support"), F.min("l1").alias("l1"), F.min("kind").alias("kind"))
+    return sums.where(F.col("support") >= least_seeds).select("pattern", "kind", "l1", "good")
 
-    def text(*columns: str) -> Column:
-        return F.concat_ws(" ", *columns)
 
-    made = [
-        F.when(plain[0], F.concat(text("l1"), F.lit(" _"))),
-        F.when(plain[0] & plain[1], F.concat(text("l2", "l1"), F.lit(" _"))),
-        F.when(plain[0] & plain[1] & plain[2], F.concat(text("l3", "l2", "l1"), F.lit(" _"))),
-        F.when(plain[0] & plain[3], F.concat(text("l1"), F.lit(" _ "), F.col("r1"))),
-        F.when(plain[0] & plain[1] & plain[3], F.concat(text("l2", "l1"), F.lit(" _ "), F.col("r1"))),
-    ]
-    return F.array_compact(F.array(*made))
+def in_patterns(places: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of ``contexts`` in any of the patterns ``asked`` (pattern, l1, ...), one for each. Runs behind no last word of a pattern go first."""
+    near = places.join(small_side(asked.select("l1").distinct()), "l1")
+    return near.withColumn("pattern", F.explode(patterns())).join(small_side(asked.drop("l1"), computed=True), "pattern")
 
 
-def in_patterns(places: DataFrame, asked: DataFrame) -> DataFrame:
-    """The rows of ``contexts`` in any of the patterns ``asked`` (pattern, ...), one for each. Runs behind no last word of a pattern go first."""
-    last = asked.select(F.element_at(F.split(F.substring_index("pattern", " _", 1), " "), -1).alias("l1")).distinct()
-    near = places.join(small_side(last), "l1")
-    return near.withColumn("pattern", F.explode(patterns())).join(small_side(asked, computed=True), "pattern")
+def rated(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(pattern, l1, rate): the share of a pattern's uses that hold known values. A single word's uses are a count of words."""
+    single, longer = asked.where("kind = 0"), asked.where("kind > 0")
+    led = runs_of()
+    words = rows.where("readable").select(F.explode(bound(led, lambda r: F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))))).alias("l1"))
+    alone = words.join(small_side(single.select("l1")), "l1").groupBy("l1").agg(F.count(F.lit(1)).alias("uses"))
+    found = single.join(alone, "l1").select("pattern", "l1", "good", "uses")
+    if not longer.isEmpty():
+        uses = in_patterns(contexts(rows), longer.select("pattern", "l1")).groupBy("pattern").agg(F.count(F.lit(1)).alias("uses"))
+        found = found.union(longer.join(uses, "pattern").select("pattern", "l1", "good", "uses"))
+    return found.select("pattern", "l1", F.least(F.col("good") / F.col("uses"), F.lit(0.999)).alias("rate"))
 
 
 def bootstrapped(rows: DataFrame, rounds: int, least_seeds: int, confident: float) -> DataFrame:
@@ -198,21 +218,21 @@ def bootstrapped(rows: DataFrame, rounds: int, least_seeds: int, confident: floa
     known = spark.createDataFrame([], "value string, score double")
     found = spark.createDataFrame([], "row_key string, i int, value string")
     for _ in range(rounds):
-        offered = known_places.withColumn("pattern", F.explode(patterns())).groupBy("pattern", "value").agg(F.sum("score").alias("n"))
-        induced = offered.groupBy("pattern").agg(F.sum("n").alias("good"), F.count(F.lit(1)).alias("support")).where(F.col("support") >= least_seeds)
-        asked = written(induced.select("pattern", "good"), "patterns")
-        uses = in_patterns(contexts(rows), asked).groupBy("pattern", "good").agg(F.count(F.lit(1)).alias("uses"))
-        rated = uses.select("pattern", F.least(F.col("good") / F.col("uses"), F.lit(0.999)).alias("rate")).where(F.col("rate") >= confident)
-        good = written(rated, "confident")
+        asked = written(induced(known_places, least_seeds), "patterns")
+        good = written(rated(rows, asked).where(F.col("rate") >= confident), "confident")
+        if good.isEmpty():
+            break
         # A value of several patterns at one place has the best of them there.
         held = in_patterns(contexts(rows, "row_key"), good).where(~F.contains("value", F.lit(MARK)) & (F.length("value") >= LEAST_CHARS) & ~F.col("value").rlike("[=:]$"))
         places = written(held.groupBy("row_key", "i", "value").agg(F.max("rate").alias("rate")), "places")
         scores = places.groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("rate"))))).alias("score"), F.count(F.lit(1)).alias("inside"))
         listed = written(scores, "values")
-        seen = written(contexts(rows).join(small_side(listed.select("value"), computed=True), "value"), "seen")
-        totals = seen.groupBy("value").agg(F.count(F.lit(1)).alias("uses"))
-        share = F.when(F.col("value").rlike("[0-9]"), 1.0).otherwise(F.col("inside") / F.col("uses"))
-        now = written(listed.join(totals, "value").where(F.col("score") * share >= confident).select("value", (F.col("score") * share).alias("score")), "known")
+        # Only what looks like a plain word is counted over the corpus.
+        plain = written(listed.where(~F.col("value").rlike("[0-9]")).select("value"), "plain")
+        words = rows.where("readable").select(F.explode(runs_of()).alias("run")).select(F.btrim("run", F.lit(EDGES)).alias("value"))
+        totals = words.join(small_side(plain, computed=True), "value").groupBy("value").agg(F.count(F.lit(1)).alias("uses"))
+        share = F.when(F.col("uses").isNull(), 1.0).otherwise(F.col("inside") / F.col("uses"))
+        now = written(listed.join(totals, "value", "left").where(F.col("score") * share >= confident).select("value", (F.col("score") * share).alias("score")), "known")
         found = written(found.union(places.join(now.select("value"), "value").select("row_key", "i", "value")).distinct(), "found")
         better = now.join(known.withColumnRenamed("score", "before"), "value", "left").where(F.col("score") > F.coalesce("before", F.lit(0.0)) + SETTLED)
         if better.isEmpty():
