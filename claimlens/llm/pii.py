@@ -193,25 +193,33 @@ def in_patterns(places: DataFrame, asked: DataFrame) -> DataFrame:
     return near.withColumn("pattern", F.explode(patterns())).join(small_side(asked.drop("l1"), computed=True), "pattern")
 
 
-def rated(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """(pattern, l1, rate): the share of a pattern's uses that hold known values. A single word's uses are a count of words."""
+def rated(rows: DataFrame, asked: DataFrame, confident: float) -> DataFrame:
+    """(pattern, l1, rate): the share of a pattern's uses that hold known values, of those with ``confident`` or more.
+
+    A single word's uses are a count of words. Longer patterns whose uses in the texts with base entities alone are too many
+    are left out first: their uses over all texts are no fewer."""
     single, longer = asked.where("kind = 0"), asked.where("kind > 0")
     led = runs_of()
     words = rows.where("readable").select(F.explode(bound(led, lambda r: F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))))).alias("l1"))
     alone = words.join(small_side(single.select("l1")), "l1").groupBy("l1").agg(F.count(F.lit(1)).alias("uses"))
     found = single.join(alone, "l1").select("pattern", "l1", "good", "uses")
-    if not longer.isEmpty():
-        uses = in_patterns(contexts(rows), longer.select("pattern", "l1")).groupBy("pattern").agg(F.count(F.lit(1)).alias("uses"))
-        found = found.union(longer.join(uses, "pattern").select("pattern", "l1", "good", "uses"))
-    return found.select("pattern", "l1", F.least(F.col("good") / F.col("uses"), F.lit(0.999)).alias("rate"))
+    for texts, name in ((rows.where(F.size(F.concat(*KINDS)) > 0), "some"), (rows, "all")):
+        if longer.isEmpty():
+            break
+        uses = in_patterns(contexts(texts), longer.select("pattern", "l1")).groupBy("pattern").agg(F.count(F.lit(1)).alias("uses"))
+        counted = longer.drop("uses").join(uses, "pattern", "left")
+        longer = written(counted.where(F.col("good") >= confident * F.coalesce("uses", F.lit(0))), f"{name}_uses")
+    else:
+        found = found.union(longer.select("pattern", "l1", "good", "uses"))
+    return found.select("pattern", "l1", F.least(F.col("good") / F.col("uses"), F.lit(0.999)).alias("rate")).where(F.col("rate") >= confident)
 
 
 def bootstrapped(rows: DataFrame, rounds: int, least_seeds: int, confident: float) -> DataFrame:
     """(row_key, i): the runs taken for identifiers.
 
     Each round: patterns with at least ``least_seeds`` different known values; of these the ones whose uses hold known values,
-    each counted by its score (entities 1), for a share of ``confident`` or more; their values, scored 1 - product(1 - share). A value without a digit counts only
-    as far as its uses lie in these patterns. Values scored ``confident`` or more are known from then on."""
+    each counted by its score (entities 1), for a share of ``confident`` or more; their values, scored 1 - product(1 - share).
+    A value without a digit counts only as far as its uses lie in these patterns. Values scored ``confident`` or more are known from then on."""
     spark = rows.sparkSession
     seeds = rows.where(F.size(F.concat(*KINDS)) > 0)
     known_places = seed_places = contexts(seeds).where(F.contains("value", F.lit(MARK))).withColumn("score", F.lit(1.0))
@@ -219,7 +227,7 @@ def bootstrapped(rows: DataFrame, rounds: int, least_seeds: int, confident: floa
     found = spark.createDataFrame([], "row_key string, i int, value string")
     for _ in range(rounds):
         asked = written(induced(known_places, least_seeds), "patterns")
-        good = written(rated(rows, asked).where(F.col("rate") >= confident), "confident")
+        good = written(rated(rows, asked, confident), "confident")
         if good.isEmpty():
             break
         # A value of several patterns at one place has the best of them there.
