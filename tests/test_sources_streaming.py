@@ -1,7 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from claimlens.functions.documents import claim_chunks, with_document
 from claimlens.functions.text import concat_codes
+from claimlens.plans import tables
 from claimlens.plans.tables import CLAIM_FIELDS, chunk_batch
 from claimlens.plans.views import claims_of, table
 from claimlens.session import scratch_path, shared_dir
@@ -64,6 +66,20 @@ def test_stream_equals_batch(spark, sf):
     assert got.exceptAll(batch).count() == 0
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_stream_of_a_table_that_is_a_folder(spark, tmp_path, files):
+    rows = [(i, f"text {i}", "en", "s", 6 + i) for i in range(9)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    documents.repartition(files).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    counts = tables.stream_available_now(spark, str(tmp_path)).first()
+    assert (counts["cnt"], counts["chars"], counts["batches"]) == (9, sum(r[4] for r in rows), 1)
+    assert {r["doc_id"] for r in tables.src_stream_table(spark, str(tmp_path)).collect()} == set(range(9))
+    for found in (tables.stream_explode_chunks, tables.stream_foreach_batch_append):
+        assert found(spark, str(tmp_path)).count() == 45
+    assert {r["query_id"] for r in tables.search_chunks(spark, str(tmp_path)).collect()} == set(range(9))
+
+
 def test_replayed_batch_replaces_itself(spark):
     target = scratch_path(spark, "t")
     write = batch_writer(target, lambda b: b.withColumn("twice", F.col("id") * 2))
