@@ -11,10 +11,16 @@ from pyspark.sql import functions as F
 from claimlens.session import small_side, written
 
 ROWS_PER_BUCKET = 1_000_000
+# The driver keeps a few figures of every range, so beyond this number ranges grow instead; they are sorted on disk where they must.
+MOST_RANGES = 2_000
 # Fixed by monotonically_increasing_id.
 PLACE_BITS = 33
 
 
+def range_count(rows: int, rows_per_bucket: int) -> int:
+    return min(MOST_RANGES, -(-rows // rows_per_bucket))
+
+
 def ranked_rows(
     df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str], out: str = "rn", rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
@@ -22,7 +28,7 @@ def ranked_rows(
 
     One count decides the plan. While the largest group fits ``rows_per_bucket`` this is a
     plain window. Otherwise the table is cut into order ranges of about ``rows_per_bucket`` rows, as many as it
-    takes, and sorted within them: that is the only shuffle of rows. A row's place in its range is noted as it is
+    takes (up to MOST_RANGES, then larger ones), and sorted within them: that is the only shuffle of rows. A row's place in its range is noted as it is
     stored, so a lost task cannot cut the ranges anew; its number is that place, less the place of its group's
     first row there, plus the group's rows in earlier ranges. Those are sums of one row per group and range."""
     groups = list(partition_by)
@@ -34,7 +40,7 @@ def ranked_rows(
         one = W.partitionBy(F.lit(0)).orderBy(*order_by)
         return df.withColumn(out, F.row_number().over(one).cast("long"))
 
-    ranges = -(-seen["total"] // rows_per_bucket)
+    ranges = range_count(seen["total"], rows_per_bucket)
     # NULL-safe group key: one struct, never NULL itself.
     keyed = df.withColumn("_g", F.struct(F.lit(0).alias("_"), *groups))
     cut = keyed.repartitionByRange(ranges, *groups, *order_by).sortWithinPartitions(*groups, *order_by)

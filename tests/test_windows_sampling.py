@@ -18,6 +18,18 @@ def skewed(spark, n=600):
     return spark.createDataFrame(rows, "id long, g string, v int").repartition(5)
 
 
+def test_ranges_do_not_grow_in_number_without_end(spark, monkeypatch):
+    """What the driver hears of each range stays bounded; rows are numbered as before."""
+    assert windows.range_count(1_001, 1_000) == 2 and windows.range_count(10**9, 1_000) == windows.MOST_RANGES
+    monkeypatch.setattr(windows, "MOST_RANGES", 3)
+    cuts, stored = [], windows.written
+    monkeypatch.setattr(windows, "written", lambda df, name: cuts.append(df.rdd.getNumPartitions()) or stored(df, name))
+    df = skewed(spark)
+    got = {r["id"]: r["rn"] for r in windows.ranked_rows(df, ["g"], ["v", "id"], rows_per_bucket=5).collect()}
+    plain = df.withColumn("rn", F.row_number().over(W.partitionBy("g").orderBy("v", "id")))
+    assert got == {r["id"]: r["rn"] for r in plain.collect()} and cuts[0] <= 3
+
+
 @pytest.mark.parametrize("bucket", [1_000_000, 20])
 @pytest.mark.parametrize("groups", [["g"], []])
 def test_ranked_rows_equals_plain_window(spark, bucket, groups):
