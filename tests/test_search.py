@@ -248,6 +248,70 @@ def test_cosine_of_term_weights(spark):
         assert abs(r["rerank_score"] - wanted) < 1e-8
 
 
+@pytest.mark.parametrize("frequent", [0, 3, 100])
+def test_coded_sets_lose_nothing(spark, monkeypatch, frequent):
+    rng = np.random.default_rng(14)
+    sets = {i: sorted(set(rng.integers(0, 40, 12).tolist())) for i in range(20)} | {20: [], 21: None}
+    df = spark.createDataFrame(list(sets.items()), "id long, s array<long>").repartition(3)
+    counts = df.select(F.explode("s").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    monkeypatch.setattr(search, "FREQUENT", max(1, frequent))
+    listed = search.frequent_terms(counts)[0][:frequent]
+    coded = df.select("id", search.coded_set(F.col("s"), spark.sparkContext.broadcast(listed)).alias("feature"))
+    hits = spark.createDataFrame([(q, c, n + 1) for q in sets for n, c in enumerate(x for x in sets if x != q)], "query_id long, claim_id long, rank int")
+    found = search.rerank(hits, coded.withColumnRenamed("id", "query_id"), coded.withColumnRenamed("id", "claim_id"), search.coded_overlap_scores)
+    assert all(r["rerank_score"] == len(set(sets[r["query_id"]] or ()) & set(sets[r["claim_id"]] or ())) for r in found.collect())
+
+
+def test_coded_sets_are_small():
+    """What moves ten times a claim: a frequent word takes about a byte, not the eight of its hash."""
+    listed = np.random.default_rng(15).integers(-(2**62), 2**62, 5_000)
+    row, _ = search.TermCoder(listed)(np.unique(listed[::10]))
+    assert len(row[1]) + len(row[2]) < 2 * 500 and search.set_codes(*row[:2]).tolist() == list(range(0, 5_000, 10))
+    counts = np.array([1, 127, 128, 70_000, 0, 2**40])
+    assert search.unpacked_numbers(search.packed_numbers(counts), 6).tolist() == counts.tolist()
+
+
+def test_term_weights_with_few_listed_terms_and_repeated_keys(spark, monkeypatch):
+    monkeypatch.setattr(search, "FREQUENT", 2)
+    rows = [(1, "a b b c"), (1, "c d"), (2, "b c e e"), (3, "a f"), (None, "a b")]
+    weights = search.term_weights(spark.createDataFrame(rows, "id long, t string").repartition(3), "id", "t", "feature")
+    counts, frequency = {1: {"a": 1, "b": 2, "c": 2, "d": 1}, 2: {"b": 1, "c": 1, "e": 2}, 3: {"a": 1, "f": 1}}, {"a": 3, "b": 3, "c": 2, "d": 1, "e": 1, "f": 1}
+    vector = {k: {w: n * (np.log(6 / (1 + frequency[w])) + 1) for w, n in t.items()} for k, t in counts.items()}
+    hits = spark.createDataFrame([(1, 2, 1), (1, 3, 2), (2, 1, 1), (2, 3, 2)], "query_id long, claim_id long, rank int")
+    claims = weights.select(F.col("id").alias("claim_id"), search.hit_weights(F.col("feature")).alias("feature"))
+    length = {k: np.sqrt(sum(w * w for w in v.values())) for k, v in vector.items()}
+    for r in search.rerank(hits, weights.withColumnRenamed("id", "query_id"), claims).collect():
+        q, c = r["query_id"], r["claim_id"]
+        assert abs(r["rerank_score"] - sum(vector[q][w] * vector[c][w] for w in vector[q].keys() & vector[c].keys()) / length[q] / length[c]) < 2e-9
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-20, 1e20])
+def test_running_best_in_blocks(monkeypatch, scale):
+    """Products in single precision only choose; what is kept has the scores of double precision."""
+    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(16)
+    queries, vectors = rng.standard_normal((20, 6)) * scale, rng.standard_normal((900, 6))
+    vectors[300:600] = vectors[0] * (1 + 1e-9 * np.arange(300)[:, None])
+    best = search.RunningBest(queries, 4)
+    for start in (0, 100, 500):
+        stop = {0: 100, 100: 500, 500: 900}[start]
+        best.add(np.arange(start, stop), vectors[start:stop])
+    assert best.merge()
+    kept = best.batch(search.pa.array(range(20)), search.pa.int64()).to_pydict()
+    scores = np.round(queries @ vectors.T, search.SCORE_PLACES)
+    wanted = [(q, int(c)) for q in range(20) for c in np.lexsort((np.arange(900), -scores[q]))[:4]]
+    assert list(zip(kept["query_id"], kept["claim_id"])) == wanted or scale != 1.0
+    assert np.allclose(kept["score"], [scores[q, c] for q, c in wanted], rtol=1e-12)
+
+
+def test_blocks_that_would_meet_too_many_others_go_to_the_grid(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_ROWS", 4)
+    df = vectors_of(spark, clustered(np.random.default_rng(17), 3, 200))
+    q, v = search._sides(as_queries(df), df, "query_id", "embedding", "claim_id", "embedding")
+    assert search._reachable_pairs(q, v, 600, 600, 4, 4) is None
+    assert triples(search.topk(as_queries(df), df, 3, scan_queries=0, unpruned_rows=20)) == triples(search.topk(as_queries(df), df, 3))
+
+
 def test_surrogate_ids_are_distinct_and_stable(spark):
     rows = spark.createDataFrame([("1", 0), ("1", 1), ("2", 0), (None, 0), ("", 0)], "c string, p int")
     ids = [r[0] for r in rows.select(search.surrogate_id("c", "p")).collect()]
