@@ -719,7 +719,7 @@ def packed_numbers(x: np.ndarray) -> bytes:
     return b"".join(planes)
 
 
-def unpacked_numbers(data: bytes, count: int) -> np.ndarray:
+def unpacked_numbers(data: bytes | pa.Buffer, count: int) -> np.ndarray:
     x, at, shift, start = np.zeros(count, np.int64), np.arange(count), 0, 0
     while len(at):
         plane = np.frombuffer(data, np.uint8, len(at), start).astype(np.int64)
@@ -731,6 +731,26 @@ def unpacked_numbers(data: bytes, count: int) -> np.ndarray:
 TERM_SET = "size int, codes binary, rest binary"
 
 
+# What follows reads the rows of an Arrow batch where they lie, one at a time: a batch of sets as Python objects takes several times its size.
+
+
+def list_views(lists: pa.ListArray) -> list[np.ndarray]:
+    """The rows of lists of numbers; none may be missing."""
+    flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    return [flat[start:stop] for start, stop in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
+def list_rows(lists: pa.ListArray) -> list[range]:
+    """Where the rows of lists lie in their ``values``."""
+    at = lists.offsets.to_numpy().tolist()
+    return [range(start, stop) for start, stop in zip(at[:-1], at[1:])]
+
+
+def as_lists(rows: Sequence[np.ndarray], kind: str) -> pa.ListArray:
+    at = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.concatenate([np.empty(0, kind), *rows])))
+
+
 class TermCoder:
     """Sets of term hashes: places in the list of frequent terms as packed gaps, all other hashes as they are. Nothing is lost."""
 
@@ -749,18 +769,23 @@ class TermCoder:
         return (len(codes), packed_numbers(gaps), hashes[other].tobytes()), np.r_[place, other]
 
 
-def set_codes(size: int, codes: bytes) -> np.ndarray:
+def columns_of(rows: list[tuple], count: int) -> list[tuple]:
+    return [*zip(*rows)] if rows else [()] * count
+
+
+def set_codes(size: int, codes: bytes | pa.Buffer) -> np.ndarray:
     return np.cumsum(unpacked_numbers(codes, int(size))) - 1
 
 
 def coded_set(hashes: Column, shared) -> Column:
     """An array of distinct term hashes as TERM_SET; ``shared`` is the broadcast list of frequent terms."""
 
-    @F.pandas_udf(TERM_SET)
-    def code(sets: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(TERM_SET)
+    def code(sets: pa.Array) -> pa.Array:
         coder = TermCoder(shared.value)
-        rows = [(None, None, None) if s is None else coder(np.asarray(s, np.int64))[0] for s in sets]
-        return pd.DataFrame(rows, columns=["size", "codes", "rest"]).astype({"size": "Int32"})
+        there = sets.is_valid().to_pylist()
+        rows = [coder(t)[0] if own else (None, None, None) for t, own in zip(list_views(sets), there)]
+        return pa.StructArray.from_arrays([pa.array(c, kind) for c, kind in zip(columns_of(rows, 3), (pa.int32(), pa.binary(), pa.binary()))], names=["size", "codes", "rest"])
 
     return code.asNondeterministic()(hashes)
 
@@ -769,23 +794,29 @@ def each(structs: Column, field: str) -> Column:
     return F.transform(structs, lambda s: s[field])
 
 
+def overlap_rows(q_size: pa.Array, q_codes: pa.Array, q_rest: pa.Array, h_size: pa.Array, h_codes: pa.Array, h_rest: pa.Array) -> pa.ListArray:
+    out, asked = [], np.zeros(FREQUENT, bool)
+    sizes, all_codes, rests = h_size.values, h_codes.values, h_rest.values
+    for q, hits in enumerate(list_rows(h_codes)):
+        scores = np.zeros(len(hits))
+        if q_codes[q].is_valid:
+            own, others = set_codes(q_size[q].as_py(), q_codes[q].as_buffer()), np.frombuffer(q_rest[q].as_buffer(), np.int64)
+            asked[own] = True
+            for n, h in enumerate(hits):
+                if all_codes[h].is_valid:
+                    theirs, held = set_codes(sizes[h].as_py(), all_codes[h].as_buffer()), np.frombuffer(rests[h].as_buffer(), np.int64)
+                    scores[n] = asked[theirs].sum() + len(np.intersect1d(others, held, True))
+            asked[own] = False
+        out.append(scores)
+    return as_lists(out, "float64")
+
+
 def coded_overlap_scores(query: Column, hits: Column) -> Column:
     """``overlap_scores`` of TERM_SETs that share one list of frequent terms."""
 
-    @F.pandas_udf("array<double>")
-    def overlap(q_size: pd.Series, q_codes: pd.Series, q_rest: pd.Series, h_size: pd.Series, h_codes: pd.Series, h_rest: pd.Series) -> pd.Series:
-        out, asked = [], np.zeros(FREQUENT, bool)
-        for size, codes, rest, sizes, all_codes, rests in zip(q_size, q_codes, q_rest, h_size, h_codes, h_rest):
-            scores = np.zeros(len(all_codes))
-            if codes is not None:
-                own, others = set_codes(size, codes), np.frombuffer(rest, np.int64)
-                asked[own] = True
-                for n, c in enumerate(all_codes):
-                    if c is not None:
-                        scores[n] = asked[set_codes(sizes[n], c)].sum() + len(np.intersect1d(others, np.frombuffer(rests[n], np.int64), True))
-                asked[own] = False
-            out.append(scores)
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf("array<double>")
+    def overlap(q_size: pa.Array, q_codes: pa.Array, q_rest: pa.Array, h_size: pa.Array, h_codes: pa.Array, h_rest: pa.Array) -> pa.Array:
+        return overlap_rows(q_size, q_codes, q_rest, h_size, h_codes, h_rest)
 
     fields = ("size", "codes", "rest")
     return overlap.asNondeterministic()(*[query[f] for f in fields], *[each(hits, f) for f in fields])
@@ -799,10 +830,10 @@ def term_weights(rows: DataFrame, key: str, text: str, out: str = "weights") ->
     lies, as one row; document frequencies of FREQUENT terms go to the tasks, only other terms meet theirs by a join.
     A text without tokens has no row. Features are comparable within one result."""
 
-    @F.pandas_udf("t array<long>, n array<int>")
-    def counted(terms: pd.Series) -> pd.DataFrame:
-        found = [np.unique(np.asarray(t, np.int64), return_counts=True) for t in terms]
-        return pd.DataFrame({"t": pd.Series([t for t, _ in found], dtype=object), "n": pd.Series([n.astype(np.int32) for _, n in found], dtype=object)})
+    @F.arrow_udf("t array<long>, n array<int>")
+    def counted(terms: pa.Array) -> pa.Array:
+        found = [np.unique(t, return_counts=True) for t in list_views(terms)]
+        return pa.StructArray.from_arrays([as_lists([t for t, _ in found], "int64"), as_lists([n.astype(np.int32) for _, n in found], "int32")], names=["t", "n"])
 
     # Rows that repeat a key are one text.
     folded = rows.where(F.col(text).isNotNull()).groupBy(key).agg(F.collect_list(F.lower(F.col(text))).alias("_texts"))
@@ -811,26 +842,29 @@ def term_weights(rows: DataFrame, key: str, text: str, out: str = "weights") ->
     spread_of = written(made.select(F.explode("t").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")), "spread")
     texts, shared = rows.count(), rows.sparkSession.sparkContext.broadcast(frequent_terms(spread_of))
 
-    @F.pandas_udf(f"{TERM_SET}, n binary, others array<long>")
-    def coded(sets: pd.Series, counts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(f"{TERM_SET}, n binary, others array<long>")
+    def coded(sets: pa.Array, counts: pa.Array) -> pa.Array:
         coder, found = TermCoder(shared.value[0]), []
-        for t, n in zip(sets, counts):
-            row, order = coder(np.asarray(t, np.int64))
-            found.append((*row, packed_numbers(np.asarray(n, np.int64)[order]), np.frombuffer(row[2], np.int64)))
-        return pd.DataFrame(found, columns=["size", "codes", "rest", "n", "others"])
-
-    @F.pandas_udf("idf binary, length double")
-    def weighed(size: pd.Series, codes: pd.Series, rest: pd.Series, n: pd.Series, t: pd.Series, df: pd.Series) -> pd.DataFrame:
+        for t, n in zip(list_views(sets), list_views(counts)):
+            row, order = coder(t)
+            found.append((*row, packed_numbers(n.astype(np.int64)[order])))
+        size, codes, rest, n = columns_of(found, 4)
+        others = as_lists([np.frombuffer(r, np.int64) for r in rest], "int64")
+        return pa.StructArray.from_arrays([pa.array(size, pa.int32()), *[pa.array(c, pa.binary()) for c in (codes, rest, n)], others], names=["size", "codes", "rest", "n", "others"])
+
+    @F.arrow_udf("idf binary, length double")
+    def weighed(size: pa.Array, codes: pa.Array, rest: pa.Array, n: pa.Array, t: pa.Array, df: pa.Array) -> pa.Array:
         found = []
-        for m, c, r, count, terms, frequencies in zip(size, codes, rest, n, t, df):
-            others = np.frombuffer(r, np.int64)
+        for i, (terms, frequencies) in enumerate(zip(list_views(t), list_views(df))):
+            others = np.frombuffer(rest[i].as_buffer(), np.int64)
             rare = np.zeros(len(others))
             if len(others):
-                rare[np.searchsorted(others, np.asarray(terms, np.int64))] = frequencies
-            idf = np.log((1.0 + texts) / (1 + np.r_[shared.value[1][set_codes(m, c)], rare])) + 1
-            weight = unpacked_numbers(count, len(idf)) * idf
+                rare[np.searchsorted(others, terms)] = frequencies
+            idf = np.log((1.0 + texts) / (1 + np.r_[shared.value[1][set_codes(size[i].as_py(), codes[i].as_buffer())], rare])) + 1
+            weight = unpacked_numbers(n[i].as_buffer(), len(idf)) * idf
             found.append((idf.tobytes(), np.sqrt((weight * weight).sum())))
-        return pd.DataFrame(found, columns=["idf", "length"])
+        idf, length = columns_of(found, 2)
+        return pa.StructArray.from_arrays([pa.array(idf, pa.binary()), pa.array(length, pa.float64())], names=["idf", "length"])
 
     sets = written(made.withColumn("s", coded.asNondeterministic()("t", "n")).select(key, "s.*"), "sets")
     rare = sets.select(F.col(key).alias("_key"), F.explode("others").alias("t")).join(spread_of.withColumnRenamed("n", "df"), "t")
@@ -846,30 +880,37 @@ def hit_weights(feature: Column) -> Column:
     return F.struct(*[feature[f].alias(f) for f in ("size", "codes", "rest", "n", "length")])
 
 
+def cosine_rows(query: Sequence[pa.Array], hits: Sequence[pa.ListArray]) -> pa.ListArray:
+    """The scores of each query's hits; ``query`` has size, codes, rest, n, length and idf, ``hits`` lists of all but idf."""
+    (q_size, q_codes, q_rest, q_n, q_length, q_idf), (sizes, all_codes, rests, counts, lengths) = query, [h.values for h in hits]
+    out, asked = [], np.zeros(FREQUENT)
+    for q, own_hits in enumerate(list_rows(hits[1])):
+        scores = np.zeros(len(own_hits))
+        if q_codes[q].is_valid:
+            idf, others = np.frombuffer(q_idf[q].as_buffer()), np.frombuffer(q_rest[q].as_buffer(), np.int64)
+            own = set_codes(q_size[q].as_py(), q_codes[q].as_buffer())
+            weight = unpacked_numbers(q_n[q].as_buffer(), len(idf)) * idf / q_length[q].as_py() * idf
+            asked[own] = weight[: len(own)]
+            for i, h in enumerate(own_hits):
+                if all_codes[h].is_valid:
+                    theirs, held = set_codes(sizes[h].as_py(), all_codes[h].as_buffer()), np.frombuffer(rests[h].as_buffer(), np.int64)
+                    count = unpacked_numbers(counts[h].as_buffer(), len(theirs) + len(held)) / lengths[h].as_py()
+                    _, x, y = np.intersect1d(others, held, True, True)
+                    scores[i] = asked[theirs] @ count[: len(theirs)] + weight[len(own) + x] @ count[len(theirs) + y]
+            asked[own] = 0
+        out.append(np.round(scores, SCORE_PLACES))
+    return as_lists(out, "float64")
+
+
 def cosine_scores(query: Column, hits: Column) -> Column:
     """For each hit the cosine of its ``term_weights`` with the query's; 0 where either is missing."""
 
-    @F.pandas_udf("array<double>")
+    @F.arrow_udf("array<double>")
     def cosine(
-        q_size: pd.Series, q_codes: pd.Series, q_rest: pd.Series, q_n: pd.Series, q_length: pd.Series, q_idf: pd.Series,
-        h_size: pd.Series, h_codes: pd.Series, h_rest: pd.Series, h_n: pd.Series, h_length: pd.Series,
-    ) -> pd.Series:
-        out, asked = [], np.zeros(FREQUENT)
-        for m, codes, rest, n, length, idf, sizes, all_codes, rests, counts, lengths in zip(q_size, q_codes, q_rest, q_n, q_length, q_idf, h_size, h_codes, h_rest, h_n, h_length):
-            scores = np.zeros(len(all_codes))
-            if codes is not None:
-                idf, own, others = np.frombuffer(idf), set_codes(m, codes), np.frombuffer(rest, np.int64)
-                weight = unpacked_numbers(n, len(idf)) * idf / length * idf
-                asked[own] = weight[: len(own)]
-                for i, c in enumerate(all_codes):
-                    if c is not None:
-                        theirs, held = set_codes(sizes[i], c), np.frombuffer(rests[i], np.int64)
-                        count = unpacked_numbers(counts[i], len(theirs) + len(held)) / lengths[i]
-                        _, x, y = np.intersect1d(others, held, True, True)
-                        scores[i] = asked[theirs] @ count[: len(theirs)] + weight[len(own) + x] @ count[len(theirs) + y]
-                asked[own] = 0
-            out.append(np.round(scores, SCORE_PLACES))
-        return pd.Series(out, dtype=object)
+        q_size: pa.Array, q_codes: pa.Array, q_rest: pa.Array, q_n: pa.Array, q_length: pa.Array, q_idf: pa.Array,
+        h_size: pa.Array, h_codes: pa.Array, h_rest: pa.Array, h_n: pa.Array, h_length: pa.Array,
+    ) -> pa.Array:
+        return cosine_rows((q_size, q_codes, q_rest, q_n, q_length, q_idf), (h_size, h_codes, h_rest, h_n, h_length))
 
     fields = ("size", "codes", "rest", "n", "length")
     return cosine.asNondeterministic()(*[query[f] for f in (*fields, "idf")], *[each(hits, f) for f in fields])

@@ -317,3 +317,34 @@ def test_surrogate_ids_are_distinct_and_stable(spark):
     ids = [r[0] for r in rows.select(search.surrogate_id("c", "p")).collect()]
     assert len(set(ids)) == 5
     assert sorted(ids) == sorted(r[0] for r in rows.repartition(3).select(search.surrogate_id("c", "p")).collect())
+
+
+def test_rerank_reads_a_batch_where_it_lies(monkeypatch):
+    """A batch of queries with their hits' weights takes no multiple of its size: its rows are read one at a time."""
+    import tracemalloc
+
+    monkeypatch.setattr(search, "FREQUENT", 4_000)
+    pa, rng = search.pa, np.random.default_rng(24)
+    coder = search.TermCoder(rng.permutation(4_000) - 2_000)
+    texts = []
+    for _ in range(50):
+        row, order = coder(rng.choice(5_000, 1_500, replace=False) - 2_500)
+        counts, idf = rng.integers(1, 300, 1_500), rng.random(1_500) + 1
+        texts.append((*row, search.packed_numbers(counts), float(np.sqrt(((counts * idf) ** 2).sum())), idf.tobytes()))
+    asked, hits = [n % 50 if n % 7 else None for n in range(300)], [[(n * 3 + i) % 50 if i else None for i in range(10)] for n in range(300)]
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.binary())
+    query = [pa.array([None if q is None else texts[q][c] for q in asked], kind) for c, kind in enumerate(kinds)]
+    others = [pa.array([[None if h is None else texts[h][c] for h in row] for row in hits], pa.list_(kind)) for c, kind in enumerate(kinds[:5])]
+    size = sum(x.nbytes for x in query + others)
+    tracemalloc.start()
+    found = search.cosine_rows([x.slice(2) for x in query], [x.slice(2) for x in others]).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size > 10_000_000 and peak < size / 20
+    dense, rare = np.zeros((2, 50, 6_000)), np.unique(np.concatenate([np.frombuffer(x[2], np.int64) for x in texts]))
+    for t, (m, codes, rest, n, length, idf) in enumerate(texts):
+        at = np.r_[search.set_codes(m, codes), np.searchsorted(rare, np.frombuffer(rest, np.int64)) + 4_000]
+        count = search.unpacked_numbers(n, 1_500)
+        dense[0, t, at], dense[1, t, at] = count * np.frombuffer(idf) / length * np.frombuffer(idf), count / length
+    for q, row, scores in zip(asked[2:], hits[2:], found):
+        assert np.allclose(scores, [0 if q is None or h is None else dense[0, q] @ dense[1, h] for h in row], atol=2e-9)
