@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -130,3 +131,21 @@ def test_failed_batch_gives_nulls_and_keeps_rows(spark):
     assert got == [None] * 4 + [[5.0], [6.0], [7.0], [8.0]]
     calls = df.select(embedding.embed_batched_iterator(F.col("t"), lambda: model, batch=4).alias("e")).collect()
     assert len(calls) == 8
+
+
+def test_hashed_vectors_of_a_slice_are_those_of_each_text(spark, monkeypatch):
+    odd = ["", "  ", " a", "b ", "\ta\n\nb\r c", "a\x0bb c", "x\x0cy", " z q", "é ü 漢字 " * 30, *("w" * n for n in (54, 55, 56, 200)), "\x1c q 　r"]
+    odd += [" ".join(f"w{i * j % 97}" for j in range(i)) for i in range(80)]
+    for dimensions in (16, 64, 1024):
+        model = embedding.HashedEmbedder(dimensions)
+        assert np.array_equal(np.array(model(odd)), model.matrix(pa.array(odd)))
+        assert np.array_equal(np.array(model(odd[:5])), model.matrix(pa.array(odd[:5])))
+    monkeypatch.setattr(embedding, "SLICE_TEXTS", 3)
+    texts = pa.array([None, *odd, None, None, None, "end", None])
+    found = embedding.hashed_arrays(texts.slice(1), model, pa.float64()).to_pylist()
+    assert found == [None if t is None else model([t])[0].tolist() for t in texts.slice(1).to_pylist()]
+    # No text is embedded as a Python object.
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    one = embedding.HashedEmbedder(16)
+    one._one = None
+    assert df.where(F.size(embedding.embed_batched(F.col("t"), one, element="double")) == 16).count() == len(odd)
