@@ -9,6 +9,8 @@ Built from column expressions and joins alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,8 @@ CONFIDENT = 0.5
 # The rounds end where no value's score rises by more.
 SETTLED = 0.01
 LEAST_CHARS = 5
+# Words that may be looked for inside a row, by number and by signs; more are met by a join.
+LISTED, LISTED_CHARS = 4_096, 256 * 1024
 
 
 def bound(value: Column, use) -> Column:
@@ -146,23 +150,37 @@ def runs_of(text: str = "marked") -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({RUN})"), F.lit(1))
 
 
-def contexts(rows: DataFrame, *carry: str) -> DataFrame:
-    """One row a run of the marked texts: ``carry``, i (its number), value (trimmed), and the runs l1, l2, l3 before and r1 behind it."""
-    each = bound(
-        runs_of(),
-        lambda r: F.transform(
-            r,
-            lambda w, i: F.struct(
-                i.alias("i"),
-                F.btrim(w, F.lit(EDGES)).alias("value"),
-                F.get(r, i - 1).alias("l1"),
-                F.get(r, i - 2).alias("l2"),
-                F.get(r, i - 3).alias("l3"),
-                F.get(r, i + 1).alias("r1"),
-            ),
-        ),
-    )
-    return rows.where("readable").select(*carry, F.inline(each))
+def listed(df: DataFrame, column: str) -> list[str] | None:
+    """The values of a column without nulls, if they are few enough to be looked for inside each row; else None."""
+    few = [r[0] for r in df.select(column).distinct().limit(LISTED + 1).collect()]
+    return few if len(few) <= LISTED and sum(map(len, few)) <= LISTED_CHARS else None
+
+
+def contexts(rows: DataFrame, *carry: str, led: list[str] | None = None, held: list[str] | None = None) -> DataFrame:
+    """One row a run of the marked texts: ``carry``, i (its number), value (trimmed), and the runs l1, l2, l3 before and r1 behind it.
+
+    With ``led`` only runs behind one of these words, with ``held`` only those of these values: all others never become rows."""
+
+    def around(r: Column, i: Column) -> Column:
+        return F.struct(
+            i.alias("i"),
+            F.btrim(F.get(r, i), F.lit(EDGES)).alias("value"),
+            F.get(r, i - 1).alias("l1"),
+            F.get(r, i - 2).alias("l2"),
+            F.get(r, i - 3).alias("l3"),
+            F.get(r, i + 1).alias("r1"),
+        )
+
+    def each(r: Column) -> Column:
+        if led is not None:
+            numbers = F.filter(F.array_compact(F.transform(r, lambda w, i: F.when(w.isin(led), i + 1))), lambda i: i < F.size(r))
+        elif held is not None:
+            numbers = F.array_compact(F.transform(r, lambda w, i: F.when(F.btrim(w, F.lit(EDGES)).isin(held), i)))
+        else:
+            return F.transform(r, lambda w, i: around(r, i))
+        return F.transform(numbers, lambda i: around(r, i))
+
+    return rows.where("readable").select(*carry, F.inline(bound(runs_of(), each)))
 
 
 def patterns() -> Column:
@@ -187,26 +205,40 @@ def induced(known_places: DataFrame, least_seeds: int) -> DataFrame:
     return sums.where(F.col("support") >= least_seeds).select("pattern", "kind", "l1", "good")
 
 
-def in_patterns(places: DataFrame, asked: DataFrame) -> DataFrame:
+def in_patterns(rows: DataFrame, asked: DataFrame, *carry: str) -> DataFrame:
     """The rows of ``contexts`` in any of the patterns ``asked`` (pattern, l1, ...), one for each. Runs behind no last word of a pattern go first."""
-    near = places.join(small_side(asked.select("l1").distinct()), "l1")
+    ends = asked.select("l1").distinct()
+    few = listed(ends, "l1")
+    near = contexts(rows, *carry, led=few) if few is not None else contexts(rows, *carry).join(small_side(ends), "l1")
     return near.withColumn("pattern", F.explode(patterns())).join(small_side(asked.drop("l1"), computed=True), "pattern")
 
 
+def word_uses(rows: DataFrame, words: DataFrame, column: str, of: Callable[[Column], Column], whole: bool) -> DataFrame:
+    """(column, uses): how often each of ``words`` (column, distinct) is ``of`` a run; without ``whole`` the last run of a text is left out."""
+    few = listed(words, column)
+
+    def wanted(r: Column) -> Column:
+        runs = r if whole else F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0)))
+        values = F.transform(runs, of)
+        return values if few is None else F.filter(values, lambda w: w.isin(few))
+
+    each = rows.where("readable").select(F.explode(bound(runs_of(), wanted)).alias(column))
+    met = each if few is not None else each.join(small_side(words, computed=True), column)
+    return met.groupBy(column).agg(F.count(F.lit(1)).alias("uses"))
+
+
 def rated(rows: DataFrame, asked: DataFrame, confident: float) -> DataFrame:
     """(pattern, l1, rate): the share of a pattern's uses that hold known values, of those with ``confident`` or more.
 
     A single word's uses are a count of words. Longer patterns whose uses in the texts with base entities alone are too many
     are left out first: their uses over all texts are no fewer."""
     single, longer = asked.where("kind = 0"), asked.where("kind > 0")
-    led = runs_of()
-    words = rows.where("readable").select(F.explode(bound(led, lambda r: F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))))).alias("l1"))
-    alone = words.join(small_side(single.select("l1")), "l1").groupBy("l1").agg(F.count(F.lit(1)).alias("uses"))
+    alone = word_uses(rows, single.select("l1"), "l1", lambda w: w, whole=False)
     found = single.join(alone, "l1").select("pattern", "l1", "good", "uses")
     for texts, name in ((rows.where(F.size(F.concat(*KINDS)) > 0), "some"), (rows, "all")):
         if longer.isEmpty():
             break
-        uses = in_patterns(contexts(texts), longer.select("pattern", "l1")).groupBy("pattern").agg(F.count(F.lit(1)).alias("uses"))
+        uses = in_patterns(texts, longer.select("pattern", "l1")).groupBy("pattern").agg(F.count(F.lit(1)).alias("uses"))
         counted = longer.drop("uses").join(uses, "pattern", "left")
         longer = written(counted.where(F.col("good") >= confident * F.coalesce("uses", F.lit(0))), f"{name}_uses")
     else:
@@ -231,22 +263,21 @@ def bootstrapped(rows: DataFrame, rounds: int, least_seeds: int, confident: floa
         if good.isEmpty():
             break
         # A value of several patterns at one place has the best of them there.
-        held = in_patterns(contexts(rows, "row_key"), good).where(~F.contains("value", F.lit(MARK)) & (F.length("value") >= LEAST_CHARS) & ~F.col("value").rlike("[=:]$"))
+        held = in_patterns(rows, good, "row_key").where(~F.contains("value", F.lit(MARK)) & (F.length("value") >= LEAST_CHARS) & ~F.col("value").rlike("[=:]$"))
         places = written(held.groupBy("row_key", "i", "value").agg(F.max("rate").alias("rate")), "places")
         scores = places.groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("rate"))))).alias("score"), F.count(F.lit(1)).alias("inside"))
-        listed = written(scores, "values")
+        values = written(scores, "values")
         # Only what looks like a plain word is counted over the corpus.
-        plain = written(listed.where(~F.col("value").rlike("[0-9]")).select("value"), "plain")
-        words = rows.where("readable").select(F.explode(runs_of()).alias("run")).select(F.btrim("run", F.lit(EDGES)).alias("value"))
-        totals = words.join(small_side(plain, computed=True), "value").groupBy("value").agg(F.count(F.lit(1)).alias("uses"))
+        plain = written(values.where(~F.col("value").rlike("[0-9]")).select("value"), "plain")
+        totals = word_uses(rows, plain, "value", lambda w: F.btrim(w, F.lit(EDGES)), whole=True)
         share = F.when(F.col("uses").isNull(), 1.0).otherwise(F.col("inside") / F.col("uses"))
-        now = written(listed.join(totals, "value", "left").where(F.col("score") * share >= confident).select("value", (F.col("score") * share).alias("score")), "known")
+        now = written(values.join(totals, "value", "left").where(F.col("score") * share >= confident).select("value", (F.col("score") * share).alias("score")), "known")
         found = written(found.union(places.join(now.select("value"), "value").select("row_key", "i", "value")).distinct(), "found")
         better = now.join(known.withColumnRenamed("score", "before"), "value", "left").where(F.col("score") > F.coalesce("before", F.lit(0.0)) + SETTLED)
         if better.isEmpty():
             break
         known = written(known.union(now).groupBy("value").agg(F.max("score").alias("score")), "known")
-        known_places = seed_places.unionByName(contexts(rows).join(small_side(known, computed=True), "value"))
+        known_places = seed_places.unionByName(contexts(rows, held=listed(known, "value")).join(small_side(known, computed=True), "value"))
     return found.select("row_key", "i").distinct()
 
 

@@ -5,7 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from claimlens.llm.pii import digest, examined, find, redact, redacted
+from claimlens.llm import pii
+from claimlens.llm.pii import contexts, digest, examined, find, redact, redacted
 
 # The contract's patterns, as they stand there.
 BASE = {
@@ -143,3 +144,18 @@ def test_redaction_of_overlapping_spans(frame):
 
 def test_empty(frame):
     assert digest(find(frame([]))).collect() == []
+
+
+def test_runs_are_looked_for_inside_rows(frame, monkeypatch):
+    texts = ["a mail: b mail:", "", "mail: mail: mail:", "= mail: (end)", "c"]
+    rows = frame([(str(i), t, True) for i, t in enumerate(texts)], "row_key string, marked string, readable boolean").coalesce(1)
+    every = [tuple(r) for r in contexts(rows, "row_key").collect()]
+    assert len(every) == 4 + 3 + 3 + 1
+    for words in (["mail:", "b"], []):
+        led, held = ([tuple(r) for r in contexts(rows, "row_key", **{k: words}).collect()] for k in ("led", "held"))
+        assert led == [r for r in every if r[3] in words] and held == [r for r in every if r[2] in words]
+    words = frame([("mail:",), ("end",)], "w string").coalesce(1)
+    for most in (0, 100):
+        monkeypatch.setattr(pii, "LISTED", most)
+        uses = [{r["w"]: r["uses"] for r in pii.word_uses(rows, words, "w", lambda w: F.btrim(w, F.lit("()")), whole).collect()} for whole in (True, False)]
+        assert uses == [{"mail:": 6, "end": 1}, {"mail:": 4}]
