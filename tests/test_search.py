@@ -348,3 +348,16 @@ def test_rerank_reads_a_batch_where_it_lies(monkeypatch):
         dense[0, t, at], dense[1, t, at] = count * np.frombuffer(idf) / length * np.frombuffer(idf), count / length
     for q, row, scores in zip(asked[2:], hits[2:], found):
         assert np.allclose(scores, [0 if q is None or h is None else dense[0, q] @ dense[1, h] for h in row], atol=2e-9)
+
+
+def test_shared_numbers_and_merged_hits():
+    rng = np.random.default_rng(5)
+    for n, m in ((0, 3), (3, 0), (1, 1), (40, 60), (500, 20)):
+        x, y = (np.unique(rng.integers(-50, 50, s)) for s in (n, m))
+        assert search.shared_numbers(x, y) == len(np.intersect1d(x, y))
+    # Ids may be numbers or strings; equal scores keep the lower id.
+    rows, values = np.array([0, 0, 0, 1, 1]), np.array([0.5, 0.5, 0.9, 0.1, 0.1])
+    for kind in (np.int64, str):
+        ids = np.array([7, 3, 5, 9, 8]).astype(kind)
+        got = search.lowest_first(rows, ids, values, 2)
+        assert got[0].tolist() == [0, 0, 1, 1] and got[1].tolist() == np.array([5, 3, 8, 9]).astype(kind).tolist() and got[2].tolist() == [0.9, 0.5, 0.1, 0.1]
